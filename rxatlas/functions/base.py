@@ -90,6 +90,31 @@ def case(branches: list[tuple[Column, Column]], otherwise: Column | None = None)
     return out if otherwise is None else out.otherwise(otherwise)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def grams(c: Column, size: int) -> Column:
+    """Distinct substrings of one to ``size`` characters."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
+
+    def of_size(n: int) -> Column:
+        return F.transform(starts, lambda i: F.substring(c, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(*[of_size(n) for n in range(1, size + 1)]))
+
+
+def filter_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on columns that are expensive to compute.
+
+    The optimizer moves a filter below the projections that compute its columns and copies their
+    expressions into it, once per use. A row id it cannot look through keeps the filter above them.
+    """
+    marked = df.withColumn("_row_id", F.monotonically_increasing_id())
+    return marked.filter((F.col("_row_id") >= 0) & condition).drop("_row_id")
+
+
 def tokens(c: Column | str) -> Column:
     """Lower-case alphanumeric tokens in order."""
     return F.filter(F.split(F.lower(text(c)), r"[^a-z0-9]+"), lambda t: t != "")

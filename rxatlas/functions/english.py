@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dims import literal_map
-from .base import as_col, case, collapse_ws, nz
+from .base import as_col, case, collapse_ws, let, nz
 
 # --- Fixed values: transliteration and translations --------------------------------------------
 
@@ -113,14 +113,16 @@ def _expanding_class() -> str:
     return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
+def _fold_marks(value: Column) -> Column:
+    source, target, deleted, _ = _decomposition()
+    expanded = F.when(F.rlike(value, F.lit(_expanding_class())), _expand(value)).otherwise(value)
+    return F.translate(expanded, source + deleted, target)
+
+
 def strip_accents(c: Column | str) -> Column:
     """Compatibility decomposition without combining marks."""
     value = as_col(c)
-    source, target, deleted, _ = _decomposition()
-    expanded = F.when(F.rlike(value, F.lit(_expanding_class())), _expand(value)).otherwise(value)
-    return F.when(
-        F.rlike(value, F.lit(NON_ASCII)), F.translate(expanded, source + deleted, target)
-    ).otherwise(value)
+    return F.when(F.rlike(value, F.lit(NON_ASCII)), let(value, _fold_marks)).otherwise(value)
 
 
 def transliterate_cyrillic(c: Column | str) -> Column:
@@ -147,23 +149,35 @@ def _house_style(c: Column) -> Column:
     return F.regexp_replace(value, r"(?iU)\bYurop\b", "Europe")
 
 
-def english_text(c: Column | str) -> Column:
-    """Known values and phrases translated, Cyrillic transliterated, accents dropped, the rest marked."""
-    value = nz(c)
-    phrased = F.when(F.rlike(value, F.lit(CYRILLIC)), translate_phrases(value)).otherwise(value)
-    latin = F.when(F.rlike(phrased, F.lit(CYRILLIC)), transliterate_cyrillic(phrased)).otherwise(phrased)
-    styled = _house_style(strip_accents(latin))
-    foreign = F.rlike(styled, F.lit(NON_ASCII)) & ~F.rlike(styled, F.lit(CYRILLIC))
-    marked = F.when(foreign, F.concat(F.lit(LOCAL_LANGUAGE_PREFIX), styled)).otherwise(styled)
+def _from_cyrillic(value: Column) -> Column:
+    return F.when(
+        F.rlike(value, F.lit(CYRILLIC)),
+        let(translate_phrases(value), lambda v: F.when(F.rlike(v, F.lit(CYRILLIC)), transliterate_cyrillic(v)).otherwise(v)),
+    ).otherwise(value)
+
+
+def _mark_foreign(value: Column) -> Column:
+    foreign = F.rlike(value, F.lit(NON_ASCII)) & ~F.rlike(value, F.lit(CYRILLIC))
+    return F.when(foreign, F.concat(F.lit(LOCAL_LANGUAGE_PREFIX), value)).otherwise(value)
+
+
+def _english(value: Column) -> Column:
+    known = F.try_element_at(literal_map(WHOLE_VALUES), value)
+    rendered = let(_house_style(let(_from_cyrillic(value), _fold_marks)), _mark_foreign)
     return case(
         [
             (~F.rlike(value, F.lit(NON_ASCII)), collapse_ws(_house_style(value))),
-            (value.isin(*WHOLE_VALUES), F.try_element_at(literal_map(WHOLE_VALUES), value)),
+            (known.isNotNull(), known),
         ],
-        collapse_ws(marked),
+        collapse_ws(rendered),
     )
 
 
+def english_text(c: Column | str) -> Column:
+    """Known values and phrases translated, Cyrillic transliterated, accents dropped, the rest marked."""
+    return let(nz(c), _english)
+
+
 def english_row(df: DataFrame) -> DataFrame:
     """X21 over every text column the frame carries, as one expression over an array of them."""
     names = [name for name in ENGLISH_COLUMNS if name in df.columns]

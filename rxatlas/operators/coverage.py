@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import links
 from ..functions import text as tx
-from ..functions.base import all_of, non_empty, nz, opt, text
+from ..functions.base import all_of, filter_computed, non_empty, nz, opt, text
 from ..functions.english import english_row
 from ..functions.rows import DISPLAY_FILTERS, with_display
 from .identity import most_common_first
 
+GAP_ORD = 1 << 61
 HAYSTACK = [
     "substance", "product", "company", "country", "region", "status", "source", "registration_number",
     "registration_date", "document_type",
@@ -41,6 +42,12 @@ def filter_rows(df: DataFrame, filters: dict[str, Column | str]) -> DataFrame:
             return None
         return text(F.lit(value) if isinstance(value, str) else value)
 
+    # exact filters on raw columns come first, so that they can reach the scan
+    for name in ("country", "source", "region"):
+        value = wanted(name)
+        if value is not None:
+            off = value.isin("", "ALL") if name == "region" else value == ""
+            df = df.filter(off | (text(opt(df, name)) == value))
     cells = searchable()
     conditions: list[Column] = []
     for field in DISPLAY_FILTERS:
@@ -48,13 +55,6 @@ def filter_rows(df: DataFrame, filters: dict[str, Column | str]) -> DataFrame:
         if value is not None:
             needle = F.lower(F.trim(value))
             conditions.append((needle == "") | F.contains(F.lower(cells[field]), needle))
-    for name, cell in (("country", opt(df, "country")), ("source", opt(df, "source"))):
-        value = wanted(name)
-        if value is not None:
-            conditions.append((value == "") | (text(cell) == value))
-    region = wanted("region")
-    if region is not None:
-        conditions.append(region.isin("", "ALL") | (text(opt(df, "region")) == region))
     status = wanted("status")
     if status is not None:
         conditions.append((status == "") | (F.col("shown.registration_status") == status))
@@ -66,7 +66,7 @@ def filter_rows(df: DataFrame, filters: dict[str, Column | str]) -> DataFrame:
         conditions.append((needle == "") | F.contains(hay, needle))
     if not conditions:
         return df
-    return with_display(df).filter(all_of(conditions)).drop("shown")
+    return filter_computed(with_display(df), all_of(conditions)).drop("shown")
 
 
 # --- Country gaps (J4) ------------------------------------------------------------------------
@@ -121,7 +121,7 @@ def country_gap_rows(queries: DataFrame, rows: DataFrame) -> DataFrame:
     scoped = (
         queries.filter(text("source") == "")
         .withColumn("_wide", wide)
-        .select("query_id", "substance", F.col("region").alias("_scope"), "_wide", F.explode(scope_countries()).alias("_c"))
+        .select("query_id", "substance", F.col("region").alias("_scope"), "_wide", F.posexplode(scope_countries()).alias("_pos", "_c"))
     )
     seen = rows.select("query_id", text("country").alias("_c"), text("region").alias("_r")).distinct()
     answered = seen.select("query_id").distinct()
@@ -138,7 +138,8 @@ def country_gap_rows(queries: DataFrame, rows: DataFrame) -> DataFrame:
     gaps = wide_gaps.unionByName(single_gaps)
     scope = F.when(F.col("_wide"), text("_scope")).otherwise("")
     columns = lookup_row_columns(F.col("substance"), F.col("_c"), scope)
-    return gaps.select("query_id", *[c.alias(n) for n, c in columns.items()])
+    place = (F.lit(GAP_ORD) + F.col("_pos")).alias("ord")  # after every real row
+    return gaps.select("query_id", place, *[c.alias(n) for n, c in columns.items()])
 
 
 # --- Counts -----------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.base import any_of, contains_ci, lower_trim, non_empty, nz, opt, text, tokens
+from ..functions.base import any_of, contains_ci, filter_computed, grams, lower_trim, non_empty, nz, opt, text, tokens
 from ..functions.english import strip_accents
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -189,18 +189,27 @@ def _anchor(needle: Column) -> Column:
     return F.substring(needle, 1, ANCHOR)
 
 
-def _grams(hay: Column) -> Column:
-    """Distinct substrings of up to ``ANCHOR`` characters, and the empty one."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(hay), F.lit(1)))
-    by_size = [F.transform(starts, lambda i, n=n: F.substring(hay, i, F.lit(n))) for n in range(1, ANCHOR + 1)]
-    return F.array_distinct(F.concat(F.array(F.lit("")), *by_size))
+FEW_ANCHORS = 256
+
+
+def _offer(products: DataFrame, asked: DataFrame, all_offers: Column, few_offers) -> DataFrame:
+    """Products exploded by the anchors they contain.
+
+    A short list of anchors is tested directly; a long one is met by exploding all of a row's own
+    anchors. The list is read with a limit, so the driver never holds more than ``FEW_ANCHORS``.
+    """
+    anchors = [r[0] for r in asked.select("_anchor").distinct().limit(FEW_ANCHORS + 1).collect()]
+    if len(anchors) > FEW_ANCHORS:
+        return products.select("*", F.explode(all_offers).alias("_anchor"))
+    known = F.array(*[F.lit(a) for a in anchors]).cast("array<string>")
+    return products.select("*", F.explode(few_offers(known)).alias("_anchor"))
 
 
 def search_many(queries: DataFrame, products: DataFrame, mode: str = "substring") -> DataFrame:
     """Every query against all products, as an equi-join; adds the query's columns to each hit.
 
-    ``substring``: the first three characters of a query are its anchor; a product offers all its
-    short substrings, so each (query, product) pair meets exactly once, and ``contains`` verifies it.
+    ``substring``: the first three characters of a query are its anchor; a product offers the anchors
+    it contains, so each (query, product) pair meets exactly once, and ``contains`` verifies it.
     ``token``: the anchor is the query's first token and all tokens must occur; hits inside a token
     are not found. Both work for any number of queries, with a broadcast chosen by size only.
     """
@@ -209,15 +218,16 @@ def search_many(queries: DataFrame, products: DataFrame, mode: str = "substring"
         asked = queries.withColumn("_asked", tokens("query_substance"))
         asked = asked.filter(F.size("_asked") > 0).withColumn("_anchor", F.get("_asked", F.lit(0)))
         words = products.withColumn("_words", F.array_distinct(tokens(F.concat_ws(" ", "substance", "product"))))
-        offered = words.select("*", F.explode("_words").alias("_anchor"))
+        own = F.col("_words")
+        offered = _offer(words, asked, own, lambda known: F.array_intersect(own, known))
         hits = offered.join(asked, "_anchor").filter(F.size(F.array_except("_asked", "_words")) == 0)
-        return hits.drop("_anchor", "_asked", "_words").select(*queries.columns, *cols)
+        return hits.select(*queries.columns, *cols)
     asked = queries.withColumn("_needle", F.lower("query_substance")).withColumn("_anchor", _anchor(F.col("_needle")))
-    hay = F.concat(F.lower(text("substance")), F.lit("\n"), F.lower(text("product")))
-    offered = products.withColumn("_hay", hay).select("*", F.explode(_grams(F.col("_hay"))).alias("_anchor"))
+    hay = F.col("_hay")
+    rows = products.withColumn("_hay", F.concat(F.lower(text("substance")), F.lit("\n"), F.lower(text("product"))))
+    offered = _offer(rows, asked, F.concat(F.array(F.lit("")), grams(hay, ANCHOR)), lambda known: F.filter(known, lambda a: F.contains(hay, a)))
     found = F.contains(F.lower(text("substance")), "_needle") | F.contains(F.lower(text("product")), "_needle")
-    hits = offered.join(asked, "_anchor").filter(found)
-    return hits.select(*queries.columns, *cols)
+    return offered.join(asked, "_anchor").filter(found).select(*queries.columns, *cols)
 
 
 def search_few(queries: list[tuple[str, str]], products: DataFrame) -> DataFrame:
@@ -242,13 +252,14 @@ def fuzzy_token_query(df: DataFrame, value: Column | str, query: str, max_edits:
 
     asked = [t for t in re.split(r"[,+\-!(){}\[\]^~*?:%/\s]+", query.strip().lower()) if t]
     words = tokens(F.col(value) if isinstance(value, str) else value)
-    scores = []
-    for token in asked:
-        exact = F.array_contains(words, F.lit(token))
-        near = F.exists(words, lambda w, t=token: F.levenshtein(w, F.lit(t), max_edits) >= 0)
-        scores.append(F.when(exact, 4).when(near, 1).otherwise(0))
-    if not scores:
+
+    def score(token: str) -> Column:
+        exact = F.array_contains("_words", F.lit(token))
+        near = F.exists("_words", lambda w: F.levenshtein(w, F.lit(token), max_edits) >= 0)
+        return F.when(exact, 4).when(near, 1).otherwise(0)
+
+    if not asked:
         return df.withColumn("fuzzy_score", F.lit(0))
-    best = F.array(*scores)
-    total = F.aggregate(best, F.lit(0), lambda a, s: a + s)
-    return df.withColumn("_best", best).filter(F.forall("_best", lambda s: s > 0)).withColumn("fuzzy_score", total).drop("_best")
+    scored = df.withColumn("_words", words).withColumn("_best", F.array(*[score(t) for t in asked]))
+    hits = filter_computed(scored, F.forall("_best", lambda s: s > 0))
+    return hits.withColumn("fuzzy_score", F.aggregate("_best", F.lit(0), lambda a, s: a + s)).drop("_best", "_words")
