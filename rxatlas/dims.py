@@ -6,6 +6,7 @@ broadcast, or folded into an expression, without a size check.
 
 from __future__ import annotations
 
+import json
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -346,12 +347,18 @@ def region_by_country() -> dict[str, str]:
 
 
 def literal_map(mapping: dict) -> Column:
-    """A constant map column; list values become arrays."""
-    parts: list[Column] = []
-    for key, value in mapping.items():
-        parts.append(F.lit(key))
-        parts.append(F.array(*[F.lit(v) for v in value]) if isinstance(value, (list, tuple)) else F.lit(value))
-    return F.create_map(*parts)
+    """A constant map column (folded by the optimizer); list values become arrays."""
+    lists = any(isinstance(v, (list, tuple)) for v in mapping.values())
+    return F.from_json(F.lit(json.dumps(mapping)), f"map<string,{'array<string>' if lists else 'string'}>")
+
+
+def literal_list(values: list[str]) -> Column:
+    return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
+
+
+def one_of(c: Column, values: list[str]) -> Column:
+    """Membership in a constant list; false for NULL."""
+    return F.coalesce(F.array_contains(literal_list(values), c), F.lit(False))
 
 
 def lookup(mapping: dict, key: Column) -> Column:

@@ -7,7 +7,6 @@ rare characters that expand, with a map look-up. Pure ASCII values skip all of i
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
 from functools import cache, reduce
@@ -15,7 +14,7 @@ from functools import cache, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..dims import literal_map
+from ..dims import literal_list, literal_map
 from .base import as_col, case, collapse_ws, let, nz
 
 # --- Fixed values: transliteration and translations --------------------------------------------
@@ -80,10 +79,10 @@ def _decomposition() -> tuple[str, str, str, dict[str, str]]:
 def _expand(c: Column) -> Column:
     """Characters that decompose to several: compatibility ligatures by map, Hangul syllables by arithmetic."""
     *_, expanded = _decomposition()
-    table = F.from_json(F.lit(json.dumps(expanded)), "map<string,string>")  # folded to one constant
-    lead = F.array(*[F.lit(chr(0x1100 + i)) for i in range(19)])
-    vowel = F.array(*[F.lit(chr(0x1161 + i)) for i in range(21)])
-    tail = F.array(F.lit(""), *[F.lit(chr(0x11A7 + i)) for i in range(1, 28)])
+    table = literal_map(expanded)
+    lead = literal_list([chr(0x1100 + i) for i in range(19)])
+    vowel = literal_list([chr(0x1161 + i) for i in range(21)])
+    tail = literal_list(["", *[chr(0x11A7 + i) for i in range(1, 28)]])
 
     def one(char: Column) -> Column:
         offset = F.ascii(char) - HANGUL_FIRST

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import as_col, case, collapse_ws, extract, nz, text
+from ..dims import literal_list, literal_map
+from .base import as_col, case, collapse_ws, extract, let, nz, text
 
 # --- Fixed values: patterns in order of precedence --------------------------------------------
 
@@ -192,28 +193,33 @@ def normalize_key(c: Column | str) -> Column:
 
 def category_from_atc(c: Column | str) -> Column:
     """Longest matching prefix."""
-    code = F.upper(nz(c))
-    by_length = sorted(ATC_CATEGORIES, key=len, reverse=True)
-    return case([(F.startswith(code, F.lit(p)), F.lit(ATC_CATEGORIES[p])) for p in by_length])
+    code = F.upper(F.trim(as_col(c)))
+    lengths = sorted({len(p) for p in ATC_CATEGORIES}, reverse=True)
+    known = literal_map(ATC_CATEGORIES)
+    return F.coalesce(*[F.try_element_at(known, F.substring(code, 1, n)) for n in lengths])
 
 
 def category_from_substance(c: Column | str) -> Column:
     """First known name contained in the substance."""
     name = collapse_ws(F.replace(F.lower(as_col(c)), F.lit("+"), F.lit(" ")))
-    return case([(F.contains(name, F.lit(k)), F.lit(v)) for k, v in SUBSTANCE_CATEGORIES.items()])
+    hit = let(name, lambda n: F.get(F.filter(literal_list(list(SUBSTANCE_CATEGORIES)), lambda k: F.contains(n, k)), F.lit(0)))
+    return F.try_element_at(literal_map(SUBSTANCE_CATEGORIES), hit)
 
 
 def short_category(category: Column | str, substance: Column | str, atc: Column | str) -> Column:
     """By ATC code, by substance, then from the text itself."""
-    value = collapse_ws(category)
-    short_enough = (F.length(value) <= 48) & ~F.rlike(value, F.lit("[.;:]"))
-    keyword = case([(F.rlike(F.lower(value), F.lit(f"(?U){p}")), F.lit(v)) for p, v in KEYWORD_CATEGORIES])
-    clause = F.trim(F.regexp_extract(value, r"^[^.;:]*", 0))
-    six_words = F.array_join(F.slice(F.split(clause, " "), 1, 6), " ")
-    from_text = F.when(short_enough, value).otherwise(
-        F.coalesce(keyword, F.nullif(F.trim(F.substring(six_words, 1, 48)), F.lit("")))
-    )
-    return F.coalesce(category_from_atc(atc), category_from_substance(substance), from_text)
+    def from_text(value: Column) -> Column:
+        short_enough = (F.length(value) <= 48) & ~F.rlike(value, F.lit("[.;:]"))
+        keyword = let(
+            F.lower(value), lambda v: case([(F.rlike(v, F.lit(f"(?U){p}")), F.lit(label)) for p, label in KEYWORD_CATEGORIES])
+        )
+        clause = F.trim(F.regexp_extract(value, r"^[^.;:]*", 0))
+        six_words = F.array_join(F.slice(F.split(clause, " "), 1, 6), " ")
+        return F.when(short_enough, value).otherwise(
+            F.coalesce(keyword, F.nullif(F.trim(F.substring(six_words, 1, 48)), F.lit("")))
+        )
+
+    return F.coalesce(category_from_atc(atc), category_from_substance(substance), let(collapse_ws(category), from_text))
 
 
 def iso_date(c: Column | str) -> Column:

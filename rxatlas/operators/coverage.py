@@ -78,7 +78,7 @@ def lookup_row_columns(substance: Column, country: Column, scope: Column) -> dic
     region = F.when(scope.isin("ALL", "AF", "ME", "AS"), scope).otherwise(links.country_region(country))
     url = links.lookup_url(clean, country)
     known = {k: v for k, v in dims.LOOKUP_SOURCES.items() if k}
-    kind = F.when(country.isin(*dims.EU_COUNTRIES) & ~scope.isin("ALL", "AF", "ME", "AS"), F.lit("EU")).otherwise(region)
+    kind = F.when(dims.one_of(country, dims.EU_COUNTRIES) & ~scope.isin("ALL", "AF", "ME", "AS"), F.lit("EU")).otherwise(region)
     usable = F.when(kind.isin("EU", "AF", "ME", "AS", "ALL"), kind)
     empty = F.lit(None).cast("string")
     return {
@@ -229,7 +229,7 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
 
 def country_coverage(df: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """Distinct EU countries present, out of 27."""
-    eu = (F.col("region") == "EU") & F.col("country").isin(*dims.EU_COUNTRIES)
+    eu = (F.col("region") == "EU") & dims.one_of(F.col("country"), dims.EU_COUNTRIES)
     present = df.groupBy(*within).agg(F.count_distinct(F.when(eu, F.col("country"))).alias("present"))
     total = len(dims.EU_COUNTRIES)
     return present.select(*within, "present", F.lit(total).alias("total"), (F.col("present") == total).alias("complete"))

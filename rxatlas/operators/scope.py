@@ -15,11 +15,11 @@ NO_TEXTS = "array<string>"
 
 
 def _strings(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast(NO_TEXTS)
+    return dims.literal_list(values)
 
 
 def _lower_in(item: Column, names: list[str]) -> Column:
-    return F.lower(item).isin(*[n.lower() for n in names])
+    return dims.one_of(F.lower(item), [n.lower() for n in names])
 
 
 def _with_source(selected: Column, name: Column) -> Column:
@@ -58,7 +58,7 @@ def scope_sources(sources: Column, country: Column, region: Column, source: Colu
         return F.filter(of, lambda s: _lower_in(s, names))
 
     def exactly(names: list[str]) -> Column:
-        hits = F.filter(selected, lambda s: s.isin(*names))
+        hits = F.filter(selected, lambda s: dims.one_of(s, names))
         return F.when(F.size(hits) > 0, hits).otherwise(lookup_only)
 
     def added(name: str) -> Column:
@@ -71,7 +71,7 @@ def scope_sources(sources: Column, country: Column, region: Column, source: Colu
         with_default,
         lambda s: F.coalesce(F.array_contains(dims.lookup(dims.source_countries(), F.lower(s)), country), F.lit(False)),
     )
-    listed = country.isin(*{*dims.AFRICA_COUNTRIES, *dims.MIDDLE_EAST_COUNTRIES, *dims.ASIA_COUNTRIES})
+    listed = dims.one_of(country, [*dims.AFRICA_COUNTRIES, *dims.MIDDLE_EAST_COUNTRIES, *dims.ASIA_COUNTRIES])
     return case(
         [
             (source != "", F.array(source)),

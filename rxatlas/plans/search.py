@@ -10,6 +10,7 @@ from ..functions.base import text
 from ..functions.english import english_text
 from ..functions.rows import DISPLAY_FILTERS, display_row, export_row
 from ..operators import coverage, identity, ordering, quality, scope, search
+from ..store_paths import checkpoint
 
 QUERY_DEFAULTS = {
     "sources": ("array<string>", None), "country": ("string", ""), "region": ("string", ""), "source": ("string", ""),
@@ -66,7 +67,8 @@ def search_rows(
 
     rows = combined(asked, products, live, mode).join(settings, "query_id")
     rows = rows.filter(search.relevant_to_substance(rows, F.col("query_substance")))
-    rows = coverage.filter_rows(rows, wanted).drop(*dropped)
+    # the hits are needed for the result, for the gaps and for the suppression: computed once, kept in the shared folder
+    rows = checkpoint(coverage.filter_rows(rows, wanted).drop(*dropped))
     if include_lookup_rows:
         gaps = coverage.country_gap_rows(asked, rows).join(settings, "query_id")
         gap_filters = {k: v for k, v in wanted.items() if k != "source"}
@@ -94,16 +96,14 @@ def result_page(queries: DataFrame, rows: DataFrame) -> dict[str, DataFrame]:
     sortable = rows.join(settings, "query_id")
     page = ordering.page_of_queries(sortable, asked, ordering.query_order(sortable))
     page = identity.propagate_by_molecule(page.drop("sort_by", "sort_dir", "sources"))
-    shown = display_row(page, keep=("query_id", "rank", "ord"))
-    metadata = quality.attach_quality(page).select(
-        "query_id", "rank", "data_confidence", "enrichment_status", "missing_fields", "ai_next_action"
-    )
+    metadata = ("data_confidence", "enrichment_status", "missing_fields", "ai_next_action")
+    shown = display_row(quality.attach_quality(page), keep=("query_id", "rank", "ord", *metadata))
     manual = search.is_manual(rows)
     summary = rows.groupBy("query_id").agg(
         F.count("*").alias("total"), F.count_if(~manual).alias("product_rows"), F.count_if(manual).alias("registry_rows")
     )
     return {
-        "rows": shown.join(metadata, ["query_id", "rank"]),
+        "rows": shown,
         "by_source": coverage.count_by(rows, "source", ("query_id",)),
         "by_country": coverage.count_by(rows, "country", ("query_id",)),
         "summary": summary,

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..dims import literal_list
+
 
 def expand_countries(df: DataFrame, countries: list[str]) -> DataFrame:
     """One row per country of a fixed list: an explode of a constant, so no join."""
-    return df.select("*", F.explode(F.array(*[F.lit(c) for c in countries])).alias("country"))
+    return df.select("*", F.explode(literal_list(countries)).alias("country"))
