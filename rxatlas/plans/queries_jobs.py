@@ -1 +1,255 @@
-"""Placeholder."""
+"""Queries over the store, search jobs and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import dims
+from ..functions.company import strip_holder_manufacturers
+from ..operators import jobs, store
+from ..streaming import streams
+from . import search as plans
+from .catalog import EVT, REG, query
+from .fixtures import events_as_jobs, health_events, registrations
+from .queries_rows import MAKERS_SQL, with_makers
+from .queries_search import placeholders
+
+SEED_KEY = "source, product, country, COALESCE(registration_number, '')"
+
+
+@query("s2_read_store", "SELECT ord, product FROM reg", REG)
+def _s2(spark, d):
+    return registrations(spark, d).orderBy("product", "ord").select("ord", "product")
+
+
+@query("k1_seed_if_sparse", f"""
+WITH st AS (SELECT * FROM reg WHERE source = 'Brand#1' AND product LIKE 'small%'),
+fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {SEED_KEY} ORDER BY ord) AS rn FROM reg) WHERE rn = 1)
+SELECT ord FROM st UNION ALL SELECT ord FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.source = f.source AND st.product = f.product
+  AND st.country = f.country AND COALESCE(st.registration_number, '') = COALESCE(f.registration_number, ''))""", REG)
+def _k1(spark, d):
+    reg = registrations(spark, d)
+    sparse = reg.filter((F.col("source") == "Brand#1") & F.col("product").startswith("small"))
+    return store.seed_if_sparse(sparse, reg, minimum_rows=1_000_000_000).select("ord")
+
+
+@query("k2_upsert_products", """
+WITH st AS (SELECT ord AS id, source, product, country, registration_number, 'https://r.test/' || ord AS product_url FROM reg),
+b AS (SELECT ord, source, product || CASE WHEN MOD(ord, 4) = 3 THEN ' new' ELSE '' END AS product, country,
+   CASE WHEN MOD(ord, 3) = 0 THEN registration_number END AS registration_number,
+   CASE WHEN MOD(ord, 3) = 1 THEN 'https://r.test/' || ord END AS product_url FROM reg),
+b1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, product, country, COALESCE(registration_number, ''), COALESCE(product_url, '') ORDER BY ord DESC) AS rn FROM b) WHERE rn = 1),
+m AS (SELECT b1.ord, min(st.id) AS id FROM b1 JOIN st USING (source, product, country)
+   WHERE (b1.registration_number IS NOT NULL AND st.registration_number = b1.registration_number) OR (b1.product_url IS NOT NULL AND st.product_url = b1.product_url)
+      OR (b1.registration_number IS NULL AND b1.product_url IS NULL) GROUP BY b1.ord),
+u AS (SELECT id, max(ord) AS ord FROM m GROUP BY id),
+i AS (SELECT * FROM b1 WHERE ord NOT IN (SELECT ord FROM m)),
+i1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, product, country, COALESCE(registration_number, 'x' || ord) ORDER BY ord DESC) AS r2 FROM i) WHERE r2 = 1),
+i2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, product, country, COALESCE(product_url, 'x' || ord) ORDER BY ord DESC) AS r3 FROM i1) WHERE r3 = 1)
+SELECT id, product, registration_number, 'stored' AS status FROM st WHERE id NOT IN (SELECT id FROM u)
+UNION ALL SELECT u.id, b.product, b.registration_number, 'new' FROM u JOIN b USING (ord)
+UNION ALL SELECT (SELECT max(id) FROM st) + 1 + ord, product, registration_number, 'new' FROM i2""", REG)
+def _k2(spark, d):
+    reg = registrations(spark, d).select("ord", "source", "product", "country", "registration_number")
+    o = F.col("ord")
+    url = F.concat(F.lit("https://r.test/"), o.cast("string"))
+    current = reg.withColumnRenamed("ord", "id").withColumns({"product_url": F.concat(F.lit("https://r.test/"), F.col("id").cast("string")), "status": F.lit("stored")})
+    batch = reg.withColumns({
+        "product": F.when(o % 4 == 3, F.concat("product", F.lit(" new"))).otherwise(F.col("product")),
+        "registration_number": F.when(o % 3 == 0, F.col("registration_number")),
+        "product_url": F.when(o % 3 == 1, url), "status": F.lit("new"),
+    })
+    return store.upsert_products(current, batch).select("id", "product", "registration_number", "status")
+
+
+@query("k5_purge_lookup_rows", "SELECT ord FROM reg WHERE source NOT IN ('Brand#1', 'Brand#4')", REG)
+def _k5(spark, d):
+    return store.purge_lookup_rows(placeholders(spark, d)).select("ord")
+
+
+@query("k8_safe_filename", "SELECT ord, COALESCE(NULLIF(trim(regexp_replace(trim(product), '[^A-Za-z0-9_.-]+', '_', 'g'), '_'), ''), 'export') AS name FROM reg", REG)
+def _k8(spark, d):
+    return registrations(spark, d).select("ord", store.safe_filename("product").alias("name"))
+
+
+@query("d17_strip_holder_manufacturers", """
+SELECT ord, CASE MOD(ord, 4) WHEN 1 THEN 'Maker ' || substance WHEN 2 THEN 'Maker ' || substance || ' GmbH ;' END AS manufacturer_name,
+  CASE WHEN MOD(ord, 4) <> 0 THEN manufacturer_country END AS manufacturer_country, CASE WHEN MOD(ord, 4) <> 0 THEN manufacturer_source END AS manufacturer_source FROM makers""",
+       REG + ", " + MAKERS_SQL)
+def _d17(spark, d):
+    return strip_holder_manufacturers(with_makers(registrations(spark, d))).select(
+        "ord", "manufacturer_name", "manufacturer_country", "manufacturer_source"
+    )
+
+
+# --- Jobs ---------------------------------------------------------------------------------------
+
+
+@query("k6_save_progress", "SELECT job_id, source, max_by(status, ord) AS status, max_by(COALESCE(records, 0), ord) AS records FROM evt GROUP BY ALL", EVT)
+def _k6(spark, d):
+    return jobs.save_progress(health_events(spark, d)).select("job_id", "source", "status", "records")
+
+
+@query("k7_save_job_results", """
+WITH r AS (SELECT ord, job_id, source, status AS product FROM evt)
+SELECT min(ord) AS ord, job_id, source, product FROM r WHERE (job_id, source, product) NOT IN (SELECT (job_id, source, product) FROM r WHERE product = 'queued')
+GROUP BY ALL""", EVT)
+def _k7(spark, d):
+    rows = health_events(spark, d).select("ord", "job_id", "source", F.col("status").alias("product"))
+    blank = F.lit("")
+    full = rows.withColumns({"country": blank, "registration_number": blank, "url": blank})
+    return jobs.save_job_results(full.filter("product = 'queued'"), full).select("ord", "job_id", "source", "product")
+
+
+HEALTH_SQL = """SELECT source, max_by(status, (ts, ord)) AS last_status, max_by(COALESCE(records, 0), (ts, ord)) AS last_records,
+  round(max_by(elapsed_seconds, (ts, ord)), 2) AS last_elapsed_seconds FROM evt GROUP BY source"""
+
+
+@query("a7_latest_health", HEALTH_SQL, EVT)
+def _a7(spark, d):
+    return jobs.latest_health(health_events(spark, d)).select("source", "last_status", "last_records", "last_elapsed_seconds")
+
+
+def job_tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(jobs, progress, results) out of F-EVT."""
+    events = health_events(spark, d)
+    table_of_jobs = events.groupBy("job_id").agg(F.min("ts").alias("created_at"), F.max_by("status", "ord").alias("status"))
+    return table_of_jobs, jobs.save_progress(events), events.filter("status = 'done'").select("job_id", "source")
+
+
+@query("a8_job_summary", """
+WITH p AS (SELECT job_id, source, max_by(status, ord) AS status, max_by(COALESCE(records, 0), ord) AS records FROM evt GROUP BY ALL),
+l AS (SELECT job_id, string_agg(source || ':' || status || ':' || records, ',' ORDER BY source) AS progress FROM p GROUP BY job_id)
+SELECT job_id, max_by(status, ord) AS status, count(*) FILTER (status = 'done') AS record_count, any_value(progress) AS progress FROM evt JOIN l USING (job_id) GROUP BY job_id""", EVT)
+def _a8(spark, d):
+    table_of_jobs, progress, results = job_tables(spark, d)
+    summary = jobs.job_summary(table_of_jobs, progress, results)
+    entry = F.transform("progress", lambda p: F.concat_ws(":", p["source"], p["status"], p["records"].cast("string")))
+    return summary.select("job_id", "status", "record_count", F.array_join(entry, ",").alias("progress"))
+
+
+@query("j12_jobs_with_counts", "SELECT job_id, count(*) FILTER (status = 'done') AS record_count FROM evt GROUP BY job_id", EVT)
+def _j12(spark, d):
+    table_of_jobs, _, results = job_tables(spark, d)
+    return jobs.jobs_with_counts(table_of_jobs, results).select("job_id", "record_count")
+
+
+@query("l5_top_jobs", """
+SELECT job_id, count(*) FILTER (status = 'done') AS record_count FROM evt GROUP BY job_id ORDER BY min(ts) DESC, job_id LIMIT 25""", EVT)
+def _l5(spark, d):
+    table_of_jobs, _, results = job_tables(spark, d)
+    return jobs.recent_jobs(table_of_jobs, results).select("job_id", "record_count")
+
+
+@query("j10_status_with_metadata", """
+SELECT s.ord, CASE s.source WHEN 'source1' THEN 'US' WHEN 'source2' THEN 'CH' ELSE '' END AS region, s.source IN ('source1') AS enabled FROM evt s""", EVT)
+def _j10(spark, d):
+    from ..operators.scope import status_with_metadata
+
+    s = F.col("source")
+    name = F.when(s == "source1", "FDA").when(s == "source2", "Swissmedic").otherwise(s)
+    status = health_events(spark, d).select("ord", name.alias("name"))
+    return status_with_metadata(status, dims.dims(spark)["source"]).select("ord", "region", "enabled")
+
+
+@query("j11_status_with_health", """
+SELECT e.ord, COALESCE(h.last_status, 'not checked') AS last_status FROM evt e LEFT JOIN (
+  SELECT source, max_by(status, (ts, ord)) AS last_status FROM evt WHERE status <> 'queued' AND source <> 'source3' GROUP BY source) h ON h.source = e.source""", EVT)
+def _j11(spark, d):
+    from ..operators.scope import status_with_health
+
+    events = health_events(spark, d)
+    health = jobs.latest_health(events.filter("status <> 'queued' AND source <> 'source3'"))
+    return status_with_health(events.select("ord", F.col("source").alias("name")), health).select("ord", "last_status")
+
+
+@query("e9_connector_health", """
+WITH n AS (SELECT CASE source WHEN 'source1' THEN 'FDA' WHEN 'source2' THEN 'EMA' ELSE source END AS name, max_by(status, (ts, ord)) AS st FROM evt GROUP BY source)
+SELECT c.name, COALESCE(n.st, 'not checked') AS last_status FROM (SELECT unnest(['FDA', 'MHRA', 'EMA', 'EU MRI Product Index', 'Health Canada', 'TGA Australia',
+  'Medsafe New Zealand', 'Hong Kong Drug Office', 'NMPA China', 'GRLS Russia', 'Belgium FAMHP', 'France BDPM', 'Ireland medicines.ie', 'Spain CIMA']) AS name) c LEFT JOIN n USING (name)""", EVT)
+def _e9(spark, d):
+    s = F.col("source")
+    named = health_events(spark, d).withColumn("source", F.when(s == "source1", "FDA").when(s == "source2", "EMA").otherwise(s))
+    return plans.connector_health(spark, jobs.latest_health(named)).select("name", "last_status")
+
+
+@query("e6_start_jobs", """
+SELECT job_id, source, CASE WHEN source = 'FDA' THEN 'queued' ELSE 'skipped' END AS status
+FROM (SELECT DISTINCT job_id, CASE source WHEN 'source1' THEN 'FDA' WHEN 'source2' THEN 'EMA' ELSE source END AS source FROM evt)""", EVT)
+def _e6(spark, d):
+    s = F.col("source")
+    named = health_events(spark, d).select("job_id", F.when(s == "source1", "FDA").when(s == "source2", "EMA").otherwise(s).alias("source"))
+    asked = named.groupBy("job_id").agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    return jobs.start_jobs(asked).select("job_id", "source", "status")
+
+
+@query("t6_classify_outcome", "SELECT ord, CASE status WHEN 'timeout' THEN 'timeout' WHEN 'failed' THEN 'failed' ELSE 'done' END AS outcome FROM evt", EVT)
+def _t6(spark, d):
+    error = F.when(F.col("status") == "timeout", "timeout").when(F.col("status") == "failed", "HTTP 500")
+    return health_events(spark, d).select("ord", jobs.classify_outcome(error).alias("outcome"))
+
+
+# --- Streams ------------------------------------------------------------------------------------
+
+PROGRESS_SQL = """SELECT job_id, source, max_by(status, (ts, ord)) AS status, max_by(COALESCE(records, 0), (ts, ord)) AS records,
+  strftime(min(ts) FILTER (status = 'running'), '%Y-%m-%d %H:%M:%S') AS started_at,
+  strftime(max(ts) FILTER (status IN ('done', 'failed', 'timeout', 'skipped')), '%Y-%m-%d %H:%M:%S') AS finished_at FROM evt GROUP BY job_id, source"""
+
+
+def event_stream(spark, d) -> DataFrame:
+    return events_as_jobs(streams.read_events(spark, d, "events.parquet"))
+
+
+@query("t1_stream_results", """
+SELECT job_id, source, status AS product FROM evt GROUP BY ALL""", EVT)
+def _t1(spark, d):
+    blank = F.lit("")
+    rows = event_stream(spark, d).withColumn("product", F.col("status")).withColumns(
+        {"country": blank, "registration_number": blank, "url": blank}
+    )
+    # one availableNow batch: the watermark has not moved yet, so every repeat is within it
+    drained = streams.drain(streams.stream_results(rows), "append", name="results")
+    return drained.select("job_id", "source", "product")
+
+
+@query("t2_stream_progress", PROGRESS_SQL, EVT)
+def _t2(spark, d):
+    updates = streams.drain(streams.stream_progress(event_stream(spark, d)), "update", name="progress")
+    last = streams.latest_update(updates, ["job_id", "source"])
+    stamps = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("started_at", "finished_at")}
+    return last.withColumns(stamps)
+
+
+@query("t3_stream_job_status", """
+WITH p AS (SELECT job_id, source, max_by(status, (ts, ord)) AS status, max_by(COALESCE(records, 0), (ts, ord)) AS records FROM evt GROUP BY job_id, source)
+SELECT job_id, CASE WHEN count(*) FILTER (status NOT IN ('done', 'failed', 'timeout', 'skipped')) = 0 THEN 'done' ELSE 'running' END AS status,
+  COALESCE(sum(records) FILTER (status = 'done'), 0) AS record_count FROM p GROUP BY job_id""", EVT)
+def _t3(spark, d):
+    updates = streams.drain(streams.stream_progress(event_stream(spark, d)), "update", name="status")
+    progress = streams.latest_update(updates, ["job_id", "source"])
+    return jobs.job_state(progress).select("job_id", "status", "record_count")
+
+
+@query("t4_stream_health", HEALTH_SQL, EVT)
+def _t4(spark, d):
+    updates = streams.drain(streams.stream_health(event_stream(spark, d)), "update", name="health")
+    return streams.latest_update(updates, ["source"]).select("source", "last_status", "last_records", "last_elapsed_seconds")
+
+
+@query("t5_stream_upsert", """
+SELECT source, product, max_by(status, ord) AS status, max_by(registration_number, ord) AS registration_number FROM (
+  SELECT ord, source, 'job ' || job_id AS product, status, 'R' || records AS registration_number FROM evt)
+GROUP BY source, product, registration_number""", EVT)
+def _t5(spark, d):
+    from ..store_paths import stage_path
+
+    rows = event_stream(spark, d).select(
+        "ord", "source", F.concat(F.lit("job "), "job_id").alias("product"), "status",
+        F.concat(F.lit("R"), F.col("records").cast("string")).alias("registration_number"),
+    )
+    path = stage_path(spark, "products")
+    streams.drain(rows, "append", streams.upsert_into(path), name="upsert")
+    return store.read_store(spark, path).select("source", "product", "status", "registration_number")
+
+
