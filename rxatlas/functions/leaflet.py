@@ -276,7 +276,7 @@ def report_manufacturer(c: Column | str) -> Column:
         return let(rest, lambda v: described(F.when(F.length(v) >= 4, v), 500))
 
     section = section_after_label(c, MAKER_LABELS, excluded=HOLDER_TERMS[:2], metadata_stop=False)
-    return F.coalesce(let(section, described), *[matched(p) for p in REPORT_MAKER])
+    return F.coalesce(let(section, lambda v: described(v)), *[matched(p) for p in REPORT_MAKER])
 
 
 def extract_countries(c: Column | str) -> Column:

@@ -13,7 +13,7 @@ from .. import dims
 from ..dims import literal_list
 from ..functions import leaflet as lf
 from ..functions import text as tx
-from ..functions.base import any_of, clean_block, collapse_ws, let, non_empty, nz, opt, text
+from ..functions.base import any_of, clean_block, collapse_ws, filter_computed, let, non_empty, nz, opt, text
 from ..functions.rows import first_non_blank
 from ..operators.identity import keep_first
 from ..operators.joins import best_match_join, star_join
@@ -474,9 +474,10 @@ def map_header_table(pages: DataFrame, source: str, kind: str = "regional") -> D
         "_url": F.coalesce(link, F.col("page_url")),
     })
     hay = F.lower(F.concat_ws(" ", text("_product"), text("_active")))
-    hits = staged.filter(F.col("_product").isNotNull() & F.contains(hay, F.lower(F.trim("query"))))
+    wanted = F.col("_product").isNotNull() & F.contains(hay, F.lower(F.trim("query")))
     if kind == "regional":
-        hits = hits.filter(F.length("_product") <= 240)
+        wanted = wanted & (F.length("_product") <= 240)
+    hits = filter_computed(staged, wanted)
     status = F.coalesce(cell("status"), F.lit(listed))
     active = F.col("_active")
     if kind == "nz":
@@ -528,7 +529,7 @@ def map_mri(pages: DataFrame) -> DataFrame:
 
     staged = rows.withColumns({f"_v_{r.strip('_')}": value(r) for r in MRI_NAMES})
     hay = F.lower(F.concat_ws(" ", text("_v_product"), text("_v_substance")))
-    hits = staged.filter(F.contains(hay, F.lower("query")))
+    hits = filter_computed(staged, F.contains(hay, F.lower("query")))
     hrefs = F.filter(F.transform("cells", lambda x: x["href"]), lambda h: h.isNotNull())
     link = F.coalesce(tx.absolute_url(F.col("page_url"), F.get(hrefs, F.lit(0))), F.col("page_url"))
     mapped = _row(
@@ -572,7 +573,7 @@ def map_uk_html(pages: DataFrame) -> DataFrame:
     """Anchors with a registration number in their text."""
     links = _exploded_links(pages).withColumn("_text", tx.clean_product_name("label"))
     staged = links.withColumns({"_number": tx.extract_registration_number("_text"), "_url": tx.absolute_url(UK_BASE, F.col("href"))})
-    hits = staged.filter(F.col("_number").isNotNull())
+    hits = filter_computed(staged, F.col("_number").isNotNull())
     return hits.select(
         "query", "ord", "place", F.col("query").alias("substance"), F.col("_text").alias("product"),
         F.lit("United Kingdom").alias("country"), F.lit("UK").alias("region"), F.lit("Authorised").alias("status"),
@@ -596,7 +597,7 @@ def map_au_list(pages: DataFrame) -> DataFrame:
     """M16 (list): register anchors with the query in their title: ``Sponsor - Product (number)``."""
     links = _exploded_links(pages).filter(F.contains("href", F.lit("/resources/artg/")))
     staged = links.withColumns({"_title": clean_block("label", " :-"), "_url": tx.absolute_url(AU_BASE, F.col("href"))})
-    hits = staged.filter(F.col("_title").isNotNull() & F.contains(F.lower("_title"), F.lower("query")))
+    hits = filter_computed(staged, F.col("_title").isNotNull() & F.contains(F.lower("_title"), F.lower("query")))
     first = keep_first(hits, [F.col("query"), F.col("ord"), F.col("_url")], "place")
     bare = F.regexp_replace("_title", r"\s*\(\d{4,}\)\s*$", "")
     has = F.contains(bare, F.lit(" - "))
