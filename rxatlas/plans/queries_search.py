@@ -318,7 +318,7 @@ nk AS (SELECT *, regexp_replace(lower(brand_name), '[^a-z0-9]+', '', 'g') AS k1,
 s AS (SELECT lk.ord, nk.ord AS rec, CASE WHEN pk IN (k1, k3) OR (nk.brand_name < 'Brand#2' AND pk = k2) THEN 100
     WHEN contains(pk, k1) OR contains(k1, pk) OR contains(pk, k3) OR contains(k3, pk) OR (nk.brand_name < 'Brand#2' AND (contains(pk, k2) OR contains(k2, pk))) THEN 70 ELSE 0 END
     + CASE WHEN contains(ck, bk) OR contains(bk, ck) THEN 25 ELSE 0 END AS score FROM lk JOIN nk USING (substance)),
-b AS (SELECT ord, max(score) AS match_score, max_by(rec, score * 1e15 - rec) AS match_ord FROM s WHERE score > 0 GROUP BY ord)
+b AS (SELECT ord, max(score) AS match_score, max_by(rec, (score, -rec)) AS match_ord FROM s WHERE score > 0 GROUP BY ord)
 SELECT l.ord, b.match_ord, b.match_score FROM l LEFT JOIN b USING (ord)""", REG)
 def _j6(spark, d):
     reg = registrations(spark, d)

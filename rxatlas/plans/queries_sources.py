@@ -488,10 +488,9 @@ def _d11(spark, d):
     return found.select("page_id", F.col("l.assessment_report_url").alias("report"))
 
 
-@query("x35_extract_countries", f"""
-SELECT s_suppkey, CASE WHEN c IN ('Germany', 'Cyprus', 'Japan', 'United Kingdom') THEN c || '; Netherlands' ELSE 'Netherlands' END AS countries FROM (
-  SELECT s_suppkey, ['Germany', 'Egypt', 'Cyprus', 'Israel', 'Japan', 'Brazil', 'India', 'United Kingdom', 'Nigeria'][CAST(MOD(s_nationkey, 9) AS INTEGER) + 1] AS c FROM supplier)
-WHERE c <> 'United Kingdom' AND c NOT IN ('Germany', 'Cyprus', 'Japan') OR TRUE""".replace("CASE WHEN c IN ('Germany', 'Cyprus', 'Japan', 'United Kingdom') THEN c || '; Netherlands'", "CASE WHEN c = 'United Kingdom' THEN 'United Kingdom; Netherlands' WHEN c IN ('Germany', 'Cyprus', 'Japan') THEN 'Netherlands; ' || c"))
+@query("x35_extract_countries", """
+SELECT s_suppkey, 'Netherlands' || CASE WHEN c IN ('Germany', 'Cyprus', 'Japan', 'United Kingdom') THEN '; ' || c ELSE '' END AS countries FROM (
+  SELECT s_suppkey, ['Germany', 'Egypt', 'Cyprus', 'Israel', 'Japan', 'Brazil', 'India', 'United Kingdom', 'Nigeria'][CAST(MOD(s_nationkey, 9) AS INTEGER) + 1] AS c FROM supplier)""")
 def _x35(spark, d):
     line = F.concat(F.lit("Made in The Netherlands and GERMANYX, packed in "), F.upper("c"))
     return with_real_country(spark, d).select("s_suppkey", lf.extract_countries(line).alias("countries"))
