@@ -542,7 +542,7 @@ def linked_rows(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 @query("d13_enrich_rows", f"""
-SELECT ord, {STRENGTH_P} AS strength, COALESCE({FORM_P}, 'Tablet') AS dosage_form, CASE WHEN MOD(ord, 2) = 0 THEN '30 tablets' ELSE '24 tablets' END AS pack_size,
+SELECT ord, {STRENGTH_P} AS strength, CASE WHEN contains(product, 'film-coated tablets') THEN 'Film-coated tablet' ELSE 'Tablet' END AS dosage_form, CASE WHEN MOD(ord, 2) = 0 THEN '30 tablets' ELSE '24 tablets' END AS pack_size,
   CASE WHEN MOD(ord, 2) = 0 THEN 'rare ' ELSE 'common ' END || substance || ' disorders' AS therapeutic_category,
   CASE WHEN MOD(ord, 2) = 0 THEN NULL ELSE 'Maker ' || substance || ' GmbH' END AS manufacturer_name, CASE WHEN MOD(ord, 2) = 0 THEN NULL ELSE 'Germany' END AS manufacturer_country,
   CASE WHEN MOD(ord, 2) = 0 THEN NULL ELSE '+44 20 7946 0000' END AS manufacturer_phone FROM reg""", REG)

@@ -29,7 +29,7 @@ def test_strength_and_form(spark):
 
 def test_clean_product_name(spark):
     assert one(spark, text.clean_product_name, "Forxiga Forxiga PL 12345/0001") == "Forxiga PL 12345/0001"
-    assert one(spark, text.clean_product_name, " Acme  10 mg tablets SmPC - .pdf") == "Acme 10 mg tablets ."
+    assert one(spark, text.clean_product_name, " Acme  10 mg tablets SmPC - .pdf") == "Acme 10 mg tablets"
     assert one(spark, text.clean_product_name, "one") == "one"
     assert one(spark, text.clean_product_name, "   ") is None
 
