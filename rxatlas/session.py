@@ -11,6 +11,10 @@ def settings(shuffle_partitions: int | None = None) -> dict[str, str]:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # text parsing is bound by CPU, not by bytes: small shuffle partitions still deserve a core each
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+        # the JVM does not compile methods above 8000 bytecodes: such stages run faster without whole-stage code
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.legacy.javaCharsets": "true",  # windows-1252 payload files
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
