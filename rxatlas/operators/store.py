@@ -181,3 +181,21 @@ def bootstrap(store: DataFrame, seed: DataFrame | None = None, minimum_rows: int
     """Start-up job: holders scrubbed (D17), placeholders purged (K5), a sparse store seeded (K1)."""
     clean = purge_lookup_rows(strip_holder_manufacturers(store))
     return clean if seed is None else seed_if_sparse(clean, seed, minimum_rows)
+
+
+# Demonstration rows (substance, product, company, country).
+DEMO_ROWS = [
+    ("Dapagliflozin", "Forxiga", "AstraZeneca AB", "Sweden"),
+    ("Dapagliflozin", "FORXIGA 10MG FILM COATED TABLETS", "AstraZeneca UK Limited", "United Kingdom"),
+    ("Dapagliflozin", "Dapagliflozin Viatris", "Viatris", "France"),
+    ("Empagliflozin", "Jardiance", "Boehringer Ingelheim International GmbH", "Germany"),
+    ("Semaglutide", "Ozempic", "Novo Nordisk A/S", "Denmark"),
+    ("Metformin", "Glucophage", "Merck", "Spain"),
+]
+
+
+def demo_data(store: DataFrame) -> DataFrame:
+    """The demonstration rows saved into an emptied store."""
+    rows = [(i, *r, "Authorised", "Demo") for i, r in enumerate(DEMO_ROWS)]
+    ddl = "ord long, substance string, product string, company string, country string, status string, source string"
+    return upsert_products(store.limit(0), store.sparkSession.createDataFrame(rows, ddl))
