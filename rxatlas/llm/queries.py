@@ -1,4 +1,4 @@
 """The corpus operators' queries and the SQL they are checked against."""
 
-from . import op1_quality, op2_tokens, op6_language, op9_warc, op10_decontaminate  # noqa: F401
+from . import op1_quality, op2_tokens, op4_jaccard, op6_language, op9_warc, op10_decontaminate  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401
