@@ -43,23 +43,26 @@ def shingle_sets(texts: pa.Array, table, k: int) -> Sets:
     return split_rows(*distinct_shingles(texts, table, k), len(texts))
 
 
-def distinct_shingles(texts: pa.Array, table, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash), sorted and distinct."""
+def distinct_shingles(texts: pa.Array, table, k: int, score_of: Callable[[np.ndarray], np.ndarray] | None = None):
+    """(row, hash), sorted and distinct; with ``score_of``, a number for each word hash, also the sum over each shingle's words."""
     words = Words(*text_bytes(texts), table)
     hashes = words.hashes()
+    scores = score_of(hashes) if score_of else np.zeros(len(hashes), np.int64)
     whole = within(words.row, k)
     rows, found = [words.row[: len(whole)][whole]], [runs(hashes, k)[whole]]
+    sums = [sum(scores[j : j + len(whole)] for j in range(k))[whole]] if len(whole) else [scores[:0]]
     for n in range(1, k):  # rows with fewer words
         short = np.flatnonzero(words.counts == n)
         if len(short):
             rows.append(short)
             found.append(runs(hashes, n)[words.first[short]])
-    row, value = np.concatenate(rows), np.concatenate(found)
+            sums.append(sum(scores[words.first[short] + j] for j in range(n)))
+    row, value, score = np.concatenate(rows), np.concatenate(found), np.concatenate(sums)
     order = np.lexsort((value, row))
-    row, value = row[order], value[order]
+    row, value, score = row[order], value[order], score[order]
     new = np.ones(len(row), bool)
     new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
-    return row[new], value[new]
+    return (row[new], value[new], score[new]) if score_of else (row[new], value[new])
 
 
 def split_rows(row: np.ndarray, value: np.ndarray, n: int) -> Sets:

@@ -10,10 +10,10 @@ through two kinds of skipping:
 * by answers: a set's answers are derived from those of a set highly similar to it (``linking``): sets of one
   component are not compared again, and distances to a common pivot rule others out.
 
-The common order puts shingles that many documents share last. They are counted over all documents: a
+The common order puts what few documents share first. Words and shingles are counted over all documents: a
 batch of texts reports those that occur in several of its documents, the reports are added up, and the ``FREQUENT``
-most frequent ones (a fixed number) get ranks; all others stand before them in hash order. The order never
-decides a result, only the length of the lists.
+most frequent ones of either kind (a fixed number) are kept. Frequent shingles stand last, by rank; the others stand in
+the order of how frequent their words are. The order never decides a result, only the length of the lists.
 
 Shingles are 64-bit hashes of words lower-cased in A-Z; classes are told apart by 128 bits and the size.
 
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, linking
-from .textops import SPACED_LOWER, list_array, pieces, signed
+from .textops import SPACED_LOWER, list_array, pieces, runs, signed
 
 K = 3
 SHARE = (90, 100)
@@ -40,39 +40,49 @@ IN_BATCH = 4  # documents of a batch from which a shingle is reported
 FILTER_BITS = 22
 
 
-def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Hashes of the most frequent shingles, in order of their counts."""
+def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent shingles, in the order of their counts, and the most frequent words with a score that grows with theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 22):
-            _, value = linking.distinct_shingles(batch.column("text"), SPACED_LOWER, k)
-            found, counts = np.unique(value, return_counts=True)
-            often = counts >= IN_BATCH
-            yield pa.RecordBatch.from_arrays([pa.array(signed(found[often])), pa.array(counts[often])], names=["h", "n"])
+            for size in (k, 1):
+                _, value = linking.distinct_shingles(batch.column("text"), SPACED_LOWER, size)
+                found, counts = np.unique(value, return_counts=True)
+                often = counts >= IN_BATCH
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(often.sum()), size, np.int32)), pa.array(signed(found[often])), pa.array(counts[often])], names=["size", "h", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
-    return top.column("h").to_numpy()[::-1].view(np.uint64)
+    counted = common.staged(docs.select("text").mapInArrow(run, "size int, h bigint, n bigint").groupBy("size", "h").agg(F.sum("n").alias("n")), "frequent")
+    top = [counted.filter(F.col("size") == size).orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow() for size in (k, 1)]
+    shingles, words = (t.column("h").to_numpy()[::-1].view(np.uint64) for t in top)
+    scores = (16 * np.log2(1 + top[1].column("n").to_numpy()[::-1])).astype(np.int64)
+    return shingles, words, scores
 
 
-def described(docs: DataFrame, k: int, share: tuple[int, int], frequent: np.ndarray) -> DataFrame:
+def described(docs: DataFrame, k: int, share: tuple[int, int], known: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
     """(row_key, id, n, s1, s2, prefix): set size, fingerprints and rarest shingles of every (id, text) row."""
-    order = np.argsort(frequent)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order.astype(np.int64) + 1))
+    shingles, words, scores = known
+    order, by_word = np.argsort(shingles), np.argsort(words)
+    shared = docs.sparkSession.sparkContext.broadcast((shingles[order], order.astype(np.int64) + 1, words[by_word], scores[by_word]))
     kind = docs.schema["id"].dataType.simpleString()
     num, den = share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank_of = shared.value
+        often, rank_of, vocabulary, word_scores = shared.value
+
+        def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+            if not len(keys):
+                return np.zeros(len(wanted), np.int64)
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            return np.where(keys[at] == wanted, values[at], 0)
+
+        def score_of(hashes: np.ndarray) -> np.ndarray:
+            return looked_up(vocabulary, word_scores, runs(hashes, 1))
+
         counter = common.row_keys()
         for batch in pieces(batches, "text"):
-            row, value = linking.distinct_shingles(batch.column("text"), SPACED_LOWER, k)
+            row, value, score = linking.distinct_shingles(batch.column("text"), SPACED_LOWER, k, score_of)
             s1, s2 = linking.hash_rows(row, value, batch.num_rows)
-            rank = np.zeros(len(value), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, value), len(known) - 1)
-                rank = np.where(known[at] == value, rank_of[at], 0)
-            by = np.lexsort((value, rank, row))
+            by = np.lexsort((value, score, looked_up(often, rank_of, value), row))
             row, value = row[by], value[by]
             sizes = np.bincount(row, minlength=batch.num_rows)
             place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -138,7 +148,7 @@ def class_texts(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, share: tuple[int, int] = SHARE) -> DataFrame:
     """One row per document: the key, ``n_shingles``, ``class_id`` (rows with equal sets) and ``component_id`` (smallest key)."""
     own = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    rows = common.staged(described(own, k, share, frequent_shingles(own, k)), "shingle-sets")
+    rows = common.staged(described(own, k, share, frequent(own, k)), "shingle-sets")
     by = ["n", "s1", "s2"]
     classes = common.staged(rows.groupBy(*by).agg(F.min("row_key").alias("class_id"), F.min("id").alias("least")), "set-classes")
 
