@@ -92,7 +92,7 @@ class Cover:
         first = np.flatnonzero(new)
         self.at, self.low = picked[first], begins[first]
         self.high = begins[np.append(first[1:], len(begins)) - 1]
-        self.grams = grams[self.at]
+        self.grams = mix(grams[self.at])  # minima are small numbers: spread them again
 
     def triples(self) -> np.ndarray:
         """A name for each position's triple."""
@@ -105,44 +105,69 @@ def text_names(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return tuple(range_hash(prefix_hash(byte_table(seed)[data]), bounds[:-1], bounds[1:]) for seed in (3, 9))
 
 
-def _sampled(docs: DataFrame, length: int) -> DataFrame:
+def _grams(docs: DataFrame, length: int) -> DataFrame:
+    """The grams that are sampled more than once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             c = Cover(batch.column("text"), length)
             if len(c.at):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(c.grams)), pa.array(signed(c.triples()))], names=["gram", "triple"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(c.grams))], names=["gram"])
 
-    return docs.select("text").mapInArrow(run, "gram bigint, triple bigint")
+    sampled = docs.select("text").mapInArrow(run, "gram bigint")
+    return sampled.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
 
 
-_SAMPLE = "t1 bigint, t2 bigint, gram bigint, triple bigint, low int, off int, starts int, bytes binary"
+def _place_name(t1: np.ndarray, triples: np.ndarray) -> np.ndarray:
+    return mix(t1 * np.uint64(0x9E3779B97F4A7C15) + triples)
 
 
-def _repeated_samples(docs: DataFrame, length: int, repeated: bytes, mixed: bytes) -> DataFrame:
-    """Positions whose gram occurs more than once, with the text's name; the bytes only where triples differ."""
-    shared = docs.sparkSession.sparkContext.broadcast((repeated, mixed))
+def _samples(docs: DataFrame, length: int, twice: bytes) -> DataFrame:
+    """Positions whose gram is sampled more than once, with the text's name."""
+    shared = docs.sparkSession.sparkContext.broadcast(twice)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice, several = (np.frombuffer(x, np.uint8) for x in shared.value)
+        table = np.frombuffer(shared.value, np.uint8)
         for batch in pieces(batches, "text"):
             c = Cover(batch.column("text"), length)
             if not len(c.at):
                 continue
-            keep = _passes(twice, c.grams)
-            at, low, high, grams, triples = (x[keep] for x in (c.at, c.low, c.high, c.grams, c.triples()))
-            if not len(at):
-                continue
+            keep = _passes(table, c.grams)
+            low, high, grams, triples = (x[keep] for x in (c.low, c.high, c.grams, c.triples()))
             row = np.searchsorted(c.bounds, low, "right") - 1
-            t1, t2 = text_names(batch.column("text"))
+            t1, t2 = (t[row] for t in text_names(batch.column("text")))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(t1)), pa.array(signed(t2)), pa.array(signed(grams)), pa.array(signed(triples)), pa.array(signed(_place_name(t1, triples))),
+                 pa.array((low - c.bounds[row]).astype(np.int32)), pa.array((high - low + 1).astype(np.int32))],
+                names=["t1", "t2", "gram", "triple", "place", "low", "starts"])
+
+    return docs.select("text").mapInArrow(run, "t1 bigint, t2 bigint, gram bigint, triple bigint, place bigint, low int, starts int")
+
+
+def _stretches(docs: DataFrame, length: int, places: bytes) -> DataFrame:
+    """The bytes of the triples at chosen places, once in each batch."""
+    shared = docs.sparkSession.sparkContext.broadcast(places)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(shared.value, np.uint8)
+        for batch in pieces(batches, "text"):
+            c = Cover(batch.column("text"), length)
+            if not len(c.at):
+                continue
+            triples, row = c.triples(), np.searchsorted(c.bounds, c.low, "right") - 1
+            t1, t2 = (t[row] for t in text_names(batch.column("text")))
+            place = _place_name(t1, triples)
+            which = np.flatnonzero(_passes(table, place))
+            which = which[np.unique(place[which], return_index=True)[1]]
+            low, high = c.low[which], c.high[which]
             raw = c.data.tobytes()
-            whole = _passes(several, grams).tolist()
-            stretch = [raw[a : b + length] if w else None for a, b, w in zip(low.tolist(), high.tolist(), whole, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(t1[row])), pa.array(signed(t2[row])), pa.array(signed(grams)), pa.array(signed(triples)),
-                 pa.array((low - c.bounds[row]).astype(np.int32)), pa.array((at - low).astype(np.int32)), pa.array((high - low + 1).astype(np.int32)), pa.array(stretch, pa.binary())],
-                names=["t1", "t2", "gram", "triple", "low", "off", "starts", "bytes"])
+                [pa.array(signed(x[which])) for x in (t1, t2, c.grams, triples, place)]
+                + [pa.array((low - c.bounds[row[which]]).astype(np.int32)), pa.array((c.at[which] - low).astype(np.int32)), pa.array((high - low + 1).astype(np.int32)),
+                   pa.array([raw[a : b + length] for a, b in zip(low.tolist(), high.tolist(), strict=True)], pa.binary())],
+                names=["t1", "t2", "gram", "triple", "place", "low", "off", "starts", "bytes"])
 
-    return docs.select("text").mapInArrow(run, _SAMPLE)
+    return docs.select("text").mapInArrow(run, "t1 bigint, t2 bigint, gram bigint, triple bigint, place bigint, low int, off int, starts int, bytes binary")
 
 
 def _strings(batch: pa.RecordBatch, length: int):
@@ -208,16 +233,16 @@ _SPANS = "t1 bigint, t2 bigint, start bigint, end bigint"
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(t1, t2, spans) for each text with repeated strings: sorted, overlapping (start, end) in bytes."""
-    names = common.staged(_sampled(docs, length).groupBy("gram", "triple").agg(F.count("*").alias("n")), "triple-names")
-    grams = names.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
-    known = common.staged(names.join(grams.select("gram", "kinds"), "gram"), "repeated-grams")
-    samples = _repeated_samples(docs, length, _filter_table(known, "gram"), _filter_table(known.filter("kinds > 1"), "gram"))
-    found = common.staged(samples.join(known, ["gram", "triple"]), "repeated-samples")
-    settled = found.filter("n > 1").select("t1", "t2", F.col("low").cast("bigint").alias("start"), (F.col("low") + F.col("starts") + F.lit(length - 1)).cast("bigint").alias("end"))
-
-    one = F.first(F.struct("t1", "t2", "low", "off", "starts", "bytes")).alias("s")
-    left = found.filter("kinds > 1").groupBy("gram", "triple", "n", "kinds").agg(one).select("gram", "n", "kinds", "s.*")
-    left = common.staged(left, "triples-left")
+    grams = common.staged(_grams(docs, length), "repeated-grams")
+    samples = common.staged(_samples(docs, length, _filter_table(grams, "gram")), "repeated-samples")
+    triples = common.staged(samples.groupBy("gram", "triple").agg(F.count("*").alias("n"), F.min("place").alias("place")), "triples")
+    settled = samples.join(triples.filter("n > 1").select("gram", "triple"), ["gram", "triple"]).select(
+        "t1", "t2", F.col("low").cast("bigint").alias("start"), (F.col("low") + F.col("starts") + F.lit(length - 1)).cast("bigint").alias("end"))
+
+    several = triples.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    left = common.staged(triples.join(several, "gram"), "triples-left")
+    bodies = _stretches(docs, length, _filter_table(left, "place"))
+    left = common.staged(bodies.join(left, ["gram", "triple", "place"]).dropDuplicates(["gram", "triple"]), "triple-bytes")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_gram(batches):
