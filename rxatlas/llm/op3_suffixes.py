@@ -276,19 +276,41 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
+def whole_characters(body: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs without the bytes of characters that they cover in part."""
+    out = []
+    for a, b in runs:
+        while a < b and body[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(body) and body[b] & 0xC0 == 0x80:
+            b -= 1
+        if a < b:
+            out.append((a, b))
+    return out
+
+
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep_text: bool = False) -> DataFrame:
     """One row per document: the key, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and the removed ``spans``;
-    with ``keep_text`` also ``kept``, the remaining bytes."""
+    with ``keep_text`` also ``kept``, the remaining text. A text stays text: characters of which a part repeats stay whole in it."""
     own = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
     spans = common.staged(repeated_spans(own, length), "repeated-spans")
     shared = docs.sparkSession.sparkContext.broadcast(_filter_table(spans, "t1"))
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(only: bool | None = None) -> DataFrame:
+        """The rows with their text's name; with ``only`` those that may, or surely do not, have spans."""
+        return own.mapInArrow(lambda batches: name(batches, only), f"id {kind}, n_bytes bigint, t1 bigint, t2 bigint, digest string, body binary")
+
+    def name(batches: Iterator[pa.RecordBatch], only: bool | None) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shared.value, np.uint8)
         for batch in pieces(batches, "text"):
             t1, t2 = text_names(batch.column("text"))
             travels = _passes(table, t1)
+            if only is not None:
+                batch = batch.filter(pa.array(travels == only))
+                t1, t2, travels = (x[travels == only] for x in (t1, t2, travels))
+                if not batch.num_rows:
+                    continue
             data, bounds = text_bytes(batch.column("text"))
             raw = data.tobytes()
             rows = [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
@@ -298,8 +320,10 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                 [batch.column("id"), pa.array(np.diff(bounds)), pa.array(signed(t1)), pa.array(signed(t2)), pa.array(digest, pa.string()), pa.array(body, pa.binary())],
                 names=["id", "n_bytes", "t1", "t2", "digest", "body"])
 
-    named = own.mapInArrow(name, f"id {kind}, n_bytes bigint, t1 bigint, t2 bigint, digest string, body binary")
-    joined = named.join(spans, ["t1", "t2"], "left").select("id", "n_bytes", "digest", "body", "spans")
+    columns = ["id", "n_bytes", "digest", "body", "spans"]
+    joined = named(True if keep_text else None).join(spans, ["t1", "t2"], "left").select(columns)
+    if keep_text:  # whole texts without spans stay where they are
+        joined = joined.unionByName(named(False).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)).select(columns))
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,12 +339,16 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                 out["n_spans"].append(len(runs))
                 out["kept_sha256"].append(digest.as_py() or hashlib.sha256(kept).hexdigest())
                 out["spans"].append([{"start": a, "end": b} for a, b in runs])
-                out["kept"].append(kept if keep_text else None)
+                if keep_text:
+                    edges = [0, *(e for s in whole_characters(body, runs) for e in s), len(body)]
+                    out["kept"].append(b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode())
+                else:
+                    out["kept"].append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("n_bytes"), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept_sha256"], pa.string()), pa.array(out["spans"], span_type), pa.array(out["kept"], pa.binary())],
+                [batch.column("id"), batch.column("n_bytes"), pa.array(out["n_removed"], pa.int64()), pa.array(out["n_spans"], pa.int64()), pa.array(out["kept_sha256"], pa.string()), pa.array(out["spans"], span_type), pa.array(out["kept"], pa.string())],
                 names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
-    result = joined.mapInArrow(cut, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    result = joined.mapInArrow(cut, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept string")
     return (result if keep_text else result.drop("kept")).withColumnRenamed("id", key)
 
 

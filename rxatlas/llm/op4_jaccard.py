@@ -37,7 +37,6 @@ K = 3
 SHARE = (90, 100)
 FREQUENT = 1 << 16
 IN_BATCH = 4  # documents of a batch from which a shingle is reported
-FILTER_BITS = 22
 
 
 def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,26 +112,9 @@ def size_block(n: Column, share: tuple[int, int]) -> Column:
     return F.floor(F.log(n.cast("double")) / float(np.log(share[1] / share[0])) + 1e-9).cast("int")
 
 
-def only_ids(df: DataFrame, ids: DataFrame, column: str, id_column: str) -> DataFrame:
-    """Rows of ``df`` that may have one of the ids: a table of 2**FILTER_BITS hash buckets, whose size does not depend
-    on the data, drops the others before anything is shuffled. What passes wrongly is for a join to drop."""
-    buckets = F.pmod(F.xxhash64(id_column), F.lit(1 << FILTER_BITS)).cast("int")
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[ids.select(buckets.alias("b")).distinct().toArrow().column("b").to_numpy()] = True
-    shared = df.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
-    marked = df.withColumn("_bucket", F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS)).cast("int"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(table[batch.column("_bucket").to_numpy(zero_copy_only=False)]))
-
-    return marked.mapInArrow(run, marked.schema).drop("_bucket")
-
-
 def class_texts(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """(id, text): one text for each class, found by the class's least document id and checked by its fingerprints."""
-    near = only_ids(docs, classes, "id", "least")
+    near = common.by_key_table(docs, "id", classes, "least")
     found = near.join(classes, near.id.eqNullSafe(classes.least)).select("class_id", "text", "n", "s1", "s2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
