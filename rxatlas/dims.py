@@ -13,137 +13,137 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _names(text: str) -> list[str]:
-    return [name.strip() for name in text.replace("\n", " ").split(",") if name.strip()]
-
-
 # --- Fixed values: country lists -------------------------------------------------------------
 
-EU_COUNTRIES = _names("""
-Austria, Belgium, Bulgaria, Croatia, Cyprus, Czech Republic, Denmark, Estonia, Finland, France,
-Germany, Greece, Hungary, Ireland, Italy, Latvia, Lithuania, Luxembourg, Malta, Netherlands, Poland,
-Portugal, Romania, Slovakia, Slovenia, Spain, Sweden
-""")
-EEA_COUNTRIES = _names("Norway, Iceland, Liechtenstein")
-UK_COUNTRIES = _names("United Kingdom")
-AFRICA_COUNTRIES = _names("""
-Algeria, Angola, Benin, Botswana, Burkina Faso, Burundi, Cabo Verde, Cameroon,
-Central African Republic, Chad, Comoros, Democratic Republic of the Congo, Djibouti, Egypt,
-Equatorial Guinea, Eritrea, Eswatini, Ethiopia, Gabon, Gambia, Ghana, Guinea, Guinea-Bissau,
-Ivory Coast, Kenya, Lesotho, Liberia, Libya, Madagascar, Malawi, Mali, Mauritania, Mauritius,
-Morocco, Mozambique, Namibia, Niger, Nigeria, Republic of the Congo, Rwanda, Sao Tome and Principe,
-Senegal, Seychelles, Sierra Leone, Somalia, South Africa, South Sudan, Sudan, Tanzania, Togo,
-Tunisia, Uganda, Zambia, Zimbabwe
-""")
-MIDDLE_EAST_COUNTRIES = _names("""
-Bahrain, Cyprus, Egypt, Iran, Iraq, Israel, Jordan, Kuwait, Lebanon, Oman, Palestine, Qatar,
-Saudi Arabia, Syria, Turkey, United Arab Emirates, Yemen
-""")
-ASIA_COUNTRIES = _names("""
-Afghanistan, Armenia, Azerbaijan, Bahrain, Bangladesh, Bhutan, Brunei, Cambodia, China, Cyprus,
-Georgia, Hong Kong, India, Indonesia, Iran, Iraq, Israel, Japan, Jordan, Kazakhstan, Kuwait,
-Kyrgyzstan, Laos, Lebanon, Malaysia, Maldives, Mongolia, Myanmar, Nepal, North Korea, Oman, Pakistan,
-Palestine, Philippines, Qatar, Saudi Arabia, Singapore, South Korea, Sri Lanka, Syria, Taiwan,
-Tajikistan, Thailand, Timor-Leste, Turkmenistan, Ukraine, United Arab Emirates, Uzbekistan, Vietnam,
-Yemen
-""")
-GLOBAL_COUNTRIES = _names("""
-Afghanistan, Albania, Algeria, Andorra, Angola, Argentina, Armenia, Australia, Austria, Azerbaijan,
-Bahamas, Bahrain, Bangladesh, Barbados, Belarus, Belgium, Belize, Benin, Bhutan, Bolivia,
-Bosnia and Herzegovina, Botswana, Brazil, Brunei, Bulgaria, Burkina Faso, Burundi, Cambodia, Cameroon,
-Canada, Chile, China, Colombia, Costa Rica, Croatia, Cyprus, Czech Republic, Denmark,
-Dominican Republic, Ecuador, Egypt, El Salvador, Estonia, Ethiopia, Finland, France, Georgia, Germany,
-Ghana, Greece, Guatemala, Honduras, Hong Kong, Hungary, Iceland, India, Indonesia, Ireland, Israel,
-Italy, Japan, Jordan, Kazakhstan, Kenya, Kuwait, Latvia, Lebanon, Lithuania, Luxembourg, Malaysia,
-Malta, Mexico, Morocco, Netherlands, New Zealand, Nigeria, Norway, Pakistan, Panama, Paraguay, Peru,
-Philippines, Poland, Portugal, Qatar, Romania, Saudi Arabia, Singapore, Slovakia, Slovenia,
-South Africa, South Korea, Spain, Sri Lanka, Sweden, Switzerland, Taiwan, Thailand, Tunisia, Turkey,
-Ukraine, United Arab Emirates, United Kingdom, United States, Uruguay, Vietnam, Russia
-""")
-REGION_OPTIONS = _names("ALL, EU, UK, US, CA, AU, NZ, AF, ME, AS, CH, JP, RU")
+EU_COUNTRIES = [
+    "Austria", "Belgium", "Bulgaria", "Croatia", "Cyprus", "Czech Republic", "Denmark", "Estonia", "Finland",
+    "France", "Germany", "Greece", "Hungary", "Ireland", "Italy", "Latvia", "Lithuania", "Luxembourg", "Malta",
+    "Netherlands", "Poland", "Portugal", "Romania", "Slovakia", "Slovenia", "Spain", "Sweden",
+]
+EEA_COUNTRIES = ["Norway", "Iceland", "Liechtenstein"]
+UK_COUNTRIES = ["United Kingdom"]
+AFRICA_COUNTRIES = [
+    "Algeria", "Angola", "Benin", "Botswana", "Burkina Faso", "Burundi", "Cabo Verde", "Cameroon",
+    "Central African Republic", "Chad", "Comoros", "Democratic Republic of the Congo", "Djibouti", "Egypt",
+    "Equatorial Guinea", "Eritrea", "Eswatini", "Ethiopia", "Gabon", "Gambia", "Ghana", "Guinea", "Guinea-Bissau",
+    "Ivory Coast", "Kenya", "Lesotho", "Liberia", "Libya", "Madagascar", "Malawi", "Mali", "Mauritania", "Mauritius",
+    "Morocco", "Mozambique", "Namibia", "Niger", "Nigeria", "Republic of the Congo", "Rwanda",
+    "Sao Tome and Principe", "Senegal", "Seychelles", "Sierra Leone", "Somalia", "South Africa", "South Sudan",
+    "Sudan", "Tanzania", "Togo", "Tunisia", "Uganda", "Zambia", "Zimbabwe",
+]
+MIDDLE_EAST_COUNTRIES = [
+    "Bahrain", "Cyprus", "Egypt", "Iran", "Iraq", "Israel", "Jordan", "Kuwait", "Lebanon", "Oman", "Palestine",
+    "Qatar", "Saudi Arabia", "Syria", "Turkey", "United Arab Emirates", "Yemen",
+]
+ASIA_COUNTRIES = [
+    "Afghanistan", "Armenia", "Azerbaijan", "Bahrain", "Bangladesh", "Bhutan", "Brunei", "Cambodia", "China",
+    "Cyprus", "Georgia", "Hong Kong", "India", "Indonesia", "Iran", "Iraq", "Israel", "Japan", "Jordan", "Kazakhstan",
+    "Kuwait", "Kyrgyzstan", "Laos", "Lebanon", "Malaysia", "Maldives", "Mongolia", "Myanmar", "Nepal", "North Korea",
+    "Oman", "Pakistan", "Palestine", "Philippines", "Qatar", "Saudi Arabia", "Singapore", "South Korea", "Sri Lanka",
+    "Syria", "Taiwan", "Tajikistan", "Thailand", "Timor-Leste", "Turkmenistan", "Ukraine", "United Arab Emirates",
+    "Uzbekistan", "Vietnam", "Yemen",
+]
+GLOBAL_COUNTRIES = [
+    "Afghanistan", "Albania", "Algeria", "Andorra", "Angola", "Argentina", "Armenia", "Australia", "Austria",
+    "Azerbaijan", "Bahamas", "Bahrain", "Bangladesh", "Barbados", "Belarus", "Belgium", "Belize", "Benin", "Bhutan",
+    "Bolivia", "Bosnia and Herzegovina", "Botswana", "Brazil", "Brunei", "Bulgaria", "Burkina Faso", "Burundi",
+    "Cambodia", "Cameroon", "Canada", "Chile", "China", "Colombia", "Costa Rica", "Croatia", "Cyprus",
+    "Czech Republic", "Denmark", "Dominican Republic", "Ecuador", "Egypt", "El Salvador", "Estonia", "Ethiopia",
+    "Finland", "France", "Georgia", "Germany", "Ghana", "Greece", "Guatemala", "Honduras", "Hong Kong", "Hungary",
+    "Iceland", "India", "Indonesia", "Ireland", "Israel", "Italy", "Japan", "Jordan", "Kazakhstan", "Kenya", "Kuwait",
+    "Latvia", "Lebanon", "Lithuania", "Luxembourg", "Malaysia", "Malta", "Mexico", "Morocco", "Netherlands",
+    "New Zealand", "Nigeria", "Norway", "Pakistan", "Panama", "Paraguay", "Peru", "Philippines", "Poland", "Portugal",
+    "Qatar", "Romania", "Saudi Arabia", "Singapore", "Slovakia", "Slovenia", "South Africa", "South Korea", "Spain",
+    "Sri Lanka", "Sweden", "Switzerland", "Taiwan", "Thailand", "Tunisia", "Turkey", "Ukraine",
+    "United Arab Emirates", "United Kingdom", "United States", "Uruguay", "Vietnam", "Russia",
+]
+REGION_OPTIONS = ["ALL", "EU", "UK", "US", "CA", "AU", "NZ", "AF", "ME", "AS", "CH", "JP", "RU"]
 SINGLE_COUNTRY_REGIONS = {
     "UK": "United Kingdom", "US": "United States", "CA": "Canada", "AU": "Australia",
     "NZ": "New Zealand", "CH": "Switzerland", "JP": "Japan",
 }
 REGION_NAMES = {"US": ("United States", "FDA"), "UK": ("United Kingdom", "MHRA"), "EU": ("European Union", "EMA")}
 # Countries looked for in leaflet texts; "The Netherlands" is reported as "Netherlands".
-DOCUMENT_COUNTRIES = _names("""
-Australia, Austria, Belgium, Bulgaria, Canada, Croatia, Cyprus, Czech Republic, Denmark, Estonia,
-Finland, France, Germany, Greece, Hungary, Iceland, Ireland, Italy, Japan, Latvia, Lithuania,
-Luxembourg, Malta, Netherlands, Norway, Poland, Portugal, Romania, Slovakia, Slovenia, Spain, Sweden,
-Switzerland, The Netherlands, United Kingdom, United States
-""")
+DOCUMENT_COUNTRIES = [
+    "Australia", "Austria", "Belgium", "Bulgaria", "Canada", "Croatia", "Cyprus", "Czech Republic", "Denmark",
+    "Estonia", "Finland", "France", "Germany", "Greece", "Hungary", "Iceland", "Ireland", "Italy", "Japan", "Latvia",
+    "Lithuania", "Luxembourg", "Malta", "Netherlands", "Norway", "Poland", "Portugal", "Romania", "Slovakia",
+    "Slovenia", "Spain", "Sweden", "Switzerland", "The Netherlands", "United Kingdom", "United States",
+]
 
 MULTI_COUNTRY_REGIONS = {"AF": AFRICA_COUNTRIES, "ME": MIDDLE_EAST_COUNTRIES, "AS": ASIA_COUNTRIES}
 
-# --- Fixed values: connectors (name | region | countries | supports documents | enabled) -----
-
-EU27 = ", ".join(EU_COUNTRIES)
-CONNECTOR_TABLE = f"""
-FDA | US | United States | yes | on
-FDA Orange Book | US | United States | no | on
-FDA Purple Book | US | United States | no | on
-MHRA | UK | United Kingdom | yes | on
-EMA | EU | {EU27} | yes | on
-EU MRI Product Index | EU | {EU27} | yes | on
-Health Canada | CA | Canada | no | on
-TGA Australia | AU | Australia | yes | on
-Medsafe New Zealand | NZ | New Zealand | yes | on
-SAHPRA South Africa | AF | South Africa | no | on
-FDA Ghana | AF | Ghana | no | on
-SFDA Saudi Arabia | ME | Saudi Arabia | no | on
-Israel Drug Registry | ME | Israel | no | on
-CDSCO India | AS | India | no | on
-NMPA China | AS | China | no | on
-BPOM Indonesia | AS | Indonesia | no | on
-NPRA Malaysia | AS | Malaysia | no | on
-FDA Philippines | AS | Philippines | no | on
-HSA Singapore | AS | Singapore | no | on
-MFDS South Korea | AS | South Korea | no | on
-Thai FDA | AS | Thailand | no | on
-DAV Vietnam | AS | Vietnam | no | on
-Swissmedic | CH | Switzerland | no | off
-PMDA Japan | JP | Japan | no | on
-Hong Kong Drug Office | AS | Hong Kong | no | on
-Belgium FAMHP | EU | Belgium | yes | on
-France BDPM | EU | France | no | on
-Ireland medicines.ie | EU | Ireland | yes | on
-Spain CIMA | EU | Spain | yes | on
-Cyprus Pharmaceutical Services | EU | Cyprus | no | on
-Ukraine DRLZ | EU | Ukraine | no | on
-GRLS Russia | RU | Russia | no | on
-"""
+# --- Fixed values: connectors ------------------------------------------------------------------
+
+# name, region, countries, supports documents, enabled
+CONNECTORS = [
+    ("FDA", "US", ["United States"], True, True),
+    ("FDA Orange Book", "US", ["United States"], False, True),
+    ("FDA Purple Book", "US", ["United States"], False, True),
+    ("MHRA", "UK", ["United Kingdom"], True, True),
+    ("EMA", "EU", EU_COUNTRIES, True, True),
+    ("EU MRI Product Index", "EU", EU_COUNTRIES, True, True),
+    ("Health Canada", "CA", ["Canada"], False, True),
+    ("TGA Australia", "AU", ["Australia"], True, True),
+    ("Medsafe New Zealand", "NZ", ["New Zealand"], True, True),
+    ("SAHPRA South Africa", "AF", ["South Africa"], False, True),
+    ("FDA Ghana", "AF", ["Ghana"], False, True),
+    ("SFDA Saudi Arabia", "ME", ["Saudi Arabia"], False, True),
+    ("Israel Drug Registry", "ME", ["Israel"], False, True),
+    ("CDSCO India", "AS", ["India"], False, True),
+    ("NMPA China", "AS", ["China"], False, True),
+    ("BPOM Indonesia", "AS", ["Indonesia"], False, True),
+    ("NPRA Malaysia", "AS", ["Malaysia"], False, True),
+    ("FDA Philippines", "AS", ["Philippines"], False, True),
+    ("HSA Singapore", "AS", ["Singapore"], False, True),
+    ("MFDS South Korea", "AS", ["South Korea"], False, True),
+    ("Thai FDA", "AS", ["Thailand"], False, True),
+    ("DAV Vietnam", "AS", ["Vietnam"], False, True),
+    ("Swissmedic", "CH", ["Switzerland"], False, False),
+    ("PMDA Japan", "JP", ["Japan"], False, True),
+    ("Hong Kong Drug Office", "AS", ["Hong Kong"], False, True),
+    ("Belgium FAMHP", "EU", ["Belgium"], True, True),
+    ("France BDPM", "EU", ["France"], False, True),
+    ("Ireland medicines.ie", "EU", ["Ireland"], True, True),
+    ("Spain CIMA", "EU", ["Spain"], True, True),
+    ("Cyprus Pharmaceutical Services", "EU", ["Cyprus"], False, True),
+    ("Ukraine DRLZ", "EU", ["Ukraine"], False, True),
+    ("GRLS Russia", "RU", ["Russia"], False, True),
+]
 
 # --- Fixed values: source selection -----------------------------------------------------------
 
-DEFAULT_SOURCES = _names("""
-EMA, EU MRI Product Index, Belgium FAMHP, France BDPM, Ireland medicines.ie, Spain CIMA, MHRA, FDA,
-FDA Orange Book, FDA Purple Book, Health Canada, TGA Australia, Medsafe New Zealand,
-SAHPRA South Africa, FDA Ghana, SFDA Saudi Arabia, Israel Drug Registry, CDSCO India, NMPA China,
-BPOM Indonesia, NPRA Malaysia, FDA Philippines, HSA Singapore, MFDS South Korea, Thai FDA, DAV Vietnam,
-PMDA Japan, Hong Kong Drug Office, Cyprus Pharmaceutical Services, Ukraine DRLZ, GRLS Russia
-""")
-EU_NATIONAL_SOURCES = _names("""
-Belgium FAMHP, EU MRI Product Index, France BDPM, Ireland medicines.ie, Spain CIMA,
-Cyprus Pharmaceutical Services, Ukraine DRLZ
-""")
-FAST_SOURCES = _names("FDA, FDA Orange Book, FDA Purple Book, Spain CIMA")
-SLOW_SOURCES = _names("""
-GRLS Russia, TGA Australia, Medsafe New Zealand, MHRA, EMA, EU MRI Product Index, Belgium FAMHP,
-Ireland medicines.ie
-""")
+DEFAULT_SOURCES = [
+    "EMA", "EU MRI Product Index", "Belgium FAMHP", "France BDPM", "Ireland medicines.ie", "Spain CIMA", "MHRA",
+    "FDA", "FDA Orange Book", "FDA Purple Book", "Health Canada", "TGA Australia", "Medsafe New Zealand",
+    "SAHPRA South Africa", "FDA Ghana", "SFDA Saudi Arabia", "Israel Drug Registry", "CDSCO India", "NMPA China",
+    "BPOM Indonesia", "NPRA Malaysia", "FDA Philippines", "HSA Singapore", "MFDS South Korea", "Thai FDA",
+    "DAV Vietnam", "PMDA Japan", "Hong Kong Drug Office", "Cyprus Pharmaceutical Services", "Ukraine DRLZ",
+    "GRLS Russia",
+]
+EU_NATIONAL_SOURCES = [
+    "Belgium FAMHP", "EU MRI Product Index", "France BDPM", "Ireland medicines.ie", "Spain CIMA",
+    "Cyprus Pharmaceutical Services", "Ukraine DRLZ",
+]
+FAST_SOURCES = ["FDA", "FDA Orange Book", "FDA Purple Book", "Spain CIMA"]
+SLOW_SOURCES = [
+    "GRLS Russia", "TGA Australia", "Medsafe New Zealand", "MHRA", "EMA", "EU MRI Product Index", "Belgium FAMHP",
+    "Ireland medicines.ie",
+]
 SLOW_COUNTRY_DEFAULTS = SLOW_SOURCES + ["CDSCO India"]
 SINGLE_TERM_SOURCES = ["cdsco india", "hong kong drug office"]
 DOCUMENT_SKIP_SOURCES = ["BPOM Indonesia", "DAV Vietnam", "NPRA Malaysia"]
 REGION_LIVE_SOURCES = {
-    "AF": _names("SAHPRA South Africa, FDA Ghana"),
-    "ME": _names("SFDA Saudi Arabia, Israel Drug Registry"),
-    "AS": _names("""CDSCO India, NMPA China, BPOM Indonesia, NPRA Malaysia, FDA Philippines,
-        HSA Singapore, MFDS South Korea, Thai FDA, DAV Vietnam, PMDA Japan, Hong Kong Drug Office,
-        Israel Drug Registry, SFDA Saudi Arabia"""),
+    "AF": ["SAHPRA South Africa", "FDA Ghana"],
+    "ME": ["SFDA Saudi Arabia", "Israel Drug Registry"],
+    "AS": [
+        "CDSCO India", "NMPA China", "BPOM Indonesia", "NPRA Malaysia", "FDA Philippines", "HSA Singapore",
+        "MFDS South Korea", "Thai FDA", "DAV Vietnam", "PMDA Japan", "Hong Kong Drug Office", "Israel Drug Registry",
+        "SFDA Saudi Arabia",
+    ],
     "EU": EU_NATIONAL_SOURCES,
-    "US": _names("FDA, FDA Orange Book, FDA Purple Book"),
-    "RU": _names("GRLS Russia"),
+    "US": ["FDA", "FDA Orange Book", "FDA Purple Book"],
+    "RU": ["GRLS Russia"],
 }
 COUNTRY_DEFAULT_SOURCE = {
     "Australia": "TGA Australia", "Canada": "Health Canada", "Japan": "PMDA Japan",
@@ -238,14 +238,25 @@ REGIONAL_REGISTERS = [
 
 # --- Fixed values: synonyms and local names ---------------------------------------------------
 
-_LIDO_TAIL = ["lidocaine and prilocaine", "lidocaine", "prilocaine"]
 SYNONYMS = {
     "paracetamol": ["acetaminophen"],
     "acetaminophen": ["paracetamol"],
-    "lidocaine prilocaine": ["prilocaine lidocaine", "lidocaine+prilocaine", "prilocaine+lidocaine", *_LIDO_TAIL],
-    "prilocaine lidocaine": ["lidocaine prilocaine", "lidocaine+prilocaine", "prilocaine+lidocaine", *_LIDO_TAIL],
-    "lidocaine+prilocaine": ["lidocaine prilocaine", "prilocaine lidocaine", "prilocaine+lidocaine", *_LIDO_TAIL],
-    "prilocaine+lidocaine": ["prilocaine lidocaine", "lidocaine prilocaine", "lidocaine+prilocaine", *_LIDO_TAIL],
+    "lidocaine prilocaine": [
+        "prilocaine lidocaine", "lidocaine+prilocaine", "prilocaine+lidocaine", "lidocaine and prilocaine",
+        "lidocaine", "prilocaine",
+    ],
+    "prilocaine lidocaine": [
+        "lidocaine prilocaine", "lidocaine+prilocaine", "prilocaine+lidocaine", "lidocaine and prilocaine",
+        "lidocaine", "prilocaine",
+    ],
+    "lidocaine+prilocaine": [
+        "lidocaine prilocaine", "prilocaine lidocaine", "prilocaine+lidocaine", "lidocaine and prilocaine",
+        "lidocaine", "prilocaine",
+    ],
+    "prilocaine+lidocaine": [
+        "prilocaine lidocaine", "lidocaine prilocaine", "lidocaine+prilocaine", "lidocaine and prilocaine",
+        "lidocaine", "prilocaine",
+    ],
 }
 RUSSIAN_NAMES = {
     "atorvastatin": "Аторвастатин", "enalapril": "Эналаприл", "ibuprofen": "Ибупрофен",
@@ -308,13 +319,8 @@ CONNECTOR_STATUS = [
 # --- Derived maps -----------------------------------------------------------------------------
 
 
-@cache
 def connectors() -> list[tuple[str, str, list[str], bool, bool]]:
-    rows = []
-    for line in CONNECTOR_TABLE.strip().splitlines():
-        name, region, countries, documents, enabled = [part.strip() for part in line.split("|")]
-        rows.append((name, region, _names(countries), documents == "yes", enabled == "on"))
-    return rows
+    return CONNECTORS
 
 
 @cache
