@@ -105,8 +105,13 @@ def _label_pattern(labels: list[str]) -> str:
     return f"(?iu)^(?:{alternatives})(?=:|$)"
 
 
-def _left(c: Column, n: int) -> Column:
-    return F.nullif(F.trim(F.substring(c, 1, n)), F.lit(""))
+def _left(c: Column, n: int | None) -> Column:
+    return F.nullif(F.trim(F.substring(c, 1, n) if n else c), F.lit(""))
+
+
+def _after(rows: Column, i: Column, n: int | None) -> Column:
+    """The elements behind place ``i``, the first ``n`` of them if a number is given."""
+    return F.slice(rows, i + 2, F.lit(n) if n else F.size(rows))
 
 
 def _until(rows: Column, stop) -> Column:
@@ -116,7 +121,7 @@ def _until(rows: Column, stop) -> Column:
 
 
 def section_after_label(
-    c: Column | str, labels: list[str], max_lines: int = 14, max_chars: int = 700,
+    c: Column | str, labels: list[str], max_lines: int | None = None, max_chars: int | None = None,
     excluded: list[str] | None = None, continuation: list[str] | None = None, metadata_stop: bool = True,
 ) -> Column:
     """Text after a label line, up to the next heading or metadata label, lines joined with ``"; "``."""
@@ -138,7 +143,7 @@ def section_after_label(
             line = F.get(rows, i)
             rest = F.substring(line, F.length(F.regexp_extract(line, pattern, 0)) + 1, F.length(line))
             remainder = F.nullif(F.ltrim(text(clean_block(rest)), F.lit(": ")), F.lit(""))
-            following = _until(F.slice(rows, i + 2, F.lit(max_lines)), stops)
+            following = _until(_after(rows, i, max_lines), stops)
             kept = F.filter(following, lambda x: ~one_of(_plain_label(x), bare))
             return _left(text(clean_block(F.array_join(F.concat(F.array_compact(F.array(remainder)), kept), "; "))), max_chars)
 
@@ -151,7 +156,7 @@ def section_after_label(
     return let(lines(c), over)
 
 
-def value_after_label(c: Column | str, labels: list[str], max_lines: int = 6, max_chars: int = 400) -> Column:
+def value_after_label(c: Column | str, labels: list[str], max_lines: int | None = None, max_chars: int | None = None) -> Column:
     """D3: the first company-like value at or after a line that contains a label, else all of it."""
     wanted = list(dict.fromkeys(label.lower() for label in labels))
 
@@ -166,7 +171,7 @@ def value_after_label(c: Column | str, labels: list[str], max_lines: int = 6, ma
             without = case([(label == w, F.regexp_replace(line, f"(?iu){re.escape(w)}", "")) for w in wanted])
             remainder = F.nullif(F.ltrim(text(clean_block(without)), F.lit(": ")), F.lit(""))
             following = _until(
-                F.slice(rows, i + 2, F.lit(max_lines)), lambda x: F.rlike(x, F.lit(f"(?iU){METADATA_LABEL}"))
+                _after(rows, i, max_lines), lambda x: F.rlike(x, F.lit(f"(?iU){METADATA_LABEL}"))
             )
             candidates = F.concat(F.array_compact(F.array(remainder)), following)
             company = F.get(F.filter(candidates, company_like), F.lit(0))
@@ -178,7 +183,7 @@ def value_after_label(c: Column | str, labels: list[str], max_lines: int = 6, ma
     return let(lines(c), over)
 
 
-def text_after_label(c: Column | str, labels: list[str], max_chars: int = 500) -> Column:
+def text_after_label(c: Column | str, labels: list[str], max_chars: int | None = None) -> Column:
     """Rest of a label line, else the next line unless that is a label too."""
     pattern = _label_pattern(labels)
     bare = [label.lower() for label in labels]
@@ -213,12 +218,12 @@ def company_names(block: Column, allow_address_name: bool = False) -> Column:
     return F.array_distinct(F.transform(F.filter(parts, wanted), name))
 
 
-def _company_after(c: Column | str, phrase: str, n: int) -> Column:
-    """First company-like line among the ``n`` lines after a line that contains ``phrase``."""
+def _company_after(c: Column | str, phrase: str, n: int | None = None) -> Column:
+    """First company-like line behind a line that contains ``phrase``, up to the next metadata label; among ``n`` lines if given."""
     def over(rows: Column) -> Column:
         near = F.transform(
             F.filter(F.transform(rows, lambda x, i: F.when(F.contains(F.lower(x), F.lit(phrase)), i)), lambda i: i.isNotNull()),
-            lambda i: F.get(F.filter(F.slice(rows, i + 2, F.lit(n)), company_like), F.lit(0)),
+            lambda i: F.get(F.filter(_until(_after(rows, i, n), lambda x: F.rlike(x, F.lit(f"(?iU){METADATA_LABEL}"))), company_like), F.lit(0)),
         )
         return F.get(F.filter(near, lambda v: v.isNotNull()), F.lit(0))
 
@@ -228,12 +233,12 @@ def _company_after(c: Column | str, phrase: str, n: int) -> Column:
 def ma_holder(c: Column | str) -> Column:
     """Marketing authorisation holder."""
     section = section_after_label(
-        c, HOLDER_LABELS, max_lines=6, max_chars=400, excluded=["manufacturer"], continuation=HOLDER_TERMS
+        c, HOLDER_LABELS, excluded=["manufacturer"], continuation=HOLDER_TERMS
     )
     named = let(section, lambda s: F.when(s.isNotNull(), F.coalesce(F.get(company_names(s, True), F.lit(0)), s)))
     loose = value_after_label(c, HOLDER_CONTAINED)
     loose = let(loose, lambda v: F.when(F.lower(v) != "and manufacturer", v))
-    return F.coalesce(named, loose, _company_after(c, "marketing authorisation holder", 4))
+    return F.coalesce(named, loose, _company_after(c, "marketing authorisation holder"))
 
 
 def manufacturer_blocks(c: Column | str) -> Column:
@@ -243,7 +248,7 @@ def manufacturer_blocks(c: Column | str) -> Column:
         F.regexp_extract_all(text(c), F.lit(f"(?isU){MAKER_BLOCK}"), F.lit(1)), lambda b: text(clean_block(b))
     )
     full = F.filter(found, lambda b: b != "")
-    return F.array_distinct(F.concat(F.array_compact(F.array(section)), F.transform(full, lambda b: F.substring(b, 1, 700))))
+    return F.array_distinct(F.concat(F.array_compact(F.array(section)), full))
 
 
 def manufacturers(c: Column | str) -> Column:
@@ -254,26 +259,26 @@ def manufacturers(c: Column | str) -> Column:
 
     colon = let(
         clean_block(extract(c, f"(?isU){MAKER_COLON}", 1)),
-        lambda v: F.substring(F.coalesce(F.nullif(F.array_join(company_names(v), "; "), F.lit("")), v), 1, 500),
+        lambda v: F.coalesce(F.nullif(F.array_join(company_names(v), "; "), F.lit("")), v),
     )
     return F.coalesce(
-        let(manufacturer_blocks(c), from_blocks), colon, value_after_label(c, MAKER_CONTAINED), _company_after(c, "manufacturer", 5)
+        let(manufacturer_blocks(c), from_blocks), colon, value_after_label(c, MAKER_CONTAINED), _company_after(c, "manufacturer")
     )
 
 
 def report_manufacturer(c: Column | str) -> Column:
     """D6, the variant for all sources: struct of names and countries, NULL when none is found."""
-    def described(value: Column, limit: int | None = None) -> Column:
+    def described(value: Column) -> Column:
         named = F.coalesce(F.nullif(F.array_join(company_names(value), "; "), F.lit("")), value)
         return F.when(
             value.isNotNull(),
-            F.struct((F.substring(named, 1, limit) if limit else named).alias("name"), extract_countries(value).alias("country")),
+            F.struct(named.alias("name"), extract_countries(value).alias("country")),
         )
 
     def matched(pattern: str) -> Column:
         block = clean_block(extract(c, f"(?isU){pattern}", 1))
         rest = F.regexp_replace(block, r"(?iU)^(?:responsible for batch release|of the medicinal product)\s*:?\s*", "")
-        return let(rest, lambda v: described(F.when(F.length(v) >= 4, v), 500))
+        return let(rest, lambda v: described(F.when(F.length(v) >= 4, v)))
 
     section = section_after_label(c, MAKER_LABELS, excluded=HOLDER_TERMS[:2], metadata_stop=False)
     return F.coalesce(let(section, lambda v: described(v)), *[matched(p) for p in REPORT_MAKER])
@@ -284,10 +289,6 @@ def extract_countries(c: Column | str) -> Column:
     return F.nullif(F.array_join(_countries(c), "; "), F.lit(""))
 
 
-def extract_country(c: Column | str) -> Column:
-    return F.get(_countries(c), F.lit(0))
-
-
 def _countries(c: Column | str) -> Column:
     by_length = sorted(DOCUMENT_COUNTRIES, key=len, reverse=True)
 
@@ -307,9 +308,9 @@ def pack_info(c: Column | str) -> Column:
 
         def after(marker: str) -> Column:
             at = F.locate(marker.lower(), low)
-            section = F.when(at > 0, clean_block(F.substring(value, at, F.lit(700))))
+            section = F.when(at > 0, clean_block(F.substring(value, at, F.length(value))))
             return let(section, lambda s: F.coalesce(
-                F.substring(clean_block(extract(s, f"(?iU){PACK_SENTENCE}")), 1, 250), extract_pack_size(s)
+                clean_block(extract(s, f"(?iU){PACK_SENTENCE}")), extract_pack_size(s)
             ))
 
         return F.coalesce(*[after(m) for m in PACK_MARKERS])
@@ -318,32 +319,27 @@ def pack_info(c: Column | str) -> Column:
 
 
 def report_pack(c: Column | str) -> Column:
-    """D8, the variant for all sources: "Available in …", a marker's surroundings, the document's start."""
+    """D8, the variant for all sources: "Available in …", what follows a marker, the whole document."""
     def over(value: Column) -> Column:
-        available = F.substring(collapse_ws(extract(value, f"(?isU){PACK_AVAILABLE}", 1)), 1, 500)
+        available = collapse_ws(extract(value, f"(?isU){PACK_AVAILABLE}", 1))
         low = F.lower(value)
 
         def after(marker: str) -> Column:
             at = F.locate(marker, low)
-            return F.when(at > 0, extract_pack_size(F.substring(value, at, F.lit(1200))))
+            return F.when(at > 0, extract_pack_size(F.substring(value, at, F.length(value))))
 
         markers = [after(m) for m in ("pack size", "pack sizes", "package size", "package sizes")]
-        return F.coalesce(available, *markers, extract_pack_size(F.substring(value, 1, 5000)))
+        return F.coalesce(available, *markers, extract_pack_size(value))
 
     return let(text(c), over)
 
 
 def indication(c: Column | str) -> Column:
-    """Therapeutic indication of at least 12 characters, cut at a word after 500."""
+    """Therapeutic indication of at least 12 characters."""
     def cleaned(c: Column) -> Column:
         plain = F.regexp_replace(collapse_ws(c), r"(?iU)^(therapeutic indications?|what .*? is used for)\s*[:.-]?\s*", "")
 
-        def cut(v: Column) -> Column:
-            short = F.regexp_replace(F.substring(v, 1, 500), r"(?s) [^ ]*$", "")
-            value = F.when(F.length(v) > 500, F.concat(short, F.lit("..."))).otherwise(v)
-            return F.when(F.length(v) >= 12, value)
-
-        return let(F.trim(plain, F.lit(" :-")), cut)
+        return let(F.trim(plain, F.lit(" :-")), lambda v: F.when(F.length(v) >= 12, v))
 
     return F.coalesce(*[cleaned(extract(c, f"(?isU){p}", 1)) for p in INDICATIONS])
 
@@ -493,10 +489,10 @@ def tables(c: Column | str) -> Column:
     return F.transform(whole, one)
 
 
-def after_phrase_line(c: Column, phrase: str, window: int) -> Column:
-    """Line after the one where a phrase starts, within ``window`` characters of it."""
+def after_phrase_line(c: Column, phrase: str) -> Column:
+    """Line after the one where a phrase starts."""
     at = F.locate(phrase, c)
-    near = F.split(F.substring(c, at, F.lit(window)), "\n")
+    near = F.split(F.substring(c, at, F.length(c)), "\n", 3)
     return F.when(at > 0, F.nullif(F.trim(F.get(near, F.lit(1))), F.lit("")))
 
 

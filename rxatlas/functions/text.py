@@ -16,7 +16,7 @@ DOSAGE_FORMS = [
     ("Prolonged-release tablet", r"\bprolonged[- ]release tablets?\b"),
     ("Modified-release tablet", r"\bmodified[- ]release tablets?\b"),
     ("Film-coated tablet", r"\bfilm[- ]coated tablets?\b"),
-    ("Film-coated tablet", r"\bcomprimidos?\s+recubiertos?\s+con\s+pel[iï¿½]cula\b"),
+    ("Film-coated tablet", r"\bcomprimidos?\s+recubiertos?\s+con\s+pel[iíï¿½]cula\b"),
     ("Tablet", r"\bcomprimidos?\b"),
     ("Orodispersible tablet", r"\borodispersible tablets?\b"),
     ("Tablet", r"\btablets?\b"),

@@ -14,7 +14,6 @@ from ..functions import text as tx
 from ..functions.base import clean_block, non_empty, opt, text
 
 URL_ORDER = ["smpc_url", "pil_url", "assessment_report_url", "product_url", "url"]
-TEXT_WINDOW = 12000  # fixed value: characters read for strength, form, route and ATC code
 MAKER = ["manufacturer_name", "manufacturer_country", "manufacturer_source"]
 LINK_FIELDS = ["smpc_url", "pil_url", "assessment_report_url"]
 UK_FIELDS = ["company", *MAKER, "pack_size", *LINK_FIELDS]
@@ -28,12 +27,12 @@ EXTRACTION_FIELDS = {
 EXTRACTION_KEY = ["source", "country", "product", "registration_number", "smpc_url", "pil_url", "url"]
 
 
-def read_documents(pages: DataFrame, edge: int = 6) -> DataFrame:
-    """Text of a document from its first and last ``edge`` pages, in page order.
+def read_documents(pages: DataFrame, edge: int | None = None) -> DataFrame:
+    """Text of a document from its pages, in page order.
 
-    ``pages``: (url, page_no from 0, n_pages, text). At most ``2 * edge`` pages per document are kept.
+    ``pages``: (url, page_no from 0, n_pages, text). With ``edge`` only the first and last so many pages are read.
     """
-    kept = pages.filter((F.col("page_no") < edge) | (F.col("page_no") >= F.col("n_pages") - edge))
+    kept = pages if edge is None else pages.filter((F.col("page_no") < edge) | (F.col("page_no") >= F.col("n_pages") - edge))
     ordered = F.array_sort(F.collect_list(F.struct("page_no", text("text").alias("text"))))
     return kept.groupBy("url").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("text"))
 
@@ -51,17 +50,16 @@ def uk_metadata(docs: DataFrame) -> DataFrame:
 
 def extracted_fields(docs: DataFrame) -> DataFrame:
     """What a document offers to any row that links to it, one row per ``doc_url`` with a text."""
-    head = F.substring("text", 1, TEXT_WINDOW)
-    known = docs.filter(non_empty("text").isNotNull()).withColumn("_head", head)
-    found = F.regexp_extract_all(F.col("_head"), F.lit(f"(?iU){tx.strength_pattern()}"), F.lit(0))
+    known = docs.filter(non_empty("text").isNotNull())
+    found = F.regexp_extract_all(F.col("text"), F.lit(f"(?iU){tx.strength_pattern()}"), F.lit(0))
     preferred = F.filter(found, lambda m: F.rlike(m, F.lit(f"(?iU){tx.PREFERRED_UNITS}")))
     maker = lf.report_manufacturer("text")
     return known.select(
         "doc_url",
         tx.collapse_ws(F.get(preferred, F.lit(0))).alias("strength_1"), tx.collapse_ws(F.get(found, F.lit(0))).alias("strength_2"),
-        form_rank(F.col("_head")).alias("form_rank"), route_rank(F.col("_head")).alias("route_rank"),
-        F.upper(tx.extract("_head", f"(?iU){tx.ATC_LABEL}", 1)).alias("atc_1"),
-        F.upper(tx.extract("_head", rf"(?iU)\b{tx.ATC}\b")).alias("atc_2"),
+        form_rank(F.col("text")).alias("form_rank"), route_rank(F.col("text")).alias("route_rank"),
+        F.upper(tx.extract("text", f"(?iU){tx.ATC_LABEL}", 1)).alias("atc_1"),
+        F.upper(tx.extract("text", rf"(?iU)\b{tx.ATC}\b")).alias("atc_2"),
         lf.report_pack("text").alias("pack_size"), lf.indication("text").alias("therapeutic_category"),
         maker["name"].alias("maker"), maker["country"].alias("maker_country"),
         tx.find_email("text").alias("email"), tx.find_phone("text").alias("phone"),

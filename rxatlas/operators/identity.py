@@ -138,10 +138,11 @@ def merge_by_registration(df: DataFrame) -> DataFrame:
     return fill_from_group(df, {"reg": non_empty("registration_number")}, fields)
 
 
-def dedupe_uk(df: DataFrame, limit: int = 1000) -> DataFrame:
-    """First row per (registration number, document type, url), the first ``limit`` of them."""
+def dedupe_uk(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """First row per (registration number, document type, url); with ``limit`` the first so many of them."""
     keys = [text(opt(df, c)) for c in ("registration_number", "document_type", "url")]
-    return keep_first(df, keys).orderBy("ord").limit(limit)
+    rows = keep_first(df, keys)
+    return rows if limit is None else rows.orderBy("ord").limit(limit)
 
 
 def most_common_first(df: DataFrame, value: Column, order: str = "ord", within: list[str] | None = None) -> DataFrame:

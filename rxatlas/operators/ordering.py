@@ -22,7 +22,6 @@ SORT_COLUMNS = {
     "registration_number": "registration_number", "registration_date": "registration_date",
 }
 SALTS = 64
-WINDOW_LIMIT = 20_000
 
 
 def rank_source(source: Column | str, selected: Column | list[str]) -> Column:
@@ -137,9 +136,9 @@ def clamp_size(size: Column) -> Column:
 def page_of_queries(df: DataFrame, queries: DataFrame, order: list[Column], clamp_last: bool = True) -> DataFrame:
     """One page per query, for many queries at once.
 
-    ``queries`` has (query_id, page, page_size), one row per query. Page sizes are clamped to
-    10..200 and page numbers to the existing ones. The highest rank any page needs is one small
-    aggregate; up to ``WINDOW_LIMIT`` only that many rows per query are ranked, beyond it all are.
+    ``queries`` has (query_id, page, page_size), one row per query. Page sizes are clamped to 10..200 (the feature) and
+    page numbers to the existing ones. Each salted sub-group of a query keeps the rows up to the end of the query's
+    page, so the final ranking sees at most ``SALTS`` times as many rows as that page is deep.
     """
     counts = df.groupBy("query_id").agg(F.count("*").alias("_n"))
     size = clamp_size(F.col("page_size"))
@@ -150,13 +149,10 @@ def page_of_queries(df: DataFrame, queries: DataFrame, order: list[Column], clam
         queries.select("query_id", "page", "page_size").join(counts, "query_id")
         .select("query_id", ((page - 1) * size).alias("_start"), (page * size).alias("_end"))
     )
-    deepest = queries.agg(F.max(F.greatest(F.col("page"), F.lit(1)) * size)).first()[0] or 1
-    if deepest <= WINDOW_LIMIT:
-        ranked = top_within(df, ["query_id"], order, int(deepest))
-    else:
-        ranked = rank_within(df, ["query_id"], order)
-    hits = ranked.join(spans, "query_id").filter((F.col("rank") > F.col("_start")) & (F.col("rank") <= F.col("_end")))
-    return hits.drop("_start", "_end")
+    salted = df.join(spans, "query_id").withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SALTS)))
+    few = salted.withColumn("_local", F.row_number().over(Window.partitionBy("query_id", "_salt").orderBy(*order))).filter("_local <= _end")
+    ranked = few.drop("_salt", "_local").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return ranked.filter((F.col("rank") > F.col("_start")) & (F.col("rank") <= F.col("_end"))).drop("_start", "_end")
 
 
 def paginate(df: DataFrame, order: list[Column], page: int, size: int, clamp_last: bool = True) -> DataFrame:

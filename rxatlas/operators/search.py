@@ -185,49 +185,43 @@ def expand_local_terms(queries: DataFrame) -> DataFrame:
 ANCHOR = 3
 
 
-def _anchor(needle: Column) -> Column:
-    return F.substring(needle, 1, ANCHOR)
-
-
-FEW_ANCHORS = 256
-
-
-def _offer(products: DataFrame, asked: DataFrame, all_offers: Column, few_offers) -> DataFrame:
-    """Products exploded by the anchors they contain.
-
-    A short list of anchors is tested directly; a long one is met by exploding all of a row's own
-    anchors. The list is read with a limit, so the driver never holds more than ``FEW_ANCHORS``.
-    """
-    anchors = [r[0] for r in asked.select("_anchor").distinct().limit(FEW_ANCHORS + 1).collect()]
-    if len(anchors) > FEW_ANCHORS:
-        return products.select("*", F.explode(all_offers).alias("_anchor"))
-    known = F.array(*[F.lit(a) for a in anchors]).cast("array<string>")
-    return products.select("*", F.explode(few_offers(known)).alias("_anchor"))
+def _rarest(asked: DataFrame, offers: DataFrame) -> DataFrame:
+    """``asked`` with ``_anchor``: of the keys in ``_keys`` the one that the fewest rows offer; queries with a key
+    that no row offers have no hit and go."""
+    sizes = offers.groupBy("_anchor").agg(F.count("*").alias("_rows"))
+    each = asked.select("_asked_id", F.explode("_keys").alias("_anchor")).join(sizes, "_anchor")
+    best = each.groupBy("_asked_id").agg(F.min_by("_anchor", F.struct("_rows", "_anchor")).alias("_anchor"), F.count("*").alias("_known"))
+    return asked.join(best, "_asked_id").filter(F.col("_known") == F.size("_keys")).drop("_known", "_keys")
 
 
 def search_many(queries: DataFrame, products: DataFrame, mode: str = "substring") -> DataFrame:
     """Every query against all products, as an equi-join; adds the query's columns to each hit.
 
-    ``substring``: the first three characters of a query are its anchor; a product offers the anchors
-    it contains, so each (query, product) pair meets exactly once, and ``contains`` verifies it.
-    ``token``: the anchor is the query's first token and all tokens must occur; hits inside a token
-    are not found. Both work for any number of queries, with a broadcast chosen by size only.
+    Products carry a unique ``ord``. ``substring``: a query's anchor is the rarest of its runs of three characters (of
+    the query itself if it is shorter); a product offers the runs it contains, so each (query, product) pair meets
+    exactly once, and ``contains`` verifies it. ``token``: the anchor is the query's rarest token and all tokens must
+    occur; hits inside a token are not found. Only ``ord`` and the searched text are exploded; the hits meet the
+    whole rows afterwards.
     """
-    cols = products.columns
+    who = [F.col(c) for c in queries.columns]
     if mode == "token":
-        asked = queries.withColumn("_asked", tokens("query_substance"))
-        asked = asked.filter(F.size("_asked") > 0).withColumn("_anchor", F.get("_asked", F.lit(0)))
-        words = products.withColumn("_words", F.array_distinct(tokens(F.concat_ws(" ", "substance", "product"))))
-        own = F.col("_words")
-        offered = _offer(words, asked, own, lambda known: F.array_intersect(own, known))
-        hits = offered.join(asked, "_anchor").filter(F.size(F.array_except("_asked", "_words")) == 0)
-        return hits.select(*queries.columns, *cols)
-    asked = queries.withColumn("_needle", F.lower("query_substance")).withColumn("_anchor", _anchor(F.col("_needle")))
-    hay = F.col("_hay")
-    rows = products.withColumn("_hay", F.concat(F.lower(text("substance")), F.lit("\n"), F.lower(text("product"))))
-    offered = _offer(rows, asked, F.concat(F.array(F.lit("")), grams(hay, ANCHOR)), lambda known: F.filter(known, lambda a: F.contains(hay, a)))
-    found = F.contains(F.lower(text("substance")), "_needle") | F.contains(F.lower(text("product")), "_needle")
-    return offered.join(asked, "_anchor").filter(found).select(*queries.columns, *cols)
+        asked = queries.withColumn("_keys", F.array_distinct(tokens("query_substance"))).filter(F.size("_keys") > 0)
+        narrow = products.select("ord", F.array_distinct(tokens(F.concat_ws(" ", "substance", "product"))).alias("_hay"))
+        offers = narrow.select("*", F.explode("_hay").alias("_anchor"))
+        verified = F.size(F.array_except("_needle", "_hay")) == 0
+        asked = asked.withColumn("_needle", F.col("_keys"))
+    else:
+        asked = queries.filter(F.col("query_substance").isNotNull()).withColumn("_needle", F.lower("query_substance"))
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("_needle") - (ANCHOR - 1), F.lit(1))), lambda i: F.substring("_needle", i, F.lit(ANCHOR)))
+        asked = asked.withColumn("_keys", F.array_distinct(runs))
+        narrow = products.select("ord", F.lower(text("substance")).alias("_s"), F.lower(text("product")).alias("_p"))
+        offered = F.array_union(F.array(F.lit("")), F.array_union(grams(F.col("_s"), ANCHOR), grams(F.col("_p"), ANCHOR)))
+        offers = narrow.select("*", F.explode(offered).alias("_anchor"))
+        verified = F.contains("_s", "_needle") | F.contains("_p", "_needle")
+    asked = asked.withColumn("_asked_id", F.struct(*who))
+    anchored = _rarest(asked.dropDuplicates(["_asked_id"]), offers)
+    hits = offers.join(anchored, "_anchor").filter(verified).select(*queries.columns, F.col("ord").alias("_hit"))
+    return hits.join(products, F.col("_hit") == products["ord"]).drop("_hit").select(*queries.columns, *products.columns)
 
 
 def search_few(queries: list[tuple[str, str]], products: DataFrame) -> DataFrame:

@@ -68,10 +68,11 @@ def _identity(df: DataFrame) -> list[Column]:
     return [text(opt(df, c)) for c in IDENTITY]
 
 
-def seed_if_sparse(store: DataFrame, seed: DataFrame, minimum_rows: int = 1000) -> DataFrame:
+def seed_if_sparse(store: DataFrame, seed: DataFrame, minimum_rows: int) -> DataFrame:
     """K1: seed rows unknown to a store of fewer than ``minimum_rows`` rows, added to it.
 
-    The size check reads at most ``minimum_rows`` rows. ``seed`` carries ``ord``; its own duplicates
+    The switch on the store's size is the feature: a full store is left alone. The check reads at most ``minimum_rows``
+    rows. ``seed`` carries ``ord``; its own duplicates
     are dropped first-wins because earlier inserts are visible to later ones.
     """
     if store.limit(minimum_rows).count() >= minimum_rows:
@@ -177,12 +178,6 @@ def export_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def bootstrap(store: DataFrame, seed: DataFrame | None = None, minimum_rows: int = 1000) -> DataFrame:
-    """Start-up job: holders scrubbed (D17), placeholders purged (K5), a sparse store seeded (K1)."""
-    clean = purge_lookup_rows(strip_holder_manufacturers(store))
-    return clean if seed is None else seed_if_sparse(clean, seed, minimum_rows)
-
-
 # Demonstration rows (substance, product, company, country).
 DEMO_ROWS = [
     ("Dapagliflozin", "Forxiga", "AstraZeneca AB", "Sweden"),

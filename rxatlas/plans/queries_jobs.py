@@ -26,12 +26,15 @@ def _s2(spark, d):
 @query("k1_seed_if_sparse", f"""
 WITH st AS (SELECT * FROM reg WHERE source = 'Brand#1' AND product LIKE 'small%'),
 fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {SEED_KEY} ORDER BY ord) AS rn FROM reg) WHERE rn = 1)
-SELECT ord FROM st UNION ALL SELECT ord FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.source = f.source AND st.product = f.product
-  AND st.country = f.country AND COALESCE(st.registration_number, '') = COALESCE(f.registration_number, ''))""", REG)
+SELECT 'sparse' AS store, ord FROM st UNION ALL SELECT 'sparse', ord FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.source = f.source AND st.product = f.product
+  AND st.country = f.country AND COALESCE(st.registration_number, '') = COALESCE(f.registration_number, ''))
+UNION ALL SELECT 'full', ord FROM st""", REG)
 def _k1(spark, d):
     reg = registrations(spark, d)
-    sparse = reg.filter((F.col("source") == "Brand#1") & F.col("product").startswith("small"))
-    return store.seed_if_sparse(sparse, reg, minimum_rows=1_000_000_000).select("ord")
+    some = reg.filter((F.col("source") == "Brand#1") & F.col("product").startswith("small"))
+    rows = some.count()
+    sparse = store.seed_if_sparse(some, reg, minimum_rows=rows + 1).select(F.lit("sparse").alias("store"), "ord")
+    return sparse.unionByName(store.seed_if_sparse(some, reg, minimum_rows=rows).select(F.lit("full").alias("store"), "ord"))
 
 
 @query("k2_upsert_products", """

@@ -666,7 +666,7 @@ def _g5(spark, d):
 
 @query("g6_dedupe_uk", """
 SELECT ord FROM (SELECT ord, row_number() OVER (PARTITION BY COALESCE(registration_number, ''), COALESCE(document_type, '') ORDER BY ord) AS rn
-  FROM (SELECT u.ord, r.registration_number, u.document_type FROM urls u JOIN reg r USING (ord))) WHERE rn = 1 ORDER BY ord LIMIT 1000""", REG + ", " + URLS_SQL)
+  FROM (SELECT u.ord, r.registration_number, u.document_type FROM urls u JOIN reg r USING (ord))) WHERE rn = 1""", REG + ", " + URLS_SQL)
 def _g6(spark, d):
     return identity.dedupe_uk(with_urls(registrations(spark, d))).select("ord")
 

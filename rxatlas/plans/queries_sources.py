@@ -330,7 +330,7 @@ def _m16d(spark, d):
 @query("m17_map_text_windows", r"""
 WITH p AS (SELECT doc_id, text, lower(text) AS lt, unnest(range(1, length(text) + 1)) AS i FROM documents WHERE contains(lower(text), 'tion')),
 w AS (SELECT doc_id, i, trim(regexp_replace(substr(text, greatest(i - 1 - 420, 0) + 1, CAST(i - 1 + 4 + 420 - greatest(i - 1 - 420, 0) AS BIGINT)), '[\s\v\x{85}\p{Z}]+', ' ', 'g')) AS s FROM p WHERE substr(lt, i, 4) = 'tion')
-SELECT doc_id AS ord, left(s, 240) AS product FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(s) ORDER BY i) AS rn FROM w) WHERE rn = 1""")
+SELECT doc_id AS ord, s AS product FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(s) ORDER BY i) AS rn FROM w) WHERE rn = 1""")
 def _m17(spark, d):
     texts = table(spark, d, "documents").select(F.lit("tion").alias("query"), F.col("doc_id").alias("ord"), "text")
     return mappers.map_text_windows(texts).select("ord", "product")
@@ -457,11 +457,11 @@ def _d7(spark, d):
     return registrations(spark, d).select("ord", lf.company_names(block).alias("names"))
 
 
-@query("d8_pack_info", "SELECT ord, '24 tablets' AS pack, 'packs of 10, 30 and 60 tablets' AS sentence, '24 tablets' AS report FROM reg", REG)
+@query("d8_pack_info", "SELECT ord, '24 tablets' AS pack, 'in packs of 10, 30 and 60 tablets' AS sentence, '24 tablets' AS report FROM reg", REG)
 def _d8(spark, d):
     sentence = F.replace("text", F.lit("24 tablets"), F.lit("The tablets come in packs of 10, 30 and 60 tablets."))
     return leaflets(spark, d).select(
-        "ord", lf.pack_info("text").alias("pack"), F.regexp_replace(lf.pack_info(sentence), "^in ", "").alias("sentence"), lf.report_pack("text").alias("report")
+        "ord", lf.pack_info("text").alias("pack"), lf.pack_info(sentence).alias("sentence"), lf.report_pack("text").alias("report")
     )
 
 
@@ -510,13 +510,13 @@ def _x37(spark, d):
 
 @query("s10_read_documents", r"""
 WITH p AS (SELECT doc_id, i - 1 AS page_no, len(l) AS n, l[i] AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i))
-SELECT CAST(doc_id AS VARCHAR) AS url, string_agg(t, chr(10) ORDER BY page_no) AS text FROM p WHERE page_no < 6 OR page_no >= n - 6 GROUP BY doc_id""")
+SELECT CAST(doc_id AS VARCHAR) AS url, string_agg(t, chr(10) ORDER BY page_no) AS text FROM p GROUP BY doc_id""")
 def _s10(spark, d):
     pieces = F.split("text", "\n", -1)
     pages = table(spark, d, "documents").select(
         F.col("doc_id").cast("string").alias("url"), F.size(pieces).alias("n_pages"), F.posexplode(pieces).alias("page_no", "text")
     )
-    return docs.read_documents(pages, edge=6)
+    return docs.read_documents(pages)
 
 
 def linked_rows(spark, d) -> tuple[DataFrame, DataFrame]:

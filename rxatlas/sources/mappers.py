@@ -122,7 +122,7 @@ def map_us_labels(labels: DataFrame, ndc: DataFrame) -> DataFrame:
     packs = ndc.select(
         F.col("ord").alias("match_ord"), F.col("labeler_name").alias("_labeler"), F.col("dosage_form").alias("_form"),
         F.col("listing_expiration_date").alias("_expiry"),
-        F.array_join(F.slice(F.filter(F.transform("packaging", lambda p: p["description"]), lambda x: F.coalesce(x, F.lit("")) != ""), 1, 3), "; ").alias("_pack"),
+        F.array_join(F.filter(F.transform("packaging", lambda p: p["description"]), lambda x: F.coalesce(x, F.lit("")) != ""), "; ").alias("_pack"),
         F.array_join(F.filter(F.transform("active_ingredients", lambda p: p["strength"]), lambda x: F.coalesce(x, F.lit("")) != ""), "; ").alias("_strength"),
     )
     both = matched.join(packs, "match_ord", "left")
@@ -475,8 +475,6 @@ def map_header_table(pages: DataFrame, source: str, kind: str = "regional") -> D
     })
     hay = F.lower(F.concat_ws(" ", text("_product"), text("_active")))
     wanted = F.col("_product").isNotNull() & F.contains(hay, F.lower(F.trim("query")))
-    if kind == "regional":
-        wanted = wanted & (F.length("_product") <= 240)
     hits = filter_computed(staged, wanted)
     status = F.coalesce(cell("status"), F.lit(listed))
     active = F.col("_active")
@@ -649,18 +647,12 @@ def map_text_windows(docs: DataFrame, source: str = "CDSCO India", radius: int =
     each = hits.select("*", F.posexplode(window).alias("pos", "snippet")).filter("snippet IS NOT NULL")
     first = keep_first(each, [F.col("query"), F.col("ord"), F.lower("snippet")], "pos")
     return _row(
-        first, source, register[1], register[2], name=F.col("snippet"), keep=("pos",), substance=F.col("query"), product=F.substring("snippet", 1, 240),
+        first, source, register[1], register[2], name=F.col("snippet"), keep=("pos",), substance=F.col("query"), product=F.col("snippet"),
         status="Listed in CDSCO approval PDF", registration_date=opt(docs, "release_date"), document_type="CDSCO approval PDF",
         source_url=register[3], product_url=opt(docs, "doc_url"), url=opt(docs, "doc_url"),
     )
 
 
-def pick_approval_documents(entries: DataFrame, limit: int = 1, max_kb: int = 600) -> DataFrame:
-    """M17 (list): documents that are not too large, the historic one last, the first ``limit``."""
-    kept = entries.filter(tx.size_kb("size") <= max_kb)
-    return kept.orderBy(F.contains(F.lower("title"), F.lit("since 1961")), "ord").limit(limit)
-
-
 def handoff_row(queries: DataFrame, source: str, results: DataFrame | None = None) -> DataFrame:
     """A registry link for every query without a result of the source."""
     special = {
@@ -703,7 +695,7 @@ def map_eu_page(pages: DataFrame) -> DataFrame:
     """A central product page: (page_url, title, text, links array) -> product row."""
     phrase = "contains the active substance"
     at = F.locate(phrase, F.col("text"))
-    sentence = F.substring_index(F.substring("text", at, F.lit(200)), ".", 1)
+    sentence = F.substring_index(F.substring("text", at, F.length("text")), ".", 1)
 
     def link(kind: str) -> Column:
         ok = F.filter("links", lambda u: F.contains(u, F.lit(kind)) & F.contains(u, F.lit("_en.pdf")))
@@ -712,11 +704,11 @@ def map_eu_page(pages: DataFrame) -> DataFrame:
     t = F.col("text")
     return pages.select(
         "ord", F.when(at > 0, nz(F.replace(sentence, F.lit(phrase), F.lit("")))).alias("substance"),
-        nz(F.substring_index("title", "|", 1)).alias("product"), lf.after_phrase_line(t, "Marketing authorisation holder", 300).alias("company"),
+        nz(F.substring_index("title", "|", 1)).alias("product"), lf.after_phrase_line(t, "Marketing authorisation holder").alias("company"),
         F.lit("European Union").alias("country"), F.lit("EU").alias("region"),
         F.when(F.contains(t, F.lit("This medicine is authorised for use in the European Union")), "Authorised").alias("status"),
-        lf.after_phrase_line(t, "Anatomical therapeutic chemical (ATC) code", 200).alias("atc_code"),
-        lf.after_phrase_line(t, "Marketing authorisation issued", 100).alias("registration_date"),
+        lf.after_phrase_line(t, "Anatomical therapeutic chemical (ATC) code").alias("atc_code"),
+        lf.after_phrase_line(t, "Marketing authorisation issued").alias("registration_date"),
         link("product-information").alias("smpc_url"), link("package-leaflet").alias("pil_url"), link("assessment-report").alias("assessment_report_url"),
         F.lit("EMA").alias("source"), F.col("page_url").alias("product_url"), F.col("page_url").alias("source_url"),
     )

@@ -81,7 +81,7 @@ def main():
     sf_dir = f"/root/testdata/sf{sys.argv[1]}"
     wanted = sys.argv[2:]
     catalog.load()
-    spark = local_session()
+    spark = local_session(int(__import__("os").environ.get("CPUS", "8")))
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad = 0
