@@ -26,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .textops import Words, mix, pieces, runs, text_bytes, within
+from .textops import Words, mix, order_in_rows, pieces, runs, text_bytes, within
 
 PIVOTS = 4  # for each list and round
 SUBGROUP = 256
-LEFT_PER_ENTRY = 2  # pairs left for each entry at which the rounds stop
+LEFT_PER_ENTRY = 8  # pairs left for each entry at which the rounds stop
 MAX_ROUNDS = 12
 HUB = 64  # answers from which a pivot's distances are used to rule pairs out
 
@@ -58,7 +58,7 @@ def distinct_shingles(texts: pa.Array, table, k: int, score_of: Callable[[np.nda
             found.append(runs(hashes, n)[words.first[short]])
             sums.append(sum(scores[words.first[short] + j] for j in range(n)))
     row, value, score = np.concatenate(rows), np.concatenate(found), np.concatenate(sums)
-    order = np.lexsort((value, row))
+    order = order_in_rows(row, value)
     row, value, score = row[order], value[order], score[order]
     new = np.ones(len(row), bool)
     new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
@@ -120,6 +120,8 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         links = common.staged(small.select("e.u", "e.v").filter("u <> v").distinct(), "links")
         done += 1
+        if rounds is not None:
+            continue
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -11,7 +11,7 @@ through two kinds of skipping:
   component are not compared again, and distances to a common pivot rule others out.
 
 The common order puts what few documents share first. Words and shingles are counted over all documents: a
-batch of texts reports those that occur in several of its documents, the reports are added up, and the ``FREQUENT``
+batch of texts reports those that occur several times in it, the reports are added up, and the ``FREQUENT``
 most frequent ones of either kind (a fixed number) are kept. Frequent shingles stand last, by rank; the others stand in
 the order of how frequent their words are. The order never decides a result, only the length of the lists.
 
@@ -31,22 +31,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, linking
-from .textops import SPACED_LOWER, list_array, pieces, runs, signed
+from .textops import BATCH_BYTES, SPACED_LOWER, Words, list_array, order_in_rows, pieces, runs, signed, text_bytes, within
 
 K = 3
 SHARE = (90, 100)
 FREQUENT = 1 << 16
-IN_BATCH = 4  # documents of a batch from which a shingle is reported
+IN_BATCH = 4  # occurrences in a batch from which a word or shingle is reported
 
 
 def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The most frequent shingles, in the order of their counts, and the most frequent words with a score that grows with theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 1 << 22):
+        for batch in pieces(batches, "text", 2 * BATCH_BYTES):
+            words = Words(*text_bytes(batch.column("text")), SPACED_LOWER)
+            hashes = words.hashes()
             for size in (k, 1):
-                _, value = linking.distinct_shingles(batch.column("text"), SPACED_LOWER, size)
-                found, counts = np.unique(value, return_counts=True)
+                found, counts = np.unique(runs(hashes, size)[within(words.row, size)], return_counts=True)
                 often = counts >= IN_BATCH
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(int(often.sum()), size, np.int32)), pa.array(signed(found[often])), pa.array(counts[often])], names=["size", "h", "n"])
 
@@ -57,6 +58,17 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return shingles, words, scores
 
 
+def rarest_first(row: np.ndarray, value: np.ndarray, score: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The order by (row, rank, score, value): sorted by 64 bits that hold rank, score and the start of the value, and
+    in the rare batch where these are not enough, by all of them."""
+    score = np.minimum(score, 2047)
+    key = (rank.astype(np.uint64) << np.uint64(47)) | (score.astype(np.uint64) << np.uint64(36)) | (value >> np.uint64(28))
+    by = order_in_rows(row, key)
+    if np.any((key[by][1:] == key[by][:-1]) & (row[by][1:] == row[by][:-1])):
+        return np.lexsort((value, score, rank, row))
+    return by
+
+
 def described(docs: DataFrame, k: int, share: tuple[int, int], known: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
     """(row_key, id, n, s1, s2, prefix): set size, fingerprints and rarest shingles of every (id, text) row."""
     shingles, words, scores = known
@@ -81,7 +93,7 @@ def described(docs: DataFrame, k: int, share: tuple[int, int], known: tuple[np.n
         for batch in pieces(batches, "text"):
             row, value, score = linking.distinct_shingles(batch.column("text"), SPACED_LOWER, k, score_of)
             s1, s2 = linking.hash_rows(row, value, batch.num_rows)
-            by = np.lexsort((value, score, looked_up(often, rank_of, value), row))
+            by = rarest_first(row, value, score, looked_up(often, rank_of, value))
             row, value = row[by], value[by]
             sizes = np.bincount(row, minlength=batch.num_rows)
             place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, linking
-from .textops import SPACED_LOWER, Words, list_array, mix, pieces, runs, signed, text_bytes, within
+from .textops import SPACED_LOWER, Words, list_array, mix, order_in_rows, pieces, runs, signed, text_bytes, within
 
 K = 5
 SHARE = (80, 100)
@@ -73,7 +73,7 @@ class Paragraphs:
         self.words = words.counts[self.of]
         ok = within(words.row, k) & long[words.row[: max(len(words.row) - k + 1, 0)]]
         row, value = nth[words.row[: len(ok)][ok]], runs(words.hashes(), k)[ok]
-        order = np.lexsort((value, row))
+        order = order_in_rows(row, value)
         row, value = row[order], value[order]
         new = np.ones(len(row), bool)
         new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
