@@ -115,6 +115,19 @@ def filter_computed(df: DataFrame, condition: Column) -> DataFrame:
     return marked.filter((F.col("_row_id") >= 0) & condition).drop("_row_id")
 
 
+def character(code: Column) -> Column:
+    """The character of a code point; codes that are none become the replacement character."""
+    known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    valid = F.when(known, code).when(code.isNotNull(), F.lit(0xFFFD))
+    return F.decode(F.unhex(F.lpad(F.hex(valid), 8, "0")), "UTF-32")
+
+
+def cp1252(c: Column) -> Column:
+    """Latin-1 text re-read as windows-1252."""
+    codes = [i for i in range(0x80, 0xA0) if bytes([i]).decode("cp1252", errors="ignore")]
+    return F.translate(c, "".join(map(chr, codes)), "".join(bytes([i]).decode("cp1252") for i in codes))
+
+
 def tokens(c: Column | str) -> Column:
     """Lower-case alphanumeric tokens in order."""
     return F.filter(F.split(F.lower(text(c)), r"[^a-z0-9]+"), lambda t: t != "")

@@ -7,12 +7,13 @@ functions. There is no shuffle and no Python; documents of any number are one na
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..dims import DOCUMENT_COUNTRIES, one_of
-from .base import any_of, as_col, case, clean_block, collapse_ws, extract, let, text
+from ..dims import DOCUMENT_COUNTRIES, one_of, literal_map
+from .base import any_of, as_col, case, character, clean_block, collapse_ws, cp1252, extract, let, text
 from .text import absolute_url, address_like, company_like, extract_pack_size
 
 # --- Fixed values: labels and patterns ----------------------------------------------------------
@@ -85,7 +86,8 @@ HIGHLIGHT_HEADINGS = [
     "public assessment report", "national procedure", "lay summary", "summary of product characteristics",
     "patient information leaflet", "package leaflet", "par ", "pl ",
 ]
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+#: character names from the standard library; a no-break space is read as a blank, as white space is collapsed anyway
+CHARACTER_NAMES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'", "nbsp": " "}
 
 # ----------------------------------------------------------------------------------------------
 
@@ -373,10 +375,16 @@ def holder_from_highlights(c: Column | str, registration: Column | str) -> Colum
 
 
 def unescape(c: Column) -> Column:
-    """The common HTML entities as characters."""
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """Character references (decimal, hexadecimal, by name) as characters; what is no reference stays."""
+    names = literal_map(CHARACTER_NAMES)
+
+    def one(piece: Column) -> Column:
+        ref = F.regexp_extract(piece, r"^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+        digits = F.when(F.rlike(ref, F.lit("^#[xX]")), F.conv(F.substring(ref, 3, 6), 16, 10)).when(F.startswith(ref, F.lit("#")), F.substring(ref, 2, 7))
+        char = F.coalesce(cp1252(character(digits.cast("int"))), F.try_element_at(names, ref))
+        return F.when((ref != "") & char.isNotNull(), F.concat(char, F.substring(piece, F.length(ref) + 3, F.length(piece)))).otherwise(piece)
+
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(F.split(c, "(?=&)"), one), "")).otherwise(c)
 
 
 def inner_text(c: Column) -> Column:
@@ -464,9 +472,15 @@ def doc_links(c: Column | str, base: str, rules: str = "uk") -> Column:
 def tables(c: Column | str) -> Column:
     """Tables of a page: array of (has_form, header texts, rows of (label, href) cells).
 
-    The header is every ``th`` of the table, or the first row's cells; the first row is never data.
+    The header is every ``th`` of the table, or the first row's cells; the first row is never data. A table inside another
+    one is a table of its own, before those around it, and not part of their cells.
     """
-    whole = F.regexp_extract_all(as_col(c), F.lit(r"(?is)<table\b.*?</table\s*>"), F.lit(0))
+    # a table without a table inside; with these gone, the tables around them are such ones, up to three levels
+    plain = r"(?is)<table\b(?:(?!<table\b|</table).)*+</table\s*>"
+    levels = [as_col(c)]
+    for _ in range(2):
+        levels.append(F.regexp_replace(levels[-1], plain, " "))
+    whole = F.concat(*[F.regexp_extract_all(level, F.lit(plain), F.lit(0)) for level in levels])
 
     def cells(row: Column, tag: str) -> Column:
         return F.regexp_extract_all(row, F.lit(rf"(?is)<{tag}\b.*?(?=<t[dh]\b|</t[dhr]\s*>|</t(?:head|body|able)\s*>|$)"), F.lit(0))

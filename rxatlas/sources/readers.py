@@ -4,35 +4,48 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.base import nz
+from ..functions.base import cp1252, nz
 from ..operators.identity import keep_first
 from ..schema import MEDICINE_COLUMNS, PRODUCT_DDL, STORED_COLUMNS, conform
 
 BLANKS = " \t\xa0"
 
 
+def in_file_order(raw: DataFrame) -> DataFrame:
+    """``raw``, straight from a file source, with ``_file`` and ``ord``: the place by file name, then place in the file.
+
+    A file is read in blocks, each by one task, in order. Blocks (a row each) are ranked by file and start; rows count
+    from the first row id of their block. Increasing, not consecutive.
+    """
+    rows = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
+    blocks = rows.groupBy("_file", "_start").agg(F.min("_row").alias("_first"))
+    ranked = blocks.withColumn("_rank", F.row_number().over(Window.orderBy("_file", "_start")))
+    placed = rows.join(ranked, ["_file", "_start"])
+    return placed.withColumn("ord", F.shiftleft(F.col("_rank").cast("bigint"), 36) + F.col("_row") - F.col("_first")).drop("_start", "_row", "_first", "_rank")
+
+
 def read_seed(spark: SparkSession, path: str) -> DataFrame:
     """JSON-lines product seed; blank lines are skipped, absent columns NULL, broken lines set aside.
 
-    ``ord`` is the place in the file order: increasing, not consecutive.
+    ``ord`` is the place by file name and line: increasing, not consecutive.
     """
     raw = spark.read.schema(f"{PRODUCT_DDL}, _corrupt_record string").option(
         "columnNameOfCorruptRecord", "_corrupt_record"
     ).json(path)
-    ordered = raw.withColumn("ord", F.monotonically_increasing_id())
+    ordered = in_file_order(raw)
     good = ordered.filter(F.col("_corrupt_record").isNull() & F.coalesce(*STORED_COLUMNS).isNotNull())
-    return conform(good.drop("_corrupt_record"))
+    return conform(good.drop("_corrupt_record", "_file"))
 
 
 def read_legacy_medicines(spark: SparkSession, path: str) -> DataFrame:
     """S3: the six-column legacy table from CSV, as product rows."""
     ddl = ", ".join(f"{c} string" for c in MEDICINE_COLUMNS)
     rows = spark.read.option("header", True).schema(ddl).csv(path)
-    return conform(rows.withColumn("ord", F.monotonically_increasing_id()))
+    return conform(in_file_order(rows).drop("_file"))
 
 
 def read_json_array(spark: SparkSession, path: str, field: str, record_ddl: str) -> DataFrame:
@@ -45,9 +58,10 @@ def read_json_array(spark: SparkSession, path: str, field: str, record_ddl: str)
     for part in [leaf, *reversed(outer)][:-1] if outer else []:
         schema = f"struct<`{part}`: {schema}>"
     payload = spark.read.schema(f"`{outer[0] if outer else leaf}` {schema}").option("multiLine", True).json(path)
-    located = payload.select(F.input_file_name().alias("_file"), F.posexplode(F.col(field)).alias("_pos", "_r"))
-    # a payload is a page of a search: the number in its file name orders it; positions stay below 2^32
-    return located.select((F.shiftleft(page_number(F.col("_file")), 32) + F.col("_pos")).alias("ord"), "_r.*")
+    located = payload.select(F.col("_metadata.file_path").alias("_file"), F.posexplode(F.col(field)).alias("_pos", "_r"))
+    # a payload is a page of a search: the number in its file name orders it, then the name
+    files = located.select("_file").distinct().withColumn("_rank", F.row_number().over(Window.orderBy(page_number(F.col("_file")), "_file")))
+    return located.join(files, "_file").select((F.shiftleft(F.col("_rank").cast("bigint"), 32) + F.col("_pos")).alias("ord"), "_r.*")
 
 
 def page_number(file: Column) -> Column:
@@ -67,18 +81,19 @@ def header_key(name: str) -> str:
 
 
 def read_with_preamble(spark: SparkSession, path: str, marker: str = "Category", sep: str = ",") -> DataFrame:
-    """A sheet with junk above its header, whose first cell is ``marker``.
+    """Sheets with junk above their header, whose first cell is ``marker``.
 
-    The header line is found with a bounded look (one row); the data rows are parsed by Spark.
+    The columns are those of the first header line (a look at one row); each file's data stand below its own first header.
     """
-    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
+    lines = in_file_order(spark.read.text(path))
     first_cell = F.trim(F.split("value", f"[{sep}]").getItem(0), F.lit(' "'))
     head = lines.filter(first_cell == marker).orderBy("ord").select("ord", "value").first()
     if head is None:
         return spark.createDataFrame([], "ord long")
     names = [header_key(h.strip()) for h in _split_csv(head["value"], sep)]
     schema = T.StructType([T.StructField(n or f"_unnamed_{i}", T.StringType()) for i, n in enumerate(names)])
-    body = lines.filter((F.col("ord") > head["ord"]) & (F.trim(F.translate("value", f'{sep}"', "")) != "") & (first_cell != marker))
+    heads = lines.filter(first_cell == marker).groupBy("_file").agg(F.min("ord").alias("_head"))
+    body = lines.join(heads, "_file").filter((F.col("ord") > F.col("_head")) & (F.trim(F.translate("value", f'{sep}"', "")) != "") & (first_cell != marker))
     rows = body.select("ord", F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep}).alias("r"))
     return rows.select("ord", *[F.trim(F.col(f"r.{n}")).alias(n) for n in names if n])
 
@@ -97,24 +112,10 @@ def _bdpm(spark: SparkSession, path: str, fields: dict[str, int], minimum: int)
     """
     raw = spark.read.option("encoding", "ISO-8859-1").option("sep", "\x01").option("quote", "").schema("line string").csv(path)
     cells = F.split(cp1252(F.col("line")), "\t", -1)
-    rows = raw.select(cells.alias("c")).withColumn("ord", F.monotonically_increasing_id()).filter(F.size("c") >= minimum)
+    rows = in_file_order(raw).select("ord", cells.alias("c")).filter(F.size("c") >= minimum)
     return rows.select("ord", *[F.trim(F.get("c", F.lit(i)), F.lit(BLANKS)).alias(n) for n, i in fields.items()])
 
 
-def cp1252(c: Column) -> Column:
-    """Latin-1 text re-read as windows-1252."""
-    codes = [i for i in range(0x80, 0xA0) if _decodes(i)]
-    return F.translate(c, "".join(map(chr, codes)), "".join(bytes([i]).decode("cp1252") for i in codes))
-
-
-def _decodes(code: int) -> bool:
-    try:
-        bytes([code]).decode("cp1252")
-    except UnicodeDecodeError:
-        return False
-    return True
-
-
 def read_bdpm_products(spark: SparkSession, path: str) -> DataFrame:
     """French products; the last line per code wins."""
     fields = {

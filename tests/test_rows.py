@@ -188,6 +188,31 @@ def test_readers(spark, tmp_path):
     assert len(got) == 1 and (got[0].product, got[0].company) == ("Prod€", "Labo é")
 
 
+def test_readers_keep_file_order(spark, tmp_path):
+    many = tmp_path / "many"
+    many.mkdir()
+    (many / "a.jsonl").write_text('{"product": "first", "source": "s"}\n')
+    (many / "b.jsonl").write_text("".join(f'{{"product": "p{i:04d}", "source": "s"}}\n' for i in range(5000)))
+    got = [r.product for r in readers.read_seed(spark, str(many)).orderBy("ord").collect()]
+    assert got == ["first", *(f"p{i:04d}" for i in range(5000))]
+    sheets = tmp_path / "sheets"
+    sheets.mkdir()
+    (sheets / "a.csv").write_text("junk\nCategory,Name\nHuman,A\n")
+    (sheets / "b.csv").write_text("x\ny\nz\nCategory,Name\n" + "".join(f"Human,B{i}\n" for i in range(3000)))
+    assert [r.name for r in readers.read_with_preamble(spark, str(sheets)).orderBy("ord").collect()] == ["A", *(f"B{i}" for i in range(3000))]
+    lines = tmp_path / "cis"
+    lines.mkdir()
+    for name, product in (("a", "old"), ("b", "new")):
+        (lines / f"{name}.txt").write_text("\n".join("\t".join([str(i), product, *["f"] * 10]) for i in range(1 if name == "b" else 400)) + "\n")
+    assert {r.cis: r["product"] for r in readers.read_bdpm_products(spark, str(lines)).filter("cis < 2").collect()} == {"0": "new", "1": "old"}
+    plain = tmp_path / "plain"
+    plain.mkdir()
+    (plain / "x.json").write_text('{"items": [{"a": "1"}]}')
+    (plain / "y.json").write_text('{"items": [{"a": "2"}, {"a": "3"}]}')
+    rows = readers.read_json_array(spark, str(plain), "items", "a string").orderBy("ord").collect()
+    assert [r.a for r in rows] == ["1", "2", "3"] and len({r.ord for r in rows}) == 3
+
+
 def test_registry(spark):
     known = registry.Registry()
     assert known.by_name(" fda ").name == "FDA" and known.by_name("x") is None

@@ -105,3 +105,18 @@ def test_document_links(spark):
     found = one(spark, lambda c: leaflet.doc_links(c, "https://products.mhra.gov.uk", "uk"), html)
     assert found["smpc_url"] == "https://products.mhra.gov.uk/docs/example-spc.pdf"
     assert found["pil_url"] == "https://products.mhra.gov.uk/docs/example-pil.pdf"
+
+
+def test_character_references(spark):
+    assert one(spark, leaflet.inner_text, "M&eacute;dicament &#8211; caf&#xE9; &#150; a&b &bogus; &amp;lt; &nbsp;x &#x1F600;") == "Médicament – café – a&b &bogus; &lt; x \U0001F600"
+
+
+def test_tables_inside_tables(spark):
+    html = "<table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td><table><tr><td>x</td></tr><tr><td>y</td></tr></table></td></tr><tr><td>2</td><td>z</td></tr></table>"
+    found = one(spark, leaflet.tables, html)
+    assert [[c["label"] for c in row] for row in found[1]["rows"]] == [["1", ""], ["2", "z"]]
+    assert [[c["label"] for c in row] for row in found[0]["rows"]] == [["y"]]
+
+
+def test_spanish_film_coated(spark):
+    assert one(spark, text.extract_dosage_form, "comprimidos recubiertos con película") == "Film-coated tablet"
