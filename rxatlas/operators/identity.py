@@ -51,9 +51,14 @@ def drop_without_product(df: DataFrame) -> DataFrame:
     return df.filter(non_empty("product").isNotNull())
 
 
+LIVE_ORD = 1 << 62
+
+
 def merge_cached_live(cached: DataFrame, live: DataFrame) -> DataFrame:
     """Cached rows keep-first; live rows fill the gaps of the row with their key or are appended.
 
+    Cached rows come first whatever the numbers of the live ones: an appended row's ``ord`` is raised by ``LIVE_ORD``.
+
     One aggregation: per key the first cached row as a whole, and per field the first non-empty live
     value. Later cached duplicates contribute nothing; later live duplicates fill what is still empty.
     """
@@ -85,7 +90,7 @@ def merge_cached_live(cached: DataFrame, live: DataFrame) -> DataFrame:
 
     return merged.select(
         *scope,
-        F.coalesce(F.col("_cached.ord"), F.col("_live_ord")).alias("ord"),
+        F.coalesce(F.col("_cached.ord"), F.col("_live_ord") + F.lit(LIVE_ORD)).alias("ord"),
         F.when(is_cached, "cached").otherwise("live").alias("origin"),
         *[filled(c) for c in fields],
     )

@@ -527,6 +527,34 @@ def _e2(spark, d):
     return plans.saved_search(wanted(spark), registrations(spark, d)).select("query_id", "ord", "atc_code")
 
 
+@query("e2_saved_search_live", f"""
+WITH one AS (SELECT * FROM (SELECT q.query_id, reg.*, row_number() OVER (PARTITION BY q.query_id, {RESULT_KEY_SQL.replace('trim(', 'trim(reg.').replace('trim(reg.COALESCE(registration_number', 'trim(COALESCE(reg.registration_number')} ORDER BY reg.ord) AS rn
+  FROM qry q JOIN reg ON {HIT}) WHERE rn = 1),
+live AS (SELECT q.query_id, v.source, q.substance, reg.ord FROM qry q JOIN reg ON reg.substance = q.substance CROSS JOIN (VALUES ('NPRA Malaysia'), ('Spain CIMA'), ('TGA Australia')) v(source)),
+both_kinds AS (SELECT query_id, source, substance, atc_code, 'cached' AS origin, 0 AS late, ord FROM one UNION ALL SELECT query_id, source, substance, NULL, 'live', 1, ord FROM live),
+filled AS (SELECT query_id, source, origin, COALESCE(atc_code, first_value(atc_code IGNORE NULLS) OVER (PARTITION BY query_id, lower(trim(substance)) ORDER BY late, ord
+  ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS atc_code FROM both_kinds)
+SELECT query_id, source, origin, atc_code, count(*) AS n FROM filled GROUP BY ALL""", REG + ", " + QRY)
+def _e2_live(spark, d):
+    from ..sources import registry
+
+    reg = registrations(spark, d).withColumn("query", F.col("substance"))
+    o = F.col("ord").cast("string")
+    raw = {
+        "Spain CIMA": reg.select(
+            "ord", "query", o.alias("nregistro"), F.col("product").alias("nombre"), F.col("company").alias("labtitular"), F.lit("").alias("labcomercializador"),
+            F.lit(True).alias("comerc"), F.struct(F.lit(1).alias("aut")).alias("estado"),
+            F.array().cast("array<struct<tipo:int,url:string,urlHtml:string>>").alias("docs")),
+        "TGA Australia": reg.select(
+            "ord", "query", F.concat(F.lit('<a href="/resources/artg/'), o, F.lit('">'), "company", F.lit(" - "), "product", F.lit(" (12345)</a>")).alias("html"),
+            F.lit("https://r.test/").alias("page_url")),
+        "NPRA Malaysia": reg.select("ord", "query", F.col("query").alias("term"), F.array(F.lit("1"), F.concat(F.lit("N"), o), "product", "company").alias("cells"), F.lit("https://r.test/").alias("page_url")),
+    }
+    live = registry.source_search(wanted(spark), raw, registry.Registry())
+    rows = plans.saved_search(wanted(spark), registrations(spark, d), live)
+    return rows.groupBy("query_id", "source", "origin", "atc_code").agg(F.count("*").alias("n"))
+
+
 @query("e4_result_page")
 def _e4(spark, d):
     reg = real_countries(registrations(spark, d), spark, d)

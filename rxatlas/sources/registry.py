@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..operators.identity import dedupe_by_url_key
 from ..operators.search import expand_synonyms, stamp_query
+from . import mappers
 
-Mapper = Callable[[DataFrame], DataFrame]
+CENTRAL_URL = dims.COUNTRY_SEARCH_URL["EU"].partition("?")[0]
+
+#: called with a source's raw frame, or with its named frames where it takes several
+Mapper = Callable[..., DataFrame]
 
 
 @dataclass(frozen=True)
@@ -28,12 +32,35 @@ class Source:
     mapper: Mapper | None = field(default=None, compare=False)
 
 
+def built_in_mappers() -> dict[str, Mapper]:
+    """The mapper of every connector whose payload has a fixed layout."""
+    found: dict[str, Mapper] = {name: partial(mappers.map_regional_pages, source=name) for name, *_ in dims.REGIONAL_REGISTERS}
+    found |= {name: partial(mappers.map_positional, source=name) for name in mappers.POSITIONAL}
+    return found | {
+        "FDA": mappers.map_us_labels,
+        "MHRA": mappers.map_uk_index,
+        "EMA": partial(mappers.map_central_eu, countries=dims.EU_COUNTRIES, source_url=CENTRAL_URL),
+        "EU MRI Product Index": mappers.map_mri,
+        "Health Canada": mappers.map_canada,
+        "TGA Australia": mappers.map_au_list,
+        "Medsafe New Zealand": partial(mappers.map_header_table, source="Medsafe New Zealand", kind="nz"),
+        "CDSCO India": mappers.map_text_windows,
+        "BPOM Indonesia": mappers.map_indonesia,
+        "DAV Vietnam": mappers.map_vietnam,
+        "Belgium FAMHP": mappers.map_belgium,
+        "France BDPM": mappers.map_france,
+        "Ireland medicines.ie": mappers.map_ireland,
+        "Spain CIMA": mappers.map_spain,
+    }
+
+
 class Registry:
-    """Sources by name; a mapper turns a source's raw frame into canonical rows."""
+    """Sources by name; a mapper turns a source's raw frame, or its named frames, into canonical rows."""
 
     def __init__(self, sources: list[Source] | None = None):
         listed = sources if sources is not None else [
-            Source(name, region, tuple(countries), documents, enabled) for name, region, countries, documents, enabled in dims.connectors()
+            Source(name, region, tuple(countries), documents, enabled, mapper=built_in_mappers().get(name))
+            for name, region, countries, documents, enabled in dims.connectors()
         ]
         self._sources = {s.name.lower(): s for s in listed}
 
@@ -58,21 +85,23 @@ class Registry:
         return spark.createDataFrame(rows, ddl)
 
 
-def source_search(queries: DataFrame, raw: dict[str, DataFrame], registry: Registry) -> DataFrame:
+def source_search(queries: DataFrame, raw: dict[str, DataFrame | dict], registry: Registry) -> DataFrame:
     """Every enabled source's mapper over its raw frame for every search term, stamped and de-duplicated.
 
     ``queries``: (query_id, substance); ``raw``: source -> frame with ``query`` (the term it was landed
-    for) and ``ord``. Arrival order is (source, term, ord), packed into one number.
+    for) and ``ord``, or the named frames of a mapper that takes several. Arrival order is (source, term, ord), packed
+    into one BIGINT: ``ord`` of a raw frame stays below 2**48.
     """
     found = []
     for place, source in enumerate(registry.enabled()):
         if source.name not in raw or source.mapper is None:
             continue
         terms = expand_synonyms(queries.withColumn("source", F.lit(source.name)), single_term_sources=True)
-        rows = source.mapper(raw[source.name])
+        frames = raw[source.name]
+        rows = source.mapper(**frames) if isinstance(frames, dict) else source.mapper(frames)
         joined = rows.join(terms.select("query_id", F.col("substance").alias("_searched"), "term", "term_pos"), F.col("query") == F.col("term"))
         stamped = stamp_query(joined, "_searched").drop("_searched", "term", "query")
-        order = F.struct(F.lit(place).alias("source_pos"), "term_pos", F.col("ord").alias("pos"))
+        order = F.lit(place << 54).cast("bigint") + F.shiftleft(F.col("term_pos").cast("bigint"), 48) + F.col("ord")
         found.append(stamped.withColumn("ord", order).drop("term_pos", "place"))
     if not found:
         raise ValueError("no enabled source has a raw frame")

@@ -46,7 +46,7 @@ def test_field_availability(spark):
 def test_merge_fills_and_appends(spark):
     cached = frame(spark, [{"source": "A", "product": "p", "status": None}, {"source": "A", "product": "P ", "status": "dup"}])
     live = frame(spark, [{"source": "a", "product": "p", "status": "live"}, {"source": "B", "product": "n", "status": None}, {"source": "b", "product": "N", "status": "later"}])
-    got = {r.product: (r.status, r.origin) for r in identity.merge_cached_live(cached, live.withColumn("ord", F.col("ord") + 100)).collect()}
+    got = {r.product: (r.status, r.origin) for r in identity.merge_cached_live(cached.withColumn("ord", F.col("ord") + 100), live).collect()}
     assert got == {"p": ("live", "cached"), "n": ("later", "live")}
 
 
