@@ -279,13 +279,6 @@ def loose_json(c: Column | str) -> Column:
     return F.transform_values(parsed, lambda _, v: F.trim(text(v)))
 
 
-def accent_fold(c: Column | str) -> Column:
-    """P13 key: lower case without accents."""
-    from .english import strip_accents
-
-    return F.lower(strip_accents(as_col(c)))
-
-
 def percent_encode(c: Column | str) -> Column:
     """Like url_encode, with ``%20`` for a blank and ``/`` kept."""
     encoded = F.url_encode(as_col(c))

@@ -25,6 +25,11 @@ def _fs(spark: SparkSession, path: str):
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, folder = _fs(spark, path)
+    return fs.exists(folder)
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the complete versions, oldest first."""
     fs, folder = _fs(spark, path)
@@ -39,20 +44,20 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(found)
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Newest version of the store; an absent store is empty."""
-    known = versions(spark, path)
+def read_store(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Newest version of the store, or the newest before a number; an absent store is empty."""
+    known = [v for v in versions(spark, path) if before is None or v < before]
     if not known:
         ddl = "id long, " + ", ".join(f"{c} string" for c in STORED_COLUMNS)
         return spark.createDataFrame([], ddl)
     return spark.read.parquet(f"{path}/v={known[-1]}")
 
 
-def write_version(df: DataFrame, path: str, partition_by: str | None = None) -> int:
+def write_version(df: DataFrame, path: str, partition_by: str | None = None, number: int | None = None) -> int:
     """A new version beside the ones being read; nothing is overwritten, so a lost job leaves the store intact."""
     spark = df.sparkSession
-    known = versions(spark, path)
-    number = (known[-1] if known else 0) + 1
+    if number is None:
+        number = max(versions(spark, path), default=0) + 1
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{path}/v={number}")
     return number

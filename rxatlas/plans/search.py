@@ -9,7 +9,7 @@ from .. import dims
 from ..functions.base import text
 from ..functions.english import english_text
 from ..functions.rows import DISPLAY_FILTERS, display_row, export_row
-from ..operators import coverage, identity, ordering, quality, scope, search
+from ..operators import coverage, documents, identity, ordering, quality, scope, search
 from ..store_paths import checkpoint
 
 QUERY_DEFAULTS = {
@@ -136,6 +136,23 @@ def export(queries: DataFrame, rows: DataFrame, generated_at: Column | None = No
     return export_row(kept, F.col("query_substance"), F.col("default_category"), stamp, keep=("query_id", "ord"))
 
 
+def prepare_cached(rows: DataFrame) -> DataFrame:
+    """Q4: stored rows made ready for display, without reading documents: G4, then Q3."""
+    return quality.attach_quality(identity.propagate_by_molecule(rows))
+
+
+def enrich_cached(rows: DataFrame, docs: DataFrame, eu_links: DataFrame | None = None) -> DataFrame:
+    """Q4: stored rows enriched from their documents: D14 for UK rows, D15, D13, then ``prepare_cached``.
+
+    ``docs``: (doc_url, text). The result is what K2 saves back.
+    """
+    enriched = documents.apply_uk_metadata(rows.filter(text("source") == "MHRA"), documents.uk_metadata(docs))
+    enriched = enriched.unionByName(rows.filter(text("source") != "MHRA"), allowMissingColumns=True)
+    if eu_links is not None:
+        enriched = documents.apply_eu_links(enriched, eu_links)
+    return prepare_cached(documents.enrich_rows(enriched, docs))
+
+
 def data_health(products: DataFrame, samples: tuple[str, ...] = (
     "metformin", "paracetamol", "dapagliflozin", "quetiapine", "mirabegron",
 )) -> DataFrame:

@@ -35,8 +35,3 @@ def conform(df: DataFrame, transient: bool = False) -> DataFrame:
         pairs = [x for c in other for x in (F.lit(c), F.col(c).cast("string"))]
         out.append(F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()).alias("extras"))
     return df.select(*kept, *out)
-
-
-def add_missing(df: DataFrame, names: list[str]) -> DataFrame:
-    """Missing columns added as NULL text: the store's only form of schema evolution."""
-    return df.withColumns({c: F.lit(None).cast("string") for c in names if c not in df.columns})

@@ -40,9 +40,9 @@ def append_new(path: str):
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         columns = ["job_id", *KEY]
-        try:
+        if store.path_exists(spark, path):
             known = spark.read.parquet(path).filter(F.col("batch_id") < batch_id).select(*columns)
-        except Exception:  # nothing stored yet
+        else:
             known = spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
         fresh = jobs.save_job_results(known, batch)
         fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
@@ -61,10 +61,20 @@ def stream_health(events: DataFrame) -> DataFrame:
 
 
 def upsert_into(path: str):
-    """T5 sink: every micro-batch upserted into the product store as a new version."""
+    """T5 sink: every micro-batch upserted into the product store as a version of its own.
+
+    The first batch notes the version it started from; a batch's version follows from its id, so a repeated batch
+    reads what it read before and rewrites its own version.
+    """
     def sink(batch: DataFrame, batch_id: int) -> None:
-        current = store.read_store(batch.sparkSession, path)
-        store.write_version(store.upsert_products(current, batch), path)
+        spark, noted = batch.sparkSession, f"{path}/_stream_start"
+        if not store.path_exists(spark, noted):
+            newest = max(store.versions(spark, path), default=0)
+            spark.createDataFrame([(newest, batch_id)], "version long, batch_id long").coalesce(1).write.parquet(noted)
+        start = spark.read.parquet(noted).first()
+        number = start["version"] + 1 + batch_id - start["batch_id"]
+        current = store.read_store(spark, path, before=number)
+        store.write_version(store.upsert_products(current, batch), path, number=number)
 
     return sink
 
