@@ -128,10 +128,14 @@ def upsert_products(store: DataFrame, batch: DataFrame, now: Column | None = Non
     wins. Both sides offer one key per rule; the store's keys are reduced to their lowest id before the
     join, so a hot product contributes one row per key. Batch semantics: rows of a batch with the
     same identity collapse to the last one before they meet the store, and the last match of a store
-    row wins; equal to one-by-one saving unless rows of one batch chain through each other.
+    row wins. Where the store has no row of a source, product and country, a row with neither number nor URL meets
+    the first row that the batch inserts there. Equal to one-by-one saving unless rows of one batch chain through each
+    other.
     """
     fields = STORED_COLUMNS
     incoming = prepared_batch(batch, now)
+    identity = F.struct(non_empty("registration_number").alias("reg"), non_empty("product_url").alias("url"))
+    firsts = incoming.groupBy(*[text(c).alias(f"_{c}") for c in ("source", "product", "country")]).agg(F.min_by(identity, "ord").alias("_first"))
     incoming = keep_first(incoming, [*_identity(incoming), text("product_url")], last=True)
     base = [text(c).alias(f"_{c}") for c in ("source", "product", "country")]
     reg, url = non_empty("registration_number"), non_empty("product_url")
@@ -147,20 +151,26 @@ def upsert_products(store: DataFrame, batch: DataFrame, now: Column | None = Non
     targets = incoming.join(matched, "ord", "left")
 
     updates = keep_first(targets.filter("id IS NOT NULL"), [F.col("id")], last=True)
-    inserts = _collapse_linked(targets.filter("id IS NULL").drop("id"))
+    inserts = _collapse_linked(targets.filter("id IS NULL").drop("id"), firsts)
     replaced = updates.select("id", *fields)
     kept = store.join(replaced.select("id"), "id", "left_anti").select("id", *[opt(store, f).alias(f) for f in fields])
     added = with_new_ids(inserts, store).select("id", *fields)
     return kept.unionByName(replaced).unionByName(added)
 
 
-def _collapse_linked(new: DataFrame) -> DataFrame:
-    """Unmatched rows that share a registration number, and then a URL, with another one: the last stays."""
+def _collapse_linked(new: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Unmatched rows that share a registration number, and then a URL, with another one: the last stays; rows with
+    neither join the first row of their source, product and country."""
     base = [text(c) for c in ("source", "product", "country")]
     for column in ("registration_number", "product_url"):
         key = F.coalesce(non_empty(column), F.concat(F.lit("\x00"), F.col("ord").cast("string")))
         new = keep_first(new, [*base, key], last=True)
-    return new
+    columns = new.columns
+    reg, url = non_empty("registration_number"), non_empty("product_url")
+    with_first = new.withColumns({f"_{c}": text(c) for c in ("source", "product", "country")}).join(firsts, ["_source", "_product", "_country"])
+    joins = (reg.isNull() & url.isNull()) | F.coalesce(reg == F.col("_first.reg"), F.lit(False)) | F.coalesce(url == F.col("_first.url"), F.lit(False))
+    key = F.when(joins, F.lit("")).otherwise(F.col("ord").cast("string"))
+    return keep_first(with_first, [*base, key], last=True).select(*columns)
 
 
 def safe_filename(c: Column | str) -> Column:

@@ -49,10 +49,13 @@ m AS (SELECT b1.ord, min(st.id) AS id FROM b1 JOIN st USING (source, product, co
 u AS (SELECT id, max(ord) AS ord FROM m GROUP BY id),
 i AS (SELECT * FROM b1 WHERE ord NOT IN (SELECT ord FROM m)),
 i1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, product, country, COALESCE(registration_number, 'x' || ord) ORDER BY ord DESC) AS r2 FROM i) WHERE r2 = 1),
-i2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, product, country, COALESCE(product_url, 'x' || ord) ORDER BY ord DESC) AS r3 FROM i1) WHERE r3 = 1)
+i2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, product, country, COALESCE(product_url, 'x' || ord) ORDER BY ord DESC) AS r3 FROM i1) WHERE r3 = 1),
+f AS (SELECT source, product, country, arg_min({'r': registration_number, 'u': product_url}, ord) AS x FROM b GROUP BY ALL),
+i3 AS (SELECT * FROM (SELECT i2.*, row_number() OVER (PARTITION BY source, product, country, CASE WHEN (registration_number IS NULL AND product_url IS NULL)
+  OR registration_number = f.x.r OR product_url = f.x.u THEN '' ELSE CAST(ord AS VARCHAR) END ORDER BY ord DESC) AS r4 FROM i2 JOIN f USING (source, product, country)) WHERE r4 = 1)
 SELECT id, product, registration_number, 'stored' AS status FROM st WHERE id NOT IN (SELECT id FROM u)
 UNION ALL SELECT u.id, b.product, b.registration_number, 'new' FROM u JOIN b USING (ord)
-UNION ALL SELECT (SELECT max(id) FROM st) + 1 + ord, product, registration_number, 'new' FROM i2""", REG)
+UNION ALL SELECT (SELECT max(id) FROM st) + 1 + ord, product, registration_number, 'new' FROM i3""", REG)
 def _k2(spark, d):
     reg = registrations(spark, d).select("ord", "source", "product", "country", "registration_number")
     o = F.col("ord")

@@ -1,5 +1,6 @@
 """Identity, search, scope, store and quality on small inline tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from rxatlas import dims
@@ -217,3 +218,15 @@ def test_registry(spark):
     known = registry.Registry()
     assert known.by_name(" fda ").name == "FDA" and known.by_name("x") is None
     assert len(known.enabled()) == 31 and known.metadata(spark).count() == 32
+
+
+@pytest.mark.parametrize(("rows", "expected"), [
+    ([("R1", "a"), (None, "b")], [("b", None)]),
+    ([(None, "a"), ("R1", "b"), (None, "c")], [("b", "R1"), ("c", None)]),
+    ([("R1", "a"), ("R2", "b"), (None, "c"), ("R2", "d")], [("c", None), ("d", "R2")]),
+])
+def test_rows_with_neither_number_nor_url_meet_the_first(spark, rows, expected):
+    batch = spark.createDataFrame([(i, "s", "p", "c", r, st) for i, (r, st) in enumerate(rows)], "ord long, source string, product string, country string, registration_number string, status string")
+    empty = spark.createDataFrame([], "id long, source string, product string, country string, registration_number string, product_url string")
+    got = store.upsert_products(empty, batch).select("status", "registration_number").collect()
+    assert sorted((r.status, r.registration_number) for r in got) == expected
