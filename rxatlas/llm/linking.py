@@ -3,14 +3,19 @@
 A list is all entries with one ``key``; two texts can only be similar if some list holds both. What counts is which
 texts hang together, so pairs already known to hang together need no look:
 
-* **pivot rounds.** Each list names a few pivots (the entries with the smallest hashes). Every entry is
+* **pivot rounds.** Each list names up to ``PIVOTS`` pivots (dealt by hash, the smallest hash of each part). Every entry is
   compared with the pivots of its lists, and links join texts into components. A group of copies collapses after a few
   rounds; each round is linear in the entries. Rounds go on while the pairs between components that are left exceed
-  a small multiple of the entries and a round still removes a fifth of them;
+  a small multiple of the entries and a round still removes a twentieth of them;
 * **the exact rest.** In every list, entries outside the list's largest component meet the entries of other
   components. Computed answers of the pivots rule pairs out: Jaccard distance is a metric, so two texts whose distances to a
   common pivot differ by more than the threshold cannot be similar. All remaining pairs are compared.
 
+Before the texts of a pair are moved, their parity vectors are compared: bit ``i`` of a set's vector tells whether an odd
+number of its elements falls into bucket ``i``. Where two vectors differ, some element of the bucket is in one set only, so the
+number of differing bits bounds the symmetric difference from below, and with the sizes the similarity from
+above. The bound is exact; pairs it rules out are answered.
+
 Nothing is capped: the rounds only decide how many pairs are left for the second step. A comparison moves
 both texts to one task: a pivot's text goes once to each of its sub-groups of ``SUBGROUP`` partners, which
 stream past it, so no task holds a group.
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common
 from .textops import Words, mix, order_in_rows, pieces, runs, text_bytes, within
 
-PIVOTS = 4  # for each list and round
+PIVOTS = 16  # for each list and round
 SUBGROUP = 256
 LEFT_PER_ENTRY = 8  # pairs left for each entry at which the rounds stop
 MAX_ROUNDS = 12
@@ -148,17 +153,19 @@ def _left(entries: DataFrame) -> tuple[int, int]:
 
 def _pivot_pairs(entries: DataFrame, seed: int, possible: Condition) -> DataFrame:
     who = F.struct("id", *[c for c in entries.columns if c not in ("key", "id")])
-    picks = F.array_distinct(F.array(*[F.min_by(who, F.xxhash64(F.lit(seed * PIVOTS + i), "id")) for i in range(PIVOTS)]))
-    pivots = entries.groupBy("key").agg(picks.alias("p"), F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key", F.explode("p").alias("q"))
-    met = entries.alias("x").join(pivots.alias("y"), "key").filter((F.col("x.component") != F.col("y.q.component")) & possible("x", "y.q"))
-    return met.select(F.col("y.q.id").alias("p"), F.col("x.id").alias("m"))
+    draw = F.xxhash64(F.lit(seed), "id")
+    several = entries.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
+    live = entries.join(several, "key")
+    pivots = live.groupBy("key", F.pmod(draw, F.lit(PIVOTS)).alias("part")).agg(F.min_by(who, draw).alias("q")).select("key", "q")
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.q.component")) & possible("x", "y.q")
+    return live.alias("x").join(pivots.alias("y"), on).select(F.col("y.q.id").alias("p"), F.col("x.id").alias("m"))
 
 
 def _rest_pairs(entries: DataFrame, answers: DataFrame, possible: Condition, most: float) -> DataFrame:
     sizes = entries.groupBy("key", "component").agg(F.count("*").alias("n"))
     lists = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
     hubs = answers.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= HUB).drop("n")
-    near = answers.join(hubs, "a").select(F.col("b").alias("id"), F.struct("a", "distance").alias("k"))
+    near = answers.filter("distance IS NOT NULL").join(hubs, "a").select(F.col("b").alias("id"), F.struct("a", "distance").alias("k"))
     known = near.groupBy("id").agg(F.collect_list("k").alias("known"))
     live = entries.join(lists, "key").join(known, "id", "left")
     outside = live.filter("component <> main")
@@ -173,11 +180,12 @@ def _rest_pairs(entries: DataFrame, answers: DataFrame, possible: Condition, mos
     return outside.alias("x").join(live.alias("y"), on).select(F.col("x.id").alias("p"), F.col("y.id").alias("m"))
 
 
-def links(entries: DataFrame, texts: DataFrame, table, k: int, share: tuple[int, int], possible: Condition) -> DataFrame:
+def links(entries: DataFrame, texts: DataFrame, table, k: int, share: tuple[int, int], possible: Condition, words: int) -> DataFrame:
     """Edges (a, b) whose components are those of all similar pairs that share a list.
 
-    ``entries``: staged (key, id, ...); ``texts``: staged (id, text); similar: share[1] * common >= share[0] * union;
-    ``possible(x, y)``: a condition on the entry columns of two aliases that every similar pair of one list meets."""
+    ``entries``: staged (key, id, ...); ``texts``: staged (id, n, text, parity columns of ``words``); similar: share[1] *
+    common >= share[0] * union; ``possible(x, y)``: a condition on the entry columns of two aliases that every similar
+    pair of one list meets."""
     num, den = share
     spark = entries.sparkSession
     answers = spark.createDataFrame([], "a bigint, b bigint, distance double, similar boolean")
@@ -188,16 +196,22 @@ def links(entries: DataFrame, texts: DataFrame, table, k: int, share: tuple[int,
         unordered = pairs.filter("p <> m").groupBy(F.least("p", "m").alias("l"), F.greatest("p", "m").alias("g")).agg(F.min("p").alias("a"))
         fresh = unordered.select("a", F.when(F.col("a") == F.col("l"), F.col("g")).otherwise(F.col("l")).alias("b"), "l", "g")
         seen = answers.select(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("g")).distinct()
-        new = common.staged(fresh.join(seen, ["l", "g"], "left_anti").select("a", "b"), f"{name}-pairs")
+        untried = fresh.join(seen, ["l", "g"], "left_anti").select("a", "b")
+        vectors = texts.drop("text")
+        with_a = untried.join(vectors.alias("x"), F.col("a") == F.col("x.id"))
+        judgeable = with_a.join(vectors.alias("y"), F.col("b") == F.col("y.id")).select("a", "b", close("x", "y", words, share).alias("open"))
+        tried = common.staged(judgeable, f"{name}-pairs")
+        new = tried.filter("open").drop("open")
         union = F.col("size_a") + F.col("size_b") - F.col("both")
-        judged = compared(new, texts, table, k).select("a", "b", (1 - F.col("both") / union).alias("distance"), (den * F.col("both") >= num * union).alias("similar"))
-        return common.staged(judged, f"{name}-answers")
+        judged = compared(new, texts.select("id", "text"), table, k).select("a", "b", (1 - F.col("both") / union).alias("distance"), (den * F.col("both") >= num * union).alias("similar"))
+        ruled_out = tried.filter("NOT open").select("a", "b", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("similar"))
+        return common.staged(judged.unionByName(ruled_out), f"{name}-answers")
 
     last = float("inf")
     for nth in range(MAX_ROUNDS + 1):
         current = common.staged(_labelled(entries, labels), "entries")
         pairs_left, in_lists = _left(current)
-        if pairs_left <= LEFT_PER_ENTRY * in_lists or pairs_left > 0.8 * last or nth == MAX_ROUNDS:
+        if pairs_left <= LEFT_PER_ENTRY * in_lists or pairs_left > 0.95 * last or nth == MAX_ROUNDS:
             break
         last = pairs_left
         answers = answers.unionByName(answer(_pivot_pairs(current, nth, possible), f"round-{nth}"))
@@ -208,6 +222,28 @@ def links(entries: DataFrame, texts: DataFrame, table, k: int, share: tuple[int,
     return answers.unionByName(rest).filter("similar").select("a", "b")
 
 
+def parities(row: np.ndarray, value: np.ndarray, n: int, words: int) -> list[np.ndarray]:
+    """The parity vectors of n sets, 64 bits in each array."""
+    bucket = (mix(value ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)).astype(np.int64) % (64 * words)
+    counts = np.bincount(row * (64 * words) + bucket, minlength=n * 64 * words).reshape(n, words, 64)
+    bits = (counts & 1).astype(np.uint64) << np.arange(64, dtype=np.uint64)
+    packed = np.bitwise_or.reduce(bits, axis=2) if n else np.zeros((0, words), np.uint64)
+    return [np.ascontiguousarray(packed[:, w]) for w in range(words)]
+
+
+def parity_columns(words: int) -> list[str]:
+    return [f"parity_{i}" for i in range(words)]
+
+
+def close(x: str, y: str, words: int, share: tuple[int, int]) -> Column:
+    """Whether sizes ``n`` and parity vectors of two aliases allow the similarity."""
+    num, den = share
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differ = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in parity_columns(words)), F.lit(0))
+    # both <= (nx + ny - differ) / 2, and both * (num + den) >= (nx + ny) * num is needed
+    return (nx + ny - differ) * (num + den) >= 2 * (nx + ny) * num
+
+
 def hash_rows(row: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit fingerprints of each row's set, whatever the order of its elements."""
     ends = np.searchsorted(row, np.arange(n + 1))

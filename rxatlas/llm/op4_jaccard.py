@@ -36,6 +36,7 @@ from .textops import BATCH_BYTES, SPACED_LOWER, Words, list_array, order_in_rows
 K = 3
 SHARE = (90, 100)
 FREQUENT = 1 << 16
+PARITY_WORDS = 16
 IN_BATCH = 4  # occurrences in a batch from which a word or shingle is reported
 
 
@@ -125,7 +126,7 @@ def size_block(n: Column, share: tuple[int, int]) -> Column:
 
 
 def class_texts(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """(id, text): one text for each class, found by the class's least document id and checked by its fingerprints."""
+    """(id, n, text, parity vector): one text for each class, found by the class's least document id and checked by its fingerprints."""
     near = common.by_key_table(docs, "id", classes, "least")
     found = near.join(classes, near.id.eqNullSafe(classes.least)).select("class_id", "text", "n", "s1", "s2")
 
@@ -134,9 +135,12 @@ def class_texts(docs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
             row, value = linking.distinct_shingles(batch.column("text"), SPACED_LOWER, k)
             s1, s2 = linking.hash_rows(row, value, batch.num_rows)
             same = (np.bincount(row, minlength=batch.num_rows) == batch.column("n").to_numpy()) & (signed(s1) == batch.column("s1").to_numpy()) & (signed(s2) == batch.column("s2").to_numpy())
-            yield batch.select(["class_id", "text"]).filter(pa.array(same))
+            vectors = linking.parities(row, value, batch.num_rows, PARITY_WORDS)
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("class_id", "n", "text")), *(pa.array(signed(v)) for v in vectors)], names=["id", "n", "text", *linking.parity_columns(PARITY_WORDS)])
+            yield out.filter(pa.array(same))
 
-    return found.mapInArrow(run, "class_id bigint, text string").withColumnRenamed("class_id", "id").dropDuplicates(["id"])
+    vectors = ", ".join(f"{c} bigint" for c in linking.parity_columns(PARITY_WORDS))
+    return found.mapInArrow(run, f"id bigint, n bigint, text string, {vectors}").dropDuplicates(["id"])
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -157,7 +161,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     members = entries.select(F.col("id").alias("class_id")).distinct()
     wanted = common.staged(classes.join(members, "class_id"), "listed-classes")
     texts = common.staged(class_texts(own, wanted, k), "class-texts")
-    edges = linking.links(entries, texts, SPACED_LOWER, k, share, possible(share))
+    edges = linking.links(entries, texts, SPACED_LOWER, k, share, possible(share), PARITY_WORDS)
     parts = linking.components(edges).withColumnRenamed("id", "class_id")
     joined = classes.join(parts, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     named = joined.groupBy("component").agg(F.min("least").alias("component_id"))

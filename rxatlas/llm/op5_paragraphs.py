@@ -4,9 +4,8 @@ A paragraph is a line with at least ``least_words`` words; its set holds the dis
 Equal sets are one class. Each class gets MinHash values in bands of ``rows``; the number of bands is the smallest that finds a
 pair at the threshold with the wanted probability. Classes that share a band are compared by their exact Jaccard
 similarity (``linking``: pivots first, then every pair between different components), and components of similar
-paragraphs keep the one with the smallest (document, line). Before texts are moved for a comparison, one-bit MinHash sketches
-must agree in so many of their ``SKETCH`` bits as all but a fraction ``SKETCH_MISS`` of pairs at the threshold do: in a group of loosely
-related paragraphs most pairs end there.
+paragraphs keep the one with the smallest (document, line). Entries carry parity vectors, so most pairs of loosely
+related paragraphs end before they are formed.
 
 Paragraph texts are read again for the classes that share a band at all; which these are is first thinned by a
 table of hash buckets of fixed size, then joined exactly.
@@ -33,9 +32,8 @@ SHARE = (80, 100)
 LEAST_WORDS = 20
 ROWS = 2
 RECALL = 0.999
-SKETCH = 256
-SKETCH_MISS = 0.002
-SKETCH_COLUMNS = [f"sketch_{i}" for i in range(SKETCH // 64)]
+PARITY_WORDS = 4
+PARITY_COLUMNS = linking.parity_columns(PARITY_WORDS)
 FILTER_BITS = 22
 
 
@@ -44,16 +42,6 @@ def bands_for(threshold: float, recall: float, rows: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
 
 
-def least_agreement(threshold: float, bits: int, miss: float) -> int:
-    """Bits of two sketches that agree but for a fraction ``miss`` of pairs at the threshold: an exact binomial quantile."""
-    p, below = (1 + threshold) / 2, 0.0
-    for agree in range(bits + 1):
-        below += math.comb(bits, agree) * p**agree * (1 - p) ** (bits - agree)
-        if below > miss:
-            return agree
-    return bits
-
-
 class Paragraphs:
     """Lines of a batch of texts with at least so many words: ``doc``, ``line``, word count and distinct shingles."""
 
@@ -95,21 +83,11 @@ class Paragraphs:
             keys.append(key)
         return np.stack(keys, axis=1)
 
-    def sketches(self, which: np.ndarray) -> list[np.ndarray]:
-        """One-bit MinHash sketches of some paragraphs, 64 bits in each array."""
-        if not len(which):
-            return [np.zeros(0, np.uint64)] * (SKETCH // 64)
-        mine = np.zeros(len(self.of), bool)
-        mine[which] = True
-        values, sizes = self.value[mine[self.row]], self.sizes[which]
-        starts, out = np.cumsum(sizes) - sizes, []
-        for word in range(SKETCH // 64):
-            bits = np.zeros(len(which), np.uint64)
-            for bit in range(64):
-                seed = mix(np.array([1_000 + word * 64 + bit], np.uint64))[0]
-                bits |= (mix(np.minimum.reduceat((values ^ seed) * (seed | np.uint64(1)), starts)) & np.uint64(1)) << np.uint64(bit)
-            out.append(bits)
-        return out
+    def parities(self, which: np.ndarray) -> list[np.ndarray]:
+        nth = np.full(len(self.of), -1)
+        nth[which] = np.arange(len(which))
+        mine = nth[self.row] >= 0
+        return linking.parities(nth[self.row[mine]], self.value[mine], len(which), PARITY_WORDS)
 
     def texts(self, which: np.ndarray) -> list[bytes]:
         raw = self.data.tobytes()
@@ -134,7 +112,7 @@ def _described(docs: DataFrame, least_words: int, k: int, bands: int, rows: int)
 
 
 def _class_texts(docs: DataFrame, wanted: DataFrame, least_words: int, k: int) -> DataFrame:
-    """(id, text, sketch) of the wanted classes (id, n, s1, s2)."""
+    """(id, n, text, parity vector) of the wanted classes (id, n, s1, s2)."""
     bits = np.zeros(1 << FILTER_BITS, bool)
     bucket = F.shiftrightunsigned("s1", 64 - FILTER_BITS).cast("int")
     bits[wanted.select(bucket.alias("b")).distinct().toArrow().column("b").to_numpy()] = True
@@ -148,21 +126,19 @@ def _class_texts(docs: DataFrame, wanted: DataFrame, least_words: int, k: int) -
             # copies inside the batch are one
             which = np.sort(which[np.unique(p.s1[which], return_index=True)[1]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(p.sizes[which].astype(np.int32)), pa.array(signed(p.s1[which])), pa.array(signed(p.s2[which])), pa.array(p.texts(which), pa.binary()).cast(pa.string()), *(pa.array(signed(x)) for x in p.sketches(which))],
-                names=["n", "s1", "s2", "text", *SKETCH_COLUMNS])
+                [pa.array(p.sizes[which].astype(np.int32)), pa.array(signed(p.s1[which])), pa.array(signed(p.s2[which])), pa.array(p.texts(which), pa.binary()).cast(pa.string()), *(pa.array(signed(x)) for x in p.parities(which))],
+                names=["n", "s1", "s2", "text", *PARITY_COLUMNS])
 
-    found = docs.select("text").mapInArrow(run, "n int, s1 bigint, s2 bigint, text string, " + ", ".join(f"{c} bigint" for c in SKETCH_COLUMNS))
-    return found.join(wanted, ["n", "s1", "s2"]).select("id", "text", *SKETCH_COLUMNS).dropDuplicates(["id"])
+    found = docs.select("text").mapInArrow(run, "n int, s1 bigint, s2 bigint, text string, " + ", ".join(f"{c} bigint" for c in PARITY_COLUMNS))
+    return found.join(wanted, ["n", "s1", "s2"]).select("id", "n", "text", *PARITY_COLUMNS).dropDuplicates(["id"])
 
 
 def possible(share: tuple[int, int]) -> linking.Condition:
     num, den = share
-    least = least_agreement(num / den, SKETCH, SKETCH_MISS)
 
     def condition(x: str, y: str) -> Column:
         nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-        differ = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in SKETCH_COLUMNS), F.lit(0))
-        return (nx * den >= ny * num) & (ny * den >= nx * num) & (differ <= SKETCH - least)
+        return (nx * den >= ny * num) & (ny * den >= nx * num) & linking.close(x, y, PARITY_WORDS, share)
 
     return condition
 
@@ -186,8 +162,8 @@ def repeated_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text"
     members = entries.select(F.col("id").alias("class_id")).distinct()
     wanted = common.staged(classes.join(members, "class_id").select(F.col("class_id").alias("id"), *by), "paragraph-members")
     texts = common.staged(_class_texts(own, wanted, least_words, k), "paragraph-texts")
-    entries = common.staged(entries.join(texts.drop("text"), "id"), "sketched-lists")
-    edges = linking.links(entries, texts.select("id", "text"), SPACED_LOWER, k, share, possible(share))
+    entries = common.staged(entries.join(texts.drop("text", "n"), "id"), "paragraph-entries")
+    edges = linking.links(entries, texts, SPACED_LOWER, k, share, possible(share), PARITY_WORDS)
     parts = linking.components(edges).withColumnRenamed("id", "class_id")
 
     labelled = classes.join(parts, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))

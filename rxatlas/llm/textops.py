@@ -32,6 +32,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BY
             stop = min(stop, batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # the worker outlives the task
 
 
 def row_bounds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
