@@ -146,7 +146,7 @@ def _as_columns(rules: DataFrame) -> DataFrame:
 def cutoffs(scored: DataFrame, labels: DataFrame, key: str = "doc_id", good: str = "quality", limit: float = LIMIT, level: float = LEVEL, penalty: float = PENALTY) -> DataFrame:
     """(stratum, signal, cutoff, nth) of the certified rules, cutoffs in hundredths. ``scored``: rows of ``measured``."""
     marks = labels.filter(F.col(good).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(F.col(good).cast("int")).alias("good"))
-    holdout = F.crc32(F.col("id").cast("string")) % 2 == 1
+    holdout = F.substring(F.md5(F.col("id").cast("string")), 1, 1) >= "8"
     marked = with_signals(scored).join(marks, "id").select("stratum", "good", holdout.alias("holdout"), *[f"signal_{s}" for s in SIGNALS])
     marked = common.staged(marked, "quality-labelled")
 
@@ -185,7 +185,36 @@ def judged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == "")).withColumnRenamed("id", key)
 
 
-@common.query("op1_quality_rules")
+SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS rk, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT rk, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
+win AS (SELECT rk, i, array_to_string(w[i : i + 7], ' ') AS g FROM (SELECT rk, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 9)),
+dup AS (SELECT rk, i FROM (SELECT rk, i, count(*) OVER (PARTITION BY rk, g) AS c FROM win) WHERE c > 1),
+rep AS (SELECT rk, count(DISTINCT p) AS n FROM (SELECT rk, unnest(range(i, i + 8)) AS p FROM dup) GROUP BY rk),
+m AS (SELECT w.rk, doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(regexp_extract_all(t, '[A-Z]')) AS n_capitals
+  FROM w JOIN l USING (rk) LEFT JOIN rep USING (rk)),
+sg AS (SELECT rk, doc_id, lang, 1 AS o, 'symbols' AS signal, coalesce(n_symbols / nullif(word_chars, 0), 0) AS v FROM m
+  UNION ALL SELECT rk, doc_id, lang, 2, 'repeated_lines', coalesce(n_dup_lines / nullif(n_lines, 0), 0) FROM m
+  UNION ALL SELECT rk, doc_id, lang, 3, 'repeated_words', coalesce(n_repeat_words / nullif(n_words, 0), 0) FROM m
+  UNION ALL SELECT rk, doc_id, lang, 4, 'capitals', coalesce(n_capitals / nullif(word_chars, 0), 0) FROM m),
+mk AS (SELECT doc_id, min(quality) AS good, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) >= '8' AS holdout FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+gains AS (SELECT lang, signal, c, sum(CASE WHEN good = 0 THEN 1 ELSE -10 END) AS gain FROM sg JOIN mk USING (doc_id) JOIN (SELECT unnest(GRIDLIST) AS c) ON v * 100 > c WHERE NOT holdout GROUP BY ALL),
+best AS (SELECT lang, signal, max(gain) AS gain, arg_max(c, gain * 1000 + c) AS cutoff FROM gains WHERE gain > 0 GROUP BY ALL),
+prop AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY gain DESC, signal) AS nth FROM best),
+hit AS (SELECT sg.*, nth, v * 100 > cutoff AS fires FROM sg JOIN prop ON prop.lang IS NOT DISTINCT FROM sg.lang AND prop.signal = sg.signal),
+held AS (SELECT rk, lang, min(nth) FILTER (fires) AS first FROM hit JOIN mk USING (doc_id) WHERE holdout AND good = 1 GROUP BY ALL),
+sets AS (SELECT lang, r, count(*) AS n, count(*) FILTER (first <= r) AS k FROM held JOIN (SELECT unnest([1, 2, 3, 4]) AS r) ON true GROUP BY ALL),
+terms AS (SELECT *, unnest(range(0, k + 1)) AS j FROM sets WHERE k < n * 0.05),
+tails AS (SELECT lang, r, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.05) + (n - j) * ln(0.95))) AS tail FROM terms GROUP BY ALL),
+cert AS (SELECT lang, max(r) AS r FROM tails WHERE tail <= 0.05 / (SELECT count(*) FROM (SELECT DISTINCT lang FROM m JOIN mk USING (doc_id))) GROUP BY lang),
+rej AS (SELECT rk, string_agg(signal, ',' ORDER BY o) AS rejected_by FROM hit JOIN cert ON cert.lang IS NOT DISTINCT FROM hit.lang WHERE fires AND nth <= r GROUP BY rk),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m LEFT JOIN rej USING (rk))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by FROM f
+""".replace("GRIDLIST", str(list(GRID)))
+
+
+@common.query("op1_quality_rules", SQL)
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judged(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
