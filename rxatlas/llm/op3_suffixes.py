@@ -352,6 +352,19 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     return (result if keep_text else result.drop("kept")).withColumnRenamed("id", key)
 
 
-@common.query("op3_suffix_array_dedup")
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS rk, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT rk, i, md5(substr(h, CAST(2 * i + 1 AS BIGINT), 400)) AS k FROM (SELECT rk, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400)),
+dup AS (SELECT rk, i FROM (SELECT rk, i, count(*) OVER (PARTITION BY k) AS c FROM g) WHERE c > 1),
+f AS (SELECT rk, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rk ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM dup),
+r AS (SELECT rk, min(i) AS a, max(i) + 200 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY rk ORDER BY i) AS grp FROM f) GROUP BY rk, grp),
+o AS (SELECT rk, a, b, lag(b, 1, 0) OVER (PARTITION BY rk ORDER BY a) AS was FROM r),
+x AS (SELECT rk, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, CAST(2 * was + 1 AS BIGINT), CAST(2 * (a - was) AS BIGINT)), '' ORDER BY a) AS kept FROM o JOIN d USING (rk) GROUP BY rk)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN x.rk IS NULL THEN h ELSE kept || substr(h, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256 FROM d LEFT JOIN x USING (rk)
+"""
+
+
+@common.query("op3_suffix_array_dedup", SQL)
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(common.table(spark, sf_dir, "documents")).drop("spans")
