@@ -226,7 +226,17 @@ def page_of(identifier: Column) -> Column:
     return F.regexp_extract(identifier, r"^<urn:page:(.*):[A-Z2-7]+>$", 1)
 
 
-@common.query("op9_warc")
+SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, n, array_to_string(list_transform(range(0, 32), lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  ((CAST('0x' || substr(h, CAST(10 * (x // 8) + 1 AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (x % 8) AS BIGINT)) & 31) + 1, 1)), '') AS digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS original FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> original THEN original END AS refers_to FROM m
+"""
+
+
+@common.query("op9_warc", SQL)
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages")
     path = stage_path(spark, "warc")
