@@ -257,13 +257,34 @@ def test_empty_tables(spark):
     assert [f.count() for f in frames] == [0] * len(frames)
 
 
+def test_parity_vectors_never_rule_out_a_similar_pair(spark):
+    import numpy as np
+
+    rng, rows = np.random.default_rng(2), []
+    for n in (1, 5, 40, 400):
+        for _ in range(40):
+            base = rng.integers(0, 1 << 62, n).astype(np.uint64)
+            other = base.copy()
+            changed = rng.random(n) < rng.random() * 0.3
+            other[changed] = rng.integers(0, 1 << 62, int(changed.sum())).astype(np.uint64)
+            a, b = np.unique(base), np.unique(other)
+            both = len(np.intersect1d(a, b))
+            row = np.repeat([0, 1], [len(a), len(b)])
+            vectors = [v.view(np.int64).tolist() for v in linking.parities(row, np.concatenate([a, b]), 2, 2)]
+            rows.append((len(a), len(b), both, *[x for v in vectors for x in v]))
+    frame = spark.createDataFrame(rows, "x_n int, y_n int, both int, x0 long, y0 long, x1 long, y1 long")
+    pair = frame.selectExpr("struct(x_n AS n, x0 AS parity_0, x1 AS parity_1) AS x", "struct(y_n AS n, y0 AS parity_0, y1 AS parity_1) AS y", "100 * both >= 80 * (x_n + y_n - both) AS similar")
+    judged = pair.select("similar", linking.close("x", "y", 2, (80, 100)).alias("open"))
+    assert judged.filter("similar AND NOT open").count() == 0 and judged.filter("NOT open").count() > 20
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 100)]
     got = dict(linking.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys((100, 101, 102, 200), 100)}
 
 
-@pytest.mark.parametrize("name", ["op4_ngram_jaccard_join", "op7_packing", "op10_benchmark_decontamination"])
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op3_suffix_array_dedup", "op4_ngram_jaccard_join", "op7_packing", "op9_warc", "op10_benchmark_decontamination"])
 def test_queries_match_their_sql(spark, small, name):
     from oracle import connect, normalised
 
