@@ -3,10 +3,10 @@
 A list is all entries with one ``key``; two texts can only be similar if some list holds both. What counts is which
 texts hang together, so pairs already known to hang together need no look:
 
-* **pivot rounds.** Each list names up to ``PIVOTS`` pivots (dealt by hash, the smallest hash of each part). Every entry is
+* **pivot rounds.** Each list names a few pivots (dealt by hash, the smallest hash of each part). Every entry is
   compared with the pivots of its lists, and links join texts into components. A group of copies collapses after a few
-  rounds; each round is linear in the entries. Rounds go on while the pairs between components that are left exceed
-  a small multiple of the entries and a round still removes a twentieth of them;
+  rounds; each round is linear in the entries. While the pairs between components are more than ``DENSE`` times the
+  entries, rounds take ``MANY`` pivots; then follows one round of ``FEW``, unless hardly any pairs are left;
 * **the exact rest.** In every list, entries outside the list's largest component meet the entries of other
   components. Computed answers of the pivots rule pairs out: Jaccard distance is a metric, so two texts whose distances to a
   common pivot differ by more than the threshold cannot be similar. All remaining pairs are compared.
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from . import common
 from .textops import Words, mix, order_in_rows, pieces, runs, text_bytes, within
 
-PIVOTS = 16  # for each list and round
+MANY, FEW = 16, 2  # pivots for each list and round
+DENSE, SPARSE = 10, 0.25  # pairs left for each entry
 SUBGROUP = 256
-LEFT_PER_ENTRY = 8  # pairs left for each entry at which the rounds stop
 MAX_ROUNDS = 12
 HUB = 64  # answers from which a pivot's distances are used to rule pairs out
 
@@ -151,12 +151,12 @@ def _left(entries: DataFrame) -> tuple[int, int]:
     return found[0], found[1]
 
 
-def _pivot_pairs(entries: DataFrame, seed: int, possible: Condition) -> DataFrame:
+def _pivot_pairs(entries: DataFrame, seed: int, pivots_of_list: int, possible: Condition) -> DataFrame:
     who = F.struct("id", *[c for c in entries.columns if c not in ("key", "id")])
     draw = F.xxhash64(F.lit(seed), "id")
     several = entries.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
     live = entries.join(several, "key")
-    pivots = live.groupBy("key", F.pmod(draw, F.lit(PIVOTS)).alias("part")).agg(F.min_by(who, draw).alias("q")).select("key", "q")
+    pivots = live.groupBy("key", F.pmod(draw, F.lit(pivots_of_list)).alias("part")).agg(F.min_by(who, draw).alias("q")).select("key", "q")
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.q.component")) & possible("x", "y.q")
     return live.alias("x").join(pivots.alias("y"), on).select(F.col("y.q.id").alias("p"), F.col("x.id").alias("m"))
 
@@ -207,14 +207,16 @@ def links(entries: DataFrame, texts: DataFrame, table, k: int, share: tuple[int,
         ruled_out = tried.filter("NOT open").select("a", "b", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("similar"))
         return common.staged(judged.unionByName(ruled_out), f"{name}-answers")
 
-    last = float("inf")
+    last, dense = float("inf"), True
     for nth in range(MAX_ROUNDS + 1):
         current = common.staged(_labelled(entries, labels), "entries")
         pairs_left, in_lists = _left(current)
-        if pairs_left <= LEFT_PER_ENTRY * in_lists or pairs_left > 0.95 * last or nth == MAX_ROUNDS:
+        if not dense or pairs_left <= SPARSE * in_lists or nth == MAX_ROUNDS:
             break
+        dense = DENSE * in_lists < pairs_left <= 0.95 * last
         last = pairs_left
-        answers = answers.unionByName(answer(_pivot_pairs(current, nth, possible), f"round-{nth}"))
+        pairs = _pivot_pairs(current, nth, MANY if dense else FEW, possible)
+        answers = answers.unionByName(answer(pairs, f"round-{nth}"))
         labels = components(answers.filter("similar"), rounds=2)
     if pairs_left == 0:
         return answers.filter("similar").select("a", "b")
