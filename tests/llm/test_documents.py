@@ -136,8 +136,9 @@ def test_similar_documents(documents):
 def test_links_do_not_depend_on_rounds(documents, monkeypatch):
     rows = [(i, edited(BASE, random.choice([1, 3, 5, 7]))) for i in range(60)]
     expected = expected_components(rows, 3, 90, 100)
-    for left in (0, 10**9):  # as many pivot rounds as help, and none
-        monkeypatch.setattr(linking, "LEFT_PER_ENTRY", left)
+    for dense, sparse in ((0, 0), (10**9, 0), (10**9, 10**9)):  # many rounds of many pivots, one of few, none
+        monkeypatch.setattr(linking, "DENSE", dense)
+        monkeypatch.setattr(linking, "SPARSE", sparse)
         got = op4_jaccard.similar_documents(documents(rows)).select("doc_id", "n_shingles", "component_id")
         assert by_id(got.collect()) == expected
 
