@@ -6,7 +6,7 @@ texts hang together, so pairs already known to hang together need no look:
 * **pivot rounds.** Each list names a few pivots (dealt by hash, the smallest hash of each part). Every entry is
   compared with the pivots of its lists, and links join texts into components. A group of copies collapses after a few
   rounds; each round is linear in the entries. While the pairs between components are more than ``DENSE`` times the
-  entries, rounds take ``MANY`` pivots; then follows one round of ``FEW``, unless hardly any pairs are left;
+  entries and each round halves them, rounds take ``MANY`` pivots; lists that are not so dense from the start take one round of ``FEW``;
 * **the exact rest.** In every list, entries outside the list's largest component meet the entries of other
   components. Computed answers of the pivots rule pairs out: Jaccard distance is a metric, so two texts whose distances to a
   common pivot differ by more than the threshold cannot be similar. All remaining pairs are compared.
@@ -23,7 +23,9 @@ stream past it, so no task holds a group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ MANY, FEW = 16, 2  # pivots for each list and round
 DENSE, SPARSE = 10, 0.25  # pairs left for each entry
 SUBGROUP = 256
 MAX_ROUNDS = 12
+FOLDED_WORDS = 4  # 64-bit words of the parity vectors that entries carry
 HUB = 64  # answers from which a pivot's distances are used to rule pairs out
 
 Sets = list[np.ndarray]
@@ -88,8 +91,10 @@ def compared(pairs: DataFrame, texts: DataFrame, table, k: int) -> DataFrame:
     """(a, b, both, size_a, size_b): sizes of the two sets and of what they share, for distinct pairs (a, b)."""
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / SUBGROUP).cast("int").alias("parts"))
     salted = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    # texts are what weighs: they are sorted and merged at every size, never gathered for a broadcast
+    salted = salted.hint("merge")
     of_b = salted.join(texts, salted.b == texts.id).select("a", "part", F.lit(1).alias("role"), "b", "text")
-    of_a = salted.select("a", "part").distinct().join(texts, F.col("a") == texts.id).select("a", "part", F.lit(0).alias("role"), F.lit(None).cast("bigint").alias("b"), "text")
+    of_a = salted.select("a", "part").distinct().hint("merge").join(texts, F.col("a") == texts.id).select("a", "part", F.lit(0).alias("role"), F.lit(None).cast("bigint").alias("b"), "text")
     streamed = of_a.unionByName(of_b).repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,13 +166,23 @@ def _pivot_pairs(entries: DataFrame, seed: int, pivots_of_list: int, possible: C
     return live.alias("x").join(pivots.alias("y"), on).select(F.col("y.q.id").alias("p"), F.col("x.id").alias("m"))
 
 
-def _rest_pairs(entries: DataFrame, answers: DataFrame, possible: Condition, most: float) -> DataFrame:
+def _folded(texts: DataFrame, words: int) -> tuple[DataFrame, int]:
+    """(id, parity vector of fewer buckets): buckets are merged by folding the vector."""
+    fewer = math.gcd(words, FOLDED_WORDS)
+    folded = [reduce(lambda a, b: a.bitwiseXOR(b), [F.col(f"parity_{j}") for j in range(i, words, fewer)]).alias(f"parity_{i}") for i in range(fewer)]
+    return texts.select("id", *folded), fewer
+
+
+def _rest_pairs(entries: DataFrame, answers: DataFrame, texts: DataFrame, words: int, share: tuple[int, int], possible: Condition) -> DataFrame:
     sizes = entries.groupBy("key", "component").agg(F.count("*").alias("n"))
     lists = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
     hubs = answers.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= HUB).drop("n")
     near = answers.filter("distance IS NOT NULL").join(hubs, "a").select(F.col("b").alias("id"), F.struct("a", "distance").alias("k"))
     known = near.groupBy("id").agg(F.collect_list("k").alias("known"))
-    live = entries.join(lists, "key").join(known, "id", "left")
+    vectors, fewer = _folded(texts, words)
+    kept = [c for c in entries.columns if not c.startswith("parity_")]
+    live = entries.select(kept).join(lists, "key").join(known, "id", "left").join(vectors, "id")
+    most = 1 - share[0] / share[1]
     outside = live.filter("component <> main")
 
     def apart(x: Column, y: Column) -> Column:
@@ -176,7 +191,7 @@ def _rest_pairs(entries: DataFrame, answers: DataFrame, possible: Condition, mos
     ruled_out = F.coalesce(apart(F.col("x.known"), F.col("y.known")), F.lit(False))
     # a pair of two outside entries is met from both sides: take one
     once = (F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & possible("x", "y") & ~ruled_out
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & possible("x", "y") & close("x", "y", fewer, share) & ~ruled_out
     return outside.alias("x").join(live.alias("y"), on).select(F.col("x.id").alias("p"), F.col("y.id").alias("m"))
 
 
@@ -198,8 +213,8 @@ def links(entries: DataFrame, texts: DataFrame, table, k: int, share: tuple[int,
         seen = answers.select(F.least("a", "b").alias("l"), F.greatest("a", "b").alias("g")).distinct()
         untried = fresh.join(seen, ["l", "g"], "left_anti").select("a", "b")
         vectors = texts.drop("text")
-        with_a = untried.join(vectors.alias("x"), F.col("a") == F.col("x.id"))
-        judgeable = with_a.join(vectors.alias("y"), F.col("b") == F.col("y.id")).select("a", "b", close("x", "y", words, share).alias("open"))
+        with_a = untried.hint("merge").join(vectors.alias("x"), F.col("a") == F.col("x.id"))
+        judgeable = with_a.hint("merge").join(vectors.alias("y"), F.col("b") == F.col("y.id")).select("a", "b", close("x", "y", words, share).alias("open"))
         tried = common.staged(judgeable, f"{name}-pairs")
         new = tried.filter("open").drop("open")
         union = F.col("size_a") + F.col("size_b") - F.col("both")
@@ -211,16 +226,16 @@ def links(entries: DataFrame, texts: DataFrame, table, k: int, share: tuple[int,
     for nth in range(MAX_ROUNDS + 1):
         current = common.staged(_labelled(entries, labels), "entries")
         pairs_left, in_lists = _left(current)
-        if not dense or pairs_left <= SPARSE * in_lists or nth == MAX_ROUNDS:
+        was, dense = dense, DENSE * in_lists < pairs_left <= 0.5 * last
+        if not was or pairs_left <= SPARSE * in_lists or nth == MAX_ROUNDS or nth and not dense:
             break
-        dense = DENSE * in_lists < pairs_left <= 0.95 * last
         last = pairs_left
         pairs = _pivot_pairs(current, nth, MANY if dense else FEW, possible)
         answers = answers.unionByName(answer(pairs, f"round-{nth}"))
         labels = components(answers.filter("similar"), rounds=2)
     if pairs_left == 0:
         return answers.filter("similar").select("a", "b")
-    rest = answer(_rest_pairs(current, answers, possible, 1 - num / den), "rest")
+    rest = answer(_rest_pairs(current, answers, texts, words, share, possible), "rest")
     return answers.unionByName(rest).filter("similar").select("a", "b")
 
 

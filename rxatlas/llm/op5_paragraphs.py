@@ -4,8 +4,8 @@ A paragraph is a line with at least ``least_words`` words; its set holds the dis
 Equal sets are one class. Each class gets MinHash values in bands of ``rows``; the number of bands is the smallest that finds a
 pair at the threshold with the wanted probability. Classes that share a band are compared by their exact Jaccard
 similarity (``linking``: pivots first, then every pair between different components), and components of similar
-paragraphs keep the one with the smallest (document, line). Entries carry parity vectors, so most pairs of loosely
-related paragraphs end before they are formed.
+paragraphs keep the one with the smallest (document, line). Most pairs of loosely related
+paragraphs end at their parity vectors, before they are formed.
 
 Paragraph texts are read again for the classes that share a band at all; which these are is first thinned by a
 table of hash buckets of fixed size, then joined exactly.
@@ -138,7 +138,7 @@ def possible(share: tuple[int, int]) -> linking.Condition:
 
     def condition(x: str, y: str) -> Column:
         nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-        return (nx * den >= ny * num) & (ny * den >= nx * num) & linking.close(x, y, PARITY_WORDS, share)
+        return (nx * den >= ny * num) & (ny * den >= nx * num)
 
     return condition
 
@@ -162,7 +162,6 @@ def repeated_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text"
     members = entries.select(F.col("id").alias("class_id")).distinct()
     wanted = common.staged(classes.join(members, "class_id").select(F.col("class_id").alias("id"), *by), "paragraph-members")
     texts = common.staged(_class_texts(own, wanted, least_words, k), "paragraph-texts")
-    entries = common.staged(entries.join(texts.drop("text", "n"), "id"), "paragraph-entries")
     edges = linking.links(entries, texts, SPACED_LOWER, k, share, possible(share), PARITY_WORDS)
     parts = linking.components(edges).withColumnRenamed("id", "class_id")
 
