@@ -1,8 +1,10 @@
 """Near-duplicate paragraphs across documents, found by MinHash bands and removed but for the first of each group.
 
-A paragraph is a line with at least ``least_words`` words; its set holds the distinct shingles of five words, lower-cased in A-Z.
+A paragraph is a line with at least ``least_words`` words, in the query every line with a word; its set holds the distinct
+shingles of five words, lower-cased in A-Z, and a line with fewer words is one shingle.
 Equal sets are one class. Each class gets MinHash values in bands of ``rows``; the number of bands is the smallest that finds a
-pair at the threshold with the wanted probability. Classes that share a band are compared by their exact Jaccard
+pair at the threshold with the wanted probability. Sets so small that one element more or less is below the threshold can only
+be similar to equal ones and need no bands. Classes that share a band are compared by their exact Jaccard
 similarity (``linking``: pivots first, then every pair between different components), and components of similar
 paragraphs keep the one with the smallest (document, line). Most pairs of loosely related
 paragraphs end at their parity vectors, before they are formed.
@@ -10,8 +12,8 @@ paragraphs end at their parity vectors, before they are formed.
 Paragraph texts are read again for the classes that share a band at all; which these are is first thinned by a
 table of hash buckets of fixed size, then joined exactly.
 
-Defined results: null, empty and wordless texts have no paragraphs; lines with fewer words are kept and not counted;
-repeated rows are documents of their own, whose later copies lose their paragraphs.
+Defined results: null, empty and wordless texts have no paragraphs; lines with fewer than ``least_words`` words are kept and
+not counted; repeated rows are documents of their own, whose later copies lose their paragraphs.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from .textops import SPACED_LOWER, Words, list_array, mix, order_in_rows, pieces
 
 K = 5
 SHARE = (80, 100)
-LEAST_WORDS = 20
+LEAST_WORDS = 1  # of the query: every line with a word
 ROWS = 2
 RECALL = 0.999
 PARITY_WORDS = 4
@@ -52,7 +54,7 @@ class Paragraphs:
         starts = starts[starts < len(self.data)] if len(self.data) else starts[:0]
         self.edges = np.append(starts, len(self.data))
         words = Words(self.data, self.edges, SPACED_LOWER)
-        long = words.counts >= max(least_words, k)
+        long = words.counts >= max(least_words, 1)
         self.of = np.flatnonzero(long)  # lines that count
         nth = np.cumsum(long) - 1
         doc = np.searchsorted(bounds, starts, "right") - 1
@@ -60,7 +62,14 @@ class Paragraphs:
         self.line = (np.arange(len(starts)) - np.searchsorted(starts, bounds[doc]))[self.of]
         self.words = words.counts[self.of]
         ok = within(words.row, k) & long[words.row[: max(len(words.row) - k + 1, 0)]]
-        row, value = nth[words.row[: len(ok)][ok]], runs(words.hashes(), k)[ok]
+        hashes = words.hashes()
+        rows, values = [nth[words.row[: len(ok)][ok]]], [runs(hashes, k)[ok]]
+        for n in range(max(least_words, 1), k):  # lines with fewer words
+            short = np.flatnonzero(words.counts == n)
+            if len(short):
+                rows.append(nth[short])
+                values.append(runs(hashes, n)[words.first[short]])
+        row, value = np.concatenate(rows), np.concatenate(values)
         order = order_in_rows(row, value)
         row, value = row[order], value[order]
         new = np.ones(len(row), bool)
@@ -94,16 +103,18 @@ class Paragraphs:
         return [raw[self.edges[i] : self.edges[i + 1]] for i in self.of[which]]
 
 
-def _described(docs: DataFrame, least_words: int, k: int, bands: int, rows: int) -> DataFrame:
+def _described(docs: DataFrame, least_words: int, k: int, share: tuple[int, int], bands: int, rows: int) -> DataFrame:
+    num, den = share
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = common.row_keys()
         for batch in pieces(batches, "text"):
             p = Paragraphs(batch.column("text"), least_words, k)
-            keys = p.bands(bands, rows)
+            several = p.sizes * den >= (p.sizes + 1) * num  # others are only similar to equal sets
+            keys = p.bands(bands, rows)[several]
             found = pa.StructArray.from_arrays(
-                [pa.array(p.line.astype(np.int32)), pa.array(p.sizes.astype(np.int32)), pa.array(signed(p.s1)), pa.array(signed(p.s2)), list_array(pa.array(signed(keys.reshape(-1))), np.full(len(p.of), bands))],
+                [pa.array(p.line.astype(np.int32)), pa.array(p.sizes.astype(np.int32)), pa.array(signed(p.s1)), pa.array(signed(p.s2)), list_array(pa.array(signed(keys.reshape(-1))), np.where(several, bands, 0))],
                 names=["line", "n", "s1", "s2", "bands"])
             listed = list_array(found, np.bincount(p.doc, minlength=batch.num_rows))
             yield pa.RecordBatch.from_arrays([common.key_range(counter, batch.num_rows), batch.column("id"), listed], names=["row_key", "id", "paragraphs"])
@@ -143,12 +154,12 @@ def possible(share: tuple[int, int]) -> linking.Condition:
     return condition
 
 
-def repeated_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, k: int = K, share: tuple[int, int] = SHARE, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = K, k: int = K, share: tuple[int, int] = SHARE, recall: float = RECALL, rows: int = ROWS) -> DataFrame:
     """One row per document: the key, ``n_paragraphs``, ``n_removed``, ``removed`` (line numbers from 0) and ``groups``
     (the component of each paragraph that has similar ones)."""
     own = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
     bands = bands_for(share[0] / share[1], recall, rows)
-    described = common.staged(_described(own, least_words, k, bands, rows), "paragraphs")
+    described = common.staged(_described(own, least_words, k, share, bands, rows), "paragraphs")
     flat = described.select("row_key", "id", F.explode("paragraphs").alias("p")).select("row_key", "id", "p.*")
     by = ["n", "s1", "s2"]
     place = F.struct("id", "line", "row_key")
@@ -185,4 +196,4 @@ def without_lines(text: Column, removed: Column) -> Column:
 
 @common.query("op5_paragraph_dedup")
 def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_paragraphs(common.table(spark, sf_dir, "documents"))
+    return repeated_paragraphs(common.table(spark, sf_dir, "documents"), least_words=LEAST_WORDS)

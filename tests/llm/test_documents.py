@@ -162,6 +162,22 @@ def test_repeated_paragraphs(documents):
     assert got == {i: (n[i], removed[i]) for i, _ in ROWS[:-2]}
 
 
+def test_short_lines_are_paragraphs(spark, tmp_path):
+    notice = "copying and distribution are permitted in any medium"
+    rows = [
+        (1, f"Contents\n{notice}\n{OTHER}"), (2, f"{notice}\ncontents\n\n \t"), (3, "Copying and  distribution are permitted in any medium\nall rights reserved"),
+        (4, "a b c d e f g h i\na b c d\na b c"), (5, "a b c d e f g h i j\nall rights Reserved\na b c x"), (6, None), (7, f"a b c d e f g h\na b c d e f g\n{edited(OTHER, 2)}")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_paragraphs, r.removed) for r in op5_paragraphs.op5_paragraph_dedup(spark, str(tmp_path)).collect()}
+    places = [(i, nth, plain.shingles(line, 5)) for i, t in rows for nth, line in enumerate((t or "").split("\n")) if plain.SPACED.findall(line)]
+    removed = collections.defaultdict(list)
+    for nth, root in enumerate(plain.components([p[2] for p in places], 80, 100)):
+        if nth != root:
+            removed[places[nth][0]].append(places[nth][1])
+    n = collections.Counter(p[0] for p in places)
+    assert got == {i: (n[i], removed[i]) for i, _ in rows} and got[2] == (2, [0, 1])
+
+
 def test_language(documents, spark):
     sounds = {"en": ["the", "thing", "of", "tion"], "de": ["ung", "sch", "der", "keit"], "fr": ["eau", "oi", "le", "ment"]}
     rows = [(i, prose(40, sounds[lang]), lang) for i, lang in enumerate(list(sounds) * 60)] + [(900, prose(20), None)]
