@@ -1,7 +1,7 @@
 """A training-data pipeline: each stage calls one of the corpus operators on what the stage before it kept.
 
 language       documents whose language is not recognised go
-near_copies    one document of each group of similar documents stays, the one with the smallest id
+near_copies    one document of each group of similar documents (shingles of five words, 0.8) stays, the one with the smallest id
 repeats        passages of 200 bytes and more that repeat anywhere go, in every place; documents of which nothing is left go
 decontaminate  documents that share a window of words with a benchmark item go
 packing        the rest is cut into sequences and batched by length
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from rxatlas.llm import common, op3_suffixes, op4_jaccard, op6_language, op7_packing, op10_decontaminate
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+NEAR_K, NEAR_SHARE = 5, (80, 100)  # words of a shingle and least Jaccard similarity of near copies
 LEAST_SCORE = 0.4  # share of the words' posterior mass
 
 
@@ -32,7 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = _keyed(docs)
-    groups = op4_jaccard.similar_documents(keyed, key="_key")
+    groups = op4_jaccard.similar_documents(keyed, key="_key", k=NEAR_K, share=NEAR_SHARE)
     others = groups.filter(~F.col("_key").eqNullSafe(F.col("component_id"))).select("_key").distinct()
     kept = common.without_keys(keyed, "_key", others)
     # rows that repeat id and text share a key: one of them stays

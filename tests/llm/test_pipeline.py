@@ -56,3 +56,14 @@ def test_rejected_languages(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in dict(pipeline.STAGES)["language"](spark, docs, "").collect()}
     assert kept == set(range(40)) and op6_language.UNKNOWN == "und"
+
+
+def test_near_copies_by_five_words(spark):
+    import corpus_pipeline as pipeline
+
+    words = [f"w{i}" for i in range(300)]
+    rows = [(n, " ".join(f"x{n}" if i % 45 == 20 and i // 45 < n else w for i, w in enumerate(words)), "en", "s", 9) for n in (0, 6, 7)] + [(9, "a b c d e", "en", "s", 9), (10, "a b c d", "en", "s", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in dict(pipeline.STAGES)["near_copies"](spark, docs, "").collect()}
+    roots = plain.components([plain.shingles(r[1], 5) for r in rows], 80, 100)
+    assert kept == {rows[r][0] for r in roots} and 6 not in kept
