@@ -9,7 +9,8 @@
    ``PARTS`` parts first, then the parts with each other.
 3. Each page is aligned with its host's wrapper, which gives every text its slot. A slot is main text by where it stands:
    inside an article or main element if the page has one, and never inside a menu, header, footer, sidebar, notice,
-   advert, form or reader comment, told by tag or by the words of its class, id or role. A short text that stands in the same slot
+   advert, form or reader comment, told by tag or by the words of its class, id or role (but not by what follows has-, no- or with-,
+   and no mark hides an article element that holds most of the page's text). A short text that stands in the same slot
    on at least half of a host's pages is part of the template (a constant of the wrapper), not of the article.
 
 Text is decoded, white space inside a block becomes one space, and blocks are joined by line breaks in page order.
@@ -59,6 +60,8 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^<>]*\Z", re.S | re.I)
 _MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: a word after one of these in the same class says what the element has or lacks, not what it is
+QUALIFIERS = frozenset(("has", "no", "with", "without"))
 
 
 def _mark(attributes: str) -> str:
@@ -67,9 +70,12 @@ def _mark(attributes: str) -> str:
         return ""
     for groups in _MARKED.findall(attributes):
         value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", "".join(groups)).lower()
-        for word in _WORD.findall(value):
-            if word in MARKS:
-                return word
+        for compound in value.split():
+            for word in _WORD.findall(compound):
+                if word in QUALIFIERS:
+                    break
+                if word in MARKS:
+                    return word
     return ""
 
 
@@ -157,6 +163,37 @@ class Page:
             pending.append(source[at:])
             outside += links == 0
         flush()
+        self._unmark_article()
+
+    def _unmark_article(self) -> None:
+        """Where every article or main element is marked or below a mark, the one that holds most of the page's text loses those marks."""
+        found: list[tuple[int, list[list]]] = []
+        clear = False
+
+        def walk(node: list, marked: list[list]) -> int:
+            nonlocal clear
+            length = 0
+            for child in node[1]:
+                if isinstance(child, int):
+                    length += len(self.texts[child])
+                    continue
+                tag, _, mark = child[0].partition("!")
+                if tag in EXCLUDED:
+                    continue
+                on_way = [*marked, child] if mark and tag not in ("html", "body") else marked
+                inner = walk(child, on_way)
+                if tag in MAIN:
+                    clear |= not on_way
+                    found.append((inner, on_way))
+                length += inner
+            return length
+
+        whole = walk(self.root, [])
+        if found and not clear:
+            length, on_way = max(found, key=lambda x: x[0])
+            if 2 * length > whole:
+                for node in on_way:
+                    node[0] = node[0].partition("!")[0]
 
 
 # A wrapper is [label, optional, repeated, children]; a text slot is ["#", optional, repeated, []].

@@ -27,6 +27,17 @@ def test_texts_of_the_template_go(spark):
     assert got[0] == "Title 0\nText of 0." and "Follow us today" not in "".join(got.values())
 
 
+def test_marks_do_not_hide_the_article(spark):
+    article = "<article><h1>Title</h1><p>The whole text of this page.</p><div class='share-buttons'>Share</div></article>"
+    pages = [
+        f"<div class='layout has-sidebar'>{article}<div class='sidebar'>Side</div></div>", f"<div class='page-with-header'>{article}</div>", f"<div id='noSidebar'>{article}</div>",
+        article.replace("<article>", "<article class='post comment-enabled'>"), f"<div class='widget'>{article}</div><div class='ad'>AD</div>",
+        f"<div><p>Title</p><p>The whole text of this page.</p></div><section id='comments'>{'<article class=comment><p>Reader</p></article>' * 2}</section>"]
+    rows = [(i, f"http://h{i}.example/", p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in op8_html.main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got == {i: "Title\nThe whole text of this page." for i in range(len(pages))}
+
+
 def test_wrappers_generalise():
     def skeleton(source):
         return op8_html.skeleton(op8_html.Page(source).root)
