@@ -11,7 +11,8 @@
    inside an article or main element if the page has one, and never inside a menu, header, footer, sidebar, notice,
    advert, form or reader comment, told by tag or by the words of its class, id or role (but not by what follows has-, no- or with-,
    and no mark hides an article element that holds most of the page's text). A short text that stands in the same slot
-   on at least half of a host's pages is part of the template (a constant of the wrapper), not of the article.
+   on at least half of a host's distinct pages, inside an article or main element on all of them, is part of the template (a
+   constant of the wrapper), not of the article. Copies of a page count once.
 
 Text is decoded, white space inside a block becomes one space, and blocks are joined by line breaks in page order.
 
@@ -21,6 +22,7 @@ excluded parts, but list entries that are one link; a null or odd url has the em
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -38,6 +40,7 @@ PARTS = 16
 SHORT_WORDS = 20
 TEMPLATE_PAGES = 10  # pages of a host from which texts may be taken for its template
 TEMPLATE_SHARE = 0.5
+IN_ARTICLE = r"^[^ ]*/[0-9]*(article|main)/"  # slots below an article or main element
 
 #: fixed values: HTML element names by role
 RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video")
@@ -328,22 +331,26 @@ def _aligned(batch: pa.RecordBatch, cache: dict[str, list]):
 
 
 def template_texts(wrapped: DataFrame) -> DataFrame:
-    """(host, constants): slot and text of short main texts that stand on most pages of a host."""
+    """(host, constants): slot and text of short main texts that stand on most distinct pages of a host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, list] = {}
         for batch in pieces(batches, "html", 1 << 22):
-            hosts, keys = [], []
-            for host, (page, kept) in zip(batch.column("host").to_pylist(), _aligned(batch, cache), strict=True):
+            hosts, keys, contents = [], [], []
+            for host, source, (page, kept) in zip(batch.column("host").to_pylist(), batch.column("html"), _aligned(batch, cache), strict=True):
                 short = {f"{slot} {page.texts[block]}" for block, slot in kept if page.texts[block].count(" ") < SHORT_WORDS}
                 hosts += [host] * (len(short) + 1)
                 keys += [None, *sorted(short)]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.string())], names=["host", "text"])
+                contents += [hashlib.blake2b((source.as_py() or "").encode(errors="replace"), digest_size=16).digest()] * (len(short) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.string()), pa.array(contents, pa.binary())], names=["host", "text", "content"])
 
-    counted = wrapped.mapInArrow(run, "host string, text string").groupBy("host", "text").agg(F.count("*").alias("n"))
+    found = wrapped.mapInArrow(run, "host string, text string, content binary").groupBy("host", "text", "content").agg(F.lit(1).alias("one"))
+    counted = found.groupBy("host", "text").agg(F.count("*").alias("n"))
     counted = common.staged(counted, "template-counts")
     pages = counted.filter("text IS NULL").select("host", F.col("n").alias("pages"))
-    often = counted.filter("text IS NOT NULL").join(pages, "host").filter((F.col("pages") >= TEMPLATE_PAGES) & (F.col("n") >= F.col("pages") * TEMPLATE_SHARE))
+    # what recurs inside the article on some pages only (headings) is the article's
+    share = F.when(F.col("text").rlike(IN_ARTICLE), 1.0).otherwise(TEMPLATE_SHARE)
+    often = counted.filter("text IS NOT NULL").join(pages, "host").filter((F.col("pages") >= TEMPLATE_PAGES) & (F.col("n") >= F.col("pages") * share))
     # at most 1 / TEMPLATE_SHARE times as many as a page has short texts
     return often.groupBy("host").agg(F.sort_array(F.collect_set("text")).alias("constants"))
 

@@ -27,6 +27,16 @@ def test_texts_of_the_template_go(spark):
     assert got[0] == "Title 0\nText of 0." and "Follow us today" not in "".join(got.values())
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    copy = "<article><h1>The copied page</h1><p>Copied text.</p></article>"
+    rows = [(i, f"http://a.example/{i}", copy) for i in range(30)]
+    rows += [(i, f"http://a.example/{i}", f"<article><h1>Title {i}</h1><p>Text of {i}.</p>{'<h2>Results</h2>' * (i % 5 > 0)}</article>") for i in range(30, 50)]
+    rows += [(i, f"http://b.example/{i}", "<div><h1>Plain copy</h1><p>Short.</p></div>") for i in range(50, 80)]
+    got = {r.page_id: r.text for r in op8_html.main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert all(got[i] == "The copied page\nCopied text." for i in range(30)) and all(got[i] == "Plain copy\nShort." for i in range(50, 80))
+    assert got[31] == "Title 31\nText of 31.\nResults"
+
+
 def test_marks_do_not_hide_the_article(spark):
     article = "<article><h1>Title</h1><p>The whole text of this page.</p><div class='share-buttons'>Share</div></article>"
     pages = [
