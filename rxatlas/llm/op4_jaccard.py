@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, linking
-from .textops import BATCH_BYTES, SPACED_LOWER, Words, list_array, order_in_rows, pieces, runs, signed, text_bytes, within
+from .textops import SPACED_LOWER, Words, list_array, order_in_rows, pieces, runs, signed, text_bytes, within
 
 K = 3
 SHARE = (90, 100)
@@ -44,11 +44,12 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """The most frequent shingles, in the order of their counts, and the most frequent words with a score that grows with theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 2 * BATCH_BYTES):
+        for batch in pieces(batches, "text"):
             words = Words(*text_bytes(batch.column("text")), SPACED_LOWER)
-            hashes = words.hashes()
+            hashes, row = words.hashes(), words.row
+            del words
             for size in (k, 1):
-                found, counts = np.unique(runs(hashes, size)[within(words.row, size)], return_counts=True)
+                found, counts = np.unique(runs(hashes, size)[within(row, size)], return_counts=True)
                 often = counts >= IN_BATCH
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(int(often.sum()), size, np.int32)), pa.array(signed(found[often])), pa.array(counts[often])], names=["size", "h", "n"])
 

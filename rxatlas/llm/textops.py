@@ -8,6 +8,9 @@ batch of its own.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +35,15 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BY
             stop = min(stop, batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
-    pa.default_memory_pool().release_unused()  # the worker outlives the task
+    release()
+
+
+def release() -> None:
+    """Free memory goes back to the system: a worker outlives its task, and the next one should find room."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps what it has
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def row_bounds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -108,6 +119,17 @@ SPACED_LOWER = word_table(lambda c: c != 0x20 and not 0x09 <= c <= 0x0D, lower=T
 ALNUM_LOWER = word_table(lambda c: 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80, lower=True)
 
 
+LONG_WORD = 256
+
+
+def digests(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Two 64-bit words of BLAKE2b for each row's bytes."""
+    raw = data.tobytes()
+    ends = bounds.tolist()
+    out = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(ends[:-1], ends[1:], strict=True))
+    return np.frombuffer(out, _U).reshape(-1, 2)
+
+
 class Words:
     """Words of a batch: byte ``starts`` and ``ends``, their ``row``, and ``first``: word offsets of the rows."""
 
@@ -126,9 +148,13 @@ class Words:
         self.data, self.folded = data, table[1]
 
     def hashes(self, seed: int = 1) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        prefix = prefix_hash(byte_table(seed)[self.folded[self.data]])
-        return range_hash(prefix, self.starts, self.ends)
+        """A 64-bit hash of each word. Polynomials modulo 2**64 have known collisions from 1,024 bytes on, so words of more
+        than ``LONG_WORD`` bytes take theirs from BLAKE2b."""
+        folded = self.folded[self.data]
+        out = range_hash(prefix_hash(byte_table(seed)[folded]), self.starts, self.ends)
+        for i in np.flatnonzero(self.ends - self.starts > LONG_WORD).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(folded[self.starts[i] : self.ends[i]].tobytes(), digest_size=8, key=bytes([seed])).digest(), "little")
+        return out
 
 
 def runs(hashes: np.ndarray, k: int) -> np.ndarray:

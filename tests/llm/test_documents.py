@@ -113,6 +113,20 @@ def test_repeated_strings(documents, monkeypatch):
     assert by_id(op3_suffixes.without_repeats(documents(ROWS)).drop("spans").collect()) == expected
 
 
+def test_names_without_known_collisions():
+    """Thue-Morse texts have one polynomial hash modulo 2**64 whatever the base is."""
+    import numpy as np
+    import pyarrow as pa
+
+    from rxatlas.llm import op3_suffixes
+    from rxatlas.llm.textops import SPACED, Words, text_bytes
+
+    bits = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    texts = pa.array([bits, bits.translate({97: 98, 98: 97}), bits])
+    for names in (np.stack(op3_suffixes.text_names(texts)).T, Words(*text_bytes(texts), SPACED).hashes()[:, None]):
+        assert (names[0] == names[2]).all() and (names[0] != names[1]).all()
+
+
 def test_cut_texts_keep_whole_characters(documents):
     rows = [(1, "é" * 150 + "a" * 51), (2, "é" * 150 + "b"), (3, "c")]
     kept = {r.doc_id: r.kept for r in op3_suffixes.without_repeats(documents(rows), keep_text=True).collect()}

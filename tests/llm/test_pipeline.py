@@ -22,7 +22,7 @@ def test_stages(spark, small):
     twice = first.unionByName(first.limit(3))
     second = common.staged(stages["near_copies"](spark, twice, small), "t")
     rows = sorted(kept.items())
-    roots = plain.components([plain.shingles(t, 3) for _, t in rows], 90, 100)
+    roots = plain.components([plain.shingles(t, 5) for _, t in rows], 80, 100)
     assert sorted(r.doc_id for r in second.collect()) == sorted({rows[r][0] for r in roots})
 
     third = common.staged(stages["repeats"](spark, second, small), "t")
