@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,6 +43,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidied(spark: SparkSession, *superseded: DataFrame | None) -> None:
+    """Frees disk between the steps of a long operator: staged tables that later ones replace, and the shuffle files of steps
+    whose results are staged (Spark removes them when the driver has forgotten their plans)."""
+    for df in superseded:
+        for folder in {f.rsplit("/", 1)[0] for f in (df.inputFiles() if df is not None else [])}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def row_keys() -> Iterator[int]:
     """Numbers no other task gives; stage the frame that carries them before it is read twice."""
     base = TaskContext.get().partitionId() << 36
