@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import links
 from ..functions import text as tx
-from ..functions.base import all_of, filter_computed, non_empty, nz, opt, text
+from ..functions.base import all_of, any_of, filter_computed, non_empty, nz, opt, text
 from ..functions.english import english_row
 from ..functions.rows import DISPLAY_FILTERS, with_display
 from .identity import most_common_first
@@ -50,23 +50,35 @@ def filter_rows(df: DataFrame, filters: dict[str, Column | str]) -> DataFrame:
             df = df.filter(off | (text(opt(df, name)) == value))
     cells = searchable()
     conditions: list[Column] = []
+    asking: list[Column] = []  # per condition, whether a row's query asks for it
     for field in DISPLAY_FILTERS:
         value = wanted(f"{field}_filter")
         if value is not None:
             needle = F.lower(F.trim(value))
+            asking.append(needle != "")
             conditions.append((needle == "") | F.contains(F.lower(cells[field]), needle))
     status = wanted("status")
     if status is not None:
+        asking.append(status != "")
         conditions.append((status == "") | (F.col("shown.registration_status") == status))
     search = wanted("table_search")
     if search is not None:
         needle = F.lower(F.trim(search))
         raw = F.concat_ws(" ", *[text(opt(df, c)) for c in HAYSTACK])
         hay = F.lower(F.concat_ws(" ", raw, *[text(c) for c in cells.values()]))
+        asking.append(needle != "")
         conditions.append((needle == "") | F.contains(hay, needle))
     if not conditions:
         return df
-    return filter_computed(with_display(df), all_of(conditions)).drop("shown")
+
+    def shown(rows: DataFrame) -> DataFrame:
+        return filter_computed(with_display(rows), all_of(conditions)).drop("shown")
+
+    if all(isinstance(v, str) for v in filters.values()):
+        return shown(df)
+    # display values are built for rows whose query looks at them; the frame is read twice, so callers stage it
+    asks = any_of(asking)
+    return df.filter(~asks).unionByName(shown(df.filter(asks)))
 
 
 # --- Country gaps (J4) ------------------------------------------------------------------------

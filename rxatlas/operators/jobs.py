@@ -108,6 +108,60 @@ def progress_state(events: DataFrame) -> DataFrame:
     )
 
 
+def partial_progress(events: DataFrame) -> DataFrame:
+    """T2's state as rows that ``merged_progress`` can put together: (job_id, source, status, records, error, ts, ord, started_at, finished_at)."""
+    running, ended = F.col("status") == "running", F.col("status").isin(*TERMINAL)
+    last = F.max_by(F.struct("status", F.coalesce("records", F.lit(0)).alias("records"), text(opt(events, "error")).alias("error"), "ts", "ord"), F.struct("ts", "ord"))
+    return events.groupBy("job_id", "source").agg(
+        last.alias("_last"), F.min(F.when(running, F.col("ts"))).alias("started_at"), F.max(F.when(ended, F.col("ts"))).alias("finished_at"),
+    ).select("job_id", "source", "_last.*", "started_at", "finished_at")
+
+
+def merged_progress(partials: DataFrame) -> DataFrame:
+    """Progress per (job, source) from partial rows in any order and number: last status, first start, last end."""
+    columns = ["status", "records", *(["error"] if "error" in partials.columns else [])]
+    return partials.groupBy("job_id", "source").agg(
+        F.max_by(F.struct(*columns), F.struct("ts", "ord")).alias("_last"), F.min("started_at").alias("started_at"), F.max("finished_at").alias("finished_at"),
+    ).select("job_id", "source", "_last.*", "started_at", "finished_at")
+
+
+def job_run(started: DataFrame, progress: DataFrame, results: DataFrame, crashes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """``jobs`` and ``progress`` of started jobs, from what their sources have reported so far.
+
+    ``started``: (job_id, source, status, error) of ``start_jobs``; ``progress``: merged; ``results``: (job_id, …); ``crashes``: (job_id,
+    crash: struct(ts, error)). A source that has not reported keeps its first status. A job that crashed is failed, and so
+    are its sources that had not ended. A job is done when all its sources have ended, running once one has started, queued before.
+    """
+    reported = progress.select("job_id", "source", *[F.col(c).alias(f"_{c}") for c in ("status", "records", "error", "started_at", "finished_at")])
+    rows = started.select("job_id", "source", "status", "error").join(reported, ["job_id", "source"], "left")
+    if crashes is None:
+        rows = rows.withColumn("crash", F.lit(None).cast("struct<ts:timestamp,error:string>"))
+    else:
+        rows = rows.join(crashes.select("job_id", "crash"), "job_id", "left")
+    said = F.coalesce("_status", "status")
+    lost = F.col("crash").isNotNull() & said.isin("queued", "running")
+    rows = rows.select(
+        "job_id", "source", F.when(lost, "failed").otherwise(said).alias("status"), F.coalesce("_records", F.lit(0)).alias("records"),
+        F.when(lost, F.col("crash.error")).otherwise(F.coalesce("_error", "error")).alias("error"),
+        F.col("_started_at").alias("started_at"), F.when(lost, F.col("crash.ts")).otherwise(F.col("_finished_at")).alias("finished_at"), "crash",
+    )
+    open_sources = F.count_if(~F.col("status").isin(*TERMINAL))
+    begun = F.count_if(F.col("status").isin("running", "done", "failed", "timeout"))
+    crash = F.min("crash")
+    by_job = rows.groupBy("job_id").agg(
+        F.when(crash.isNotNull(), "failed").when(open_sources == 0, "done").when(begun > 0, "running").otherwise("queued").alias("status"),
+        F.min("started_at").alias("started_at"),
+        F.when(crash.isNotNull(), crash["ts"]).when(open_sources == 0, F.max("finished_at")).alias("finished_at"),
+    )
+    return {"jobs": jobs_with_counts(by_job, results), "progress": rows.drop("crash")}
+
+
+def job_results(results: DataFrame, schema: str) -> DataFrame:
+    """The stored rows of every job in the order they arrived, each once under its five-part key, as columns."""
+    first = keep_first(results, [F.col(c) for c in ("job_id", *RESULT_KEY)])
+    return parse_row_json(first, schema).select("job_id", "ord", "row.*").orderBy("job_id", "ord")
+
+
 def job_state(progress: DataFrame) -> DataFrame:
     """A job runs until every source has ended; its records are those of the finished sources."""
     open_sources = F.count_if(~F.col("status").isin(*TERMINAL))

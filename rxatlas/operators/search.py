@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.base import any_of, contains_ci, filter_computed, grams, lower_trim, non_empty, nz, opt, text, tokens
+from ..functions.base import any_of, contains_ci, filter_computed, lower_trim, non_empty, nz, opt, text, tokens
 from ..functions.english import strip_accents
+from . import contain
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -182,46 +183,35 @@ def expand_local_terms(queries: DataFrame) -> DataFrame:
     return queries.select("*", F.posexplode(terms).alias("term_pos", "term"))
 
 
-ANCHOR = 3
-
-
-def _rarest(asked: DataFrame, offers: DataFrame) -> DataFrame:
-    """``asked`` with ``_anchor``: of the keys in ``_keys`` the one that the fewest rows offer; queries with a key
+def _rarest_token(asked: DataFrame, offers: DataFrame) -> DataFrame:
+    """``asked`` with ``_anchor``: of the tokens in ``_keys`` the one that the fewest rows offer; queries with a token
     that no row offers have no hit and go."""
     sizes = offers.groupBy("_anchor").agg(F.count("*").alias("_rows"))
-    each = asked.select("_asked_id", F.explode("_keys").alias("_anchor")).join(sizes, "_anchor")
-    best = each.groupBy("_asked_id").agg(F.min_by("_anchor", F.struct("_rows", "_anchor")).alias("_anchor"), F.count("*").alias("_known"))
-    return asked.join(best, "_asked_id").filter(F.col("_known") == F.size("_keys")).drop("_known", "_keys")
+    each = asked.select("_needle", F.explode("_needle").alias("_anchor")).join(sizes, "_anchor")
+    best = each.groupBy("_needle").agg(F.min_by("_anchor", F.struct("_rows", "_anchor")).alias("_anchor"), F.count("*").alias("_known"))
+    return best.filter(F.col("_known") == F.size("_needle")).select("_needle", "_anchor")
 
 
 def search_many(queries: DataFrame, products: DataFrame, mode: str = "substring") -> DataFrame:
     """Every query against all products, as an equi-join; adds the query's columns to each hit.
 
-    Products carry a unique ``ord``. ``substring``: a query's anchor is the rarest of its runs of three characters (of
-    the query itself if it is shorter); a product offers the runs it contains, so each (query, product) pair meets
-    exactly once, and ``contains`` verifies it. ``token``: the anchor is the query's rarest token and all tokens must
-    occur; hits inside a token are not found. Only ``ord`` and the searched text are exploded; the hits meet the
-    whole rows afterwards.
+    ``substring``: through the gram index of ``contain``: distinct query texts meet the products that hold their anchor, and
+    ``contains`` verifies. ``token``: the anchor is the query's rarest token and all tokens must
+    occur; hits inside a token are not found. A product row is repeated only for anchors it holds, and meets distinct
+    query texts; the queries' other columns join the hits.
     """
-    who = [F.col(c) for c in queries.columns]
     if mode == "token":
-        asked = queries.withColumn("_keys", F.array_distinct(tokens("query_substance"))).filter(F.size("_keys") > 0)
-        narrow = products.select("ord", F.array_distinct(tokens(F.concat_ws(" ", "substance", "product"))).alias("_hay"))
-        offers = narrow.select("*", F.explode("_hay").alias("_anchor"))
-        verified = F.size(F.array_except("_needle", "_hay")) == 0
-        asked = asked.withColumn("_needle", F.col("_keys"))
+        asked = queries.withColumn("_needle", F.array_sort(F.array_distinct(tokens("query_substance")))).filter(F.size("_needle") > 0)
+        hay = products.withColumn("_hay", F.array_distinct(tokens(F.concat_ws(" ", "substance", "product"))))
+        offers = hay.withColumn("_anchor", F.explode("_hay"))
+        anchors = _rarest_token(asked.select("_needle").distinct(), offers.select("_anchor"))
+        hits = offers.join(anchors, "_anchor").filter(F.size(F.array_except("_needle", "_hay")) == 0).drop("_anchor", "_hay")
     else:
         asked = queries.filter(F.col("query_substance").isNotNull()).withColumn("_needle", F.lower("query_substance"))
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("_needle") - (ANCHOR - 1), F.lit(1))), lambda i: F.substring("_needle", i, F.lit(ANCHOR)))
-        asked = asked.withColumn("_keys", F.array_distinct(runs))
-        narrow = products.select("ord", F.lower(text("substance")).alias("_s"), F.lower(text("product")).alias("_p"))
-        offered = F.array_union(F.array(F.lit("")), F.array_union(grams(F.col("_s"), ANCHOR), grams(F.col("_p"), ANCHOR)))
-        offers = narrow.select("*", F.explode(offered).alias("_anchor"))
-        verified = F.contains("_s", "_needle") | F.contains("_p", "_needle")
-    asked = asked.withColumn("_asked_id", F.struct(*who))
-    anchored = _rarest(asked.dropDuplicates(["_asked_id"]), offers)
-    hits = offers.join(anchored, "_anchor").filter(verified).select(*queries.columns, F.col("ord").alias("_hit"))
-    return hits.join(products, F.col("_hit") == products["ord"]).drop("_hit").select(*queries.columns, *products.columns)
+        lowered = products.withColumns({"_s": F.lower(text("substance")), "_p": F.lower(text("product"))})
+        anchors = contain.anchored(asked, "_needle", lowered, ["_s", "_p"])
+        hits = contain.containing(lowered, ["_s", "_p"], anchors, "_needle").drop("_s", "_p")
+    return hits.join(asked.dropDuplicates(queries.columns), "_needle").select(*queries.columns, *products.columns)
 
 
 def search_few(queries: list[tuple[str, str]], products: DataFrame) -> DataFrame:

@@ -1,12 +1,16 @@
 """The product store (K1, K2, K5, K8, K9, S2): Parquet with copy-on-write versions.
 
-A store is a folder of numbered versions; readers take the newest complete one. Operators are plain
-DataFrame -> DataFrame functions; ``write_version`` and ``read_store`` are the only ones that touch
+A store is a folder of numbered versions; a version is whole, or holds the buckets that changed, and readers take the newest of
+each bucket. Operators are plain DataFrame -> DataFrame functions; only ``write_version``, ``upsert_store`` and the readers touch
 files.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,7 @@ from ..functions.base import non_empty, opt, text
 from ..functions.company import strip_holder_manufacturers
 from ..functions.links import region_for_country
 from ..schema import STORED_COLUMNS
+from ..store_paths import stage
 from .identity import keep_first
 
 IDENTITY = ["source", "product", "country", "registration_number"]
@@ -46,11 +51,61 @@ def versions(spark: SparkSession, path: str) -> list[int]:
 
 def read_store(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
     """Newest version of the store, or the newest before a number; an absent store is empty."""
-    known = [v for v in versions(spark, path) if before is None or v < before]
-    if not known:
+    return read_buckets(spark, path, before=before)
+
+
+BUCKETS = 64  # of a store, by source, product and country; fixed for its lifetime
+
+
+def bucket_of(df: DataFrame) -> Column:
+    return F.pmod(F.xxhash64(*[text(opt(df, c)) for c in ("source", "product", "country")]), F.lit(BUCKETS)).cast("int")
+
+
+def _layers(spark: SparkSession, path: str, before: int | None) -> tuple[int | None, dict[int, int]]:
+    """(newest whole version, {bucket: newest later version that has it})."""
+    fs, _ = _fs(spark, path)
+    newest: dict[int, int] = {}
+    for number in reversed([v for v in versions(spark, path) if before is None or v < before]):
+        names = [s.getPath().getName() for s in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={number}"))]
+        found = [int(n[7:]) for n in names if n.startswith("bucket=")]
+        if not found:
+            return number, newest
+        for b in found:
+            newest.setdefault(b, number)
+    return None, newest
+
+
+def read_buckets(spark: SparkSession, path: str, only: list[int] | None = None, before: int | None = None) -> DataFrame:
+    """The store as of its newest version, or the newest before a number; with ``only`` the rows of some buckets."""
+    whole, newest = _layers(spark, path, before)
+    wanted = {b: v for b, v in newest.items() if only is None or b in only}
+    parts = [spark.read.parquet(*[f"{path}/v={v}/bucket={b}" for b, v in sorted(wanted.items())])] if wanted else []
+    if whole is not None:
+        rows = spark.read.parquet(f"{path}/v={whole}")
+        here = bucket_of(rows)
+        if only is not None:
+            rows = rows.filter(here.isin(*only))
+        parts.append(rows.filter(~here.isin(*newest)) if newest else rows)
+    if not parts:
         ddl = "id long, " + ", ".join(f"{c} string" for c in STORED_COLUMNS)
         return spark.createDataFrame([], ddl)
-    return spark.read.parquet(f"{path}/v={known[-1]}")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+
+def upsert_store(spark: SparkSession, path: str, batch: DataFrame, number: int | None = None, now: Column | None = None) -> int:
+    """K2 on a stored table: a new version that holds only the buckets the batch touches; the others stay where they are.
+
+    Whoever reads meanwhile sees the version before; a lost or repeated job writes its own version again.
+    """
+    if number is None:
+        number = max(versions(spark, path), default=0) + 1
+    batch = stage(batch, "incoming")
+    touched = sorted(r["b"] for r in batch.select(bucket_of(batch).alias("b")).distinct().collect())  # at most BUCKETS numbers
+    top = read_buckets(spark, path, before=number).agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    rows = upsert_products(read_buckets(spark, path, touched, number), batch, now, top)
+    rows = rows.withColumn("bucket", bucket_of(rows)).repartition("bucket")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={number}")
+    return number
 
 
 def write_version(df: DataFrame, path: str, partition_by: str | None = None, number: int | None = None) -> int:
@@ -91,12 +146,12 @@ def seed_if_sparse(store: DataFrame, seed: DataFrame, minimum_rows: int) -> Data
     return purge_lookup_rows(store.unionByName(with_new_ids(added, store), allowMissingColumns=True))
 
 
-def with_new_ids(new: DataFrame, store: DataFrame) -> DataFrame:
+def with_new_ids(new: DataFrame, store: DataFrame, top: int | None = None) -> DataFrame:
     """Ids after the store's largest, in arrival order; gaps are allowed, uniqueness and order are not given up."""
     if "id" not in store.columns:
         return new
-    top = store.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
-    return new.withColumn("id", top + 1 + F.col("ord"))
+    largest = F.lit(top) if top is not None else store.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).scalar()
+    return new.withColumn("id", largest + 1 + F.col("ord"))
 
 
 def prepared_batch(batch: DataFrame, now: Column | None = None) -> DataFrame:
@@ -114,65 +169,118 @@ def prepared_batch(batch: DataFrame, now: Column | None = None) -> DataFrame:
     return rows.select("ord", *STORED_COLUMNS)
 
 
-def _match_keys(kind_values: list[tuple[str, Column]]) -> Column:
-    return F.array_compact(F.array(*[
-        F.when(value.isNotNull(), F.struct(F.lit(kind).alias("kind"), value.alias("value"))) for kind, value in kind_values
-    ]))
+def _components(members: DataFrame) -> DataFrame:
+    """(node, label): nodes that hang together through keys of ``members`` (node, key) have one label; nodes that share no key
+    are left out. Labels are node numbers that only fall; each round passes them on over the keys and then follows them, so chains
+    halve."""
+    several = members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    members = stage(members.join(several, "key"), "members")
+    labels = members.select("node", F.col("node").alias("label")).distinct()
+    before = None
+    while True:
+        by_key = members.join(labels, "node").groupBy("key").agg(F.min("label").alias("label"))
+        near = members.join(by_key, "key").groupBy("node").agg(F.min("label").alias("label"))
+        ahead = near.select(F.col("node").alias("label"), F.col("label").alias("ahead"))
+        labels = stage(near.join(ahead, "label", "left").select("node", F.coalesce("ahead", "label").alias("label")), "labels")
+        total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")).alias("t")).first()["t"]
+        if total == before:
+            return labels
+        before = total
+
+
+def _saved_one_by_one(rows: DataFrame) -> DataFrame:
+    """(ord, stored, n) for each incoming row: the stored id it updates, or the ``ord`` of the row that inserted what it
+    updates (its own for an insertion).
+
+    ``rows``: (label, incoming, n, base, reg, url). Sorted by label, stored rows before incoming ones, they stream past a state of
+    the rows' current numbers and URLs; a task holds the state of one label at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, now, at = None, {}, {}
+
+        def lowest(key: tuple) -> tuple | None:
+            """The first row that still has a key; rows that lost it are passed over."""
+            heap = at.get(key, [])
+            while heap and key not in now[heap[0]]:
+                heappop(heap)
+            return heap[0] if heap else None
+
+        def put(row: tuple, base: str, reg: str, url: str) -> None:
+            keys = {(base,), *([(base, "r", reg)] if reg else []), *([(base, "u", url)] if url else [])}
+            for key in keys - now.get(row, set()):
+                heappush(at.setdefault(key, []), row)
+            now[row] = keys
+
+        for batch in batches:
+            out = []
+            for of, incoming, n, base, reg, url in zip(*(batch.column(c).to_pylist() for c in ("label", "incoming", "n", "base", "reg", "url")), strict=True):
+                if of != label:
+                    label, now, at = of, {}, {}
+                if not incoming:
+                    put((0, n), base, reg, url)
+                    continue
+                asked = [k for k in ((base, "r", reg), (base, "u", url)) if k[2]] or [(base,)]
+                found = min((r for r in map(lowest, asked) if r), default=(1, n))
+                put(found, base, reg, url)
+                out.append((n, found[0] == 0, found[1]))
+            columns = list(zip(*out, strict=True)) if out else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int64()), strict=True)], names=["ord", "stored", "n"])
+
+    sorted_rows = rows.repartition("label").sortWithinPartitions("label", "incoming", "n")
+    return sorted_rows.mapInArrow(run, "ord bigint, stored boolean, n bigint")
+
+
+def upsert_targets(store: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(ord, stored, n): what each row of a prepared batch updates when the rows are saved one by one in the order of ``ord``.
+
+    A row meets rows of its source, product and country: those with its registration number, those with its product URL, or with neither
+    given any of them; the lowest id wins, and the row it updates takes over its number and URL, which later rows
+    then meet. Only rows that can meet each other need an order: they are found as components over shared numbers and URLs
+    (rows with neither belong to the first row of their source, product and country), so that a product with very many rows is
+    no single group.
+    """
+    base = F.concat_ws("\x1f", *[F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)) for c in ("source", "product", "country")])
+
+    def shape(df: DataFrame) -> list[Column]:
+        return [F.sha2(base, 256).alias("base"), text(opt(df, "registration_number")).alias("reg"), text(opt(df, "product_url")).alias("url")]
+
+    new = incoming.select(F.lit(True).alias("incoming"), F.col("ord").cast("bigint").alias("n"), *shape(incoming))
+    old = store.select(F.lit(False).alias("incoming"), F.col("id").cast("bigint").alias("n"), *shape(store))
+    rows = old.join(new.select("base").distinct(), "base", "left_semi").unionByName(new)
+    rows = stage(rows.withColumn("node", F.xxhash64("incoming", "n")), "upsert-rows")
+    keys = [("r", F.col("reg"), F.col("reg") != ""), ("u", F.col("url"), F.col("url") != "")]
+    shared = F.array_compact(F.array(*[F.when(given, F.xxhash64("base", F.lit(kind), value)) for kind, value, given in keys]))
+    any_key = F.xxhash64("base", F.lit("a"))
+    free = rows.filter("incoming AND reg = '' AND url = ''")
+    first = rows.join(free.select("base").distinct(), "base", "left_semi").groupBy("base").agg(F.min_by("node", F.struct("incoming", "n")).alias("node"))
+    members = (
+        rows.select("node", F.explode(shared).alias("key"))
+        .unionByName(free.select("node", any_key.alias("key")))
+        .unionByName(first.select("node", any_key.alias("key")))
+    )
+    labelled = rows.join(_components(members.distinct()), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return _saved_one_by_one(labelled.select("label", "incoming", "n", "base", "reg", "url"))
 
 
-def upsert_products(store: DataFrame, batch: DataFrame, now: Column | None = None) -> DataFrame:
-    """K2: rows of a batch update the store row they identify, or are inserted.
+def upsert_products(store: DataFrame, batch: DataFrame, now: Column | None = None, top: int | None = None) -> DataFrame:
+    """K2: rows of a batch update the store row they identify, or are inserted, as if saved one by one (``upsert_targets``).
 
-    Identity: same source, product and country, and an equal registration number, or an equal product
-    URL, or neither given (which meets any row of that source, product and country); the lowest id
-    wins. Both sides offer one key per rule; the store's keys are reduced to their lowest id before the
-    join, so a hot product contributes one row per key. Batch semantics: rows of a batch with the
-    same identity collapse to the last one before they meet the store, and the last match of a store
-    row wins. Where the store has no row of a source, product and country, a row with neither number nor URL meets
-    the first row that the batch inserts there. Equal to one-by-one saving unless rows of one batch chain through each
-    other.
+    The last row that meets a stored or inserted row is what it becomes. Inserted rows get ids after ``top`` (the store's largest id),
+    in arrival order.
     """
     fields = STORED_COLUMNS
-    incoming = prepared_batch(batch, now)
-    identity = F.struct(non_empty("registration_number").alias("reg"), non_empty("product_url").alias("url"))
-    firsts = incoming.groupBy(*[text(c).alias(f"_{c}") for c in ("source", "product", "country")]).agg(F.min_by(identity, "ord").alias("_first"))
-    incoming = keep_first(incoming, [*_identity(incoming), text("product_url")], last=True)
-    base = [text(c).alias(f"_{c}") for c in ("source", "product", "country")]
-    reg, url = non_empty("registration_number"), non_empty("product_url")
-    neither = F.when(reg.isNull() & url.isNull(), F.lit(""))
-
-    stored_keys = _match_keys([("reg", reg), ("url", url), ("any", F.lit(""))])
-    store_index = (
-        store.select("id", *base, F.explode(stored_keys).alias("k"))
-        .groupBy("_source", "_product", "_country", "k").agg(F.min("id").alias("id"))
-    )
-    asked = incoming.select("ord", *base, F.explode(_match_keys([("reg", reg), ("url", url), ("any", neither)])).alias("k"))
-    matched = asked.join(store_index, ["_source", "_product", "_country", "k"]).groupBy("ord").agg(F.min("id").alias("id"))
-    targets = incoming.join(matched, "ord", "left")
-
-    updates = keep_first(targets.filter("id IS NOT NULL"), [F.col("id")], last=True)
-    inserts = _collapse_linked(targets.filter("id IS NULL").drop("id"), firsts)
-    replaced = updates.select("id", *fields)
-    kept = store.join(replaced.select("id"), "id", "left_anti").select("id", *[opt(store, f).alias(f) for f in fields])
-    added = with_new_ids(inserts, store).select("id", *fields)
+    incoming = stage(prepared_batch(batch, now), "batch")
+    targets = upsert_targets(store, incoming)
+    last = stage(targets.groupBy("stored", "n").agg(F.max("ord").alias("ord")), "targets")
+    saved = incoming.join(last, "ord")
+    replaced = saved.filter("stored").select(F.col("n").alias("id"), *fields)
+    kept = store.join(last.filter("stored").select(F.col("n").alias("id")), "id", "left_anti").select("id", *[opt(store, f).alias(f) for f in fields])
+    inserted = saved.filter("NOT stored").withColumn("ord", F.col("n")).drop("n")
+    added = with_new_ids(inserted, store, top).select("id", *fields)
     return kept.unionByName(replaced).unionByName(added)
 
 
-def _collapse_linked(new: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Unmatched rows that share a registration number, and then a URL, with another one: the last stays; rows with
-    neither join the first row of their source, product and country."""
-    base = [text(c) for c in ("source", "product", "country")]
-    for column in ("registration_number", "product_url"):
-        key = F.coalesce(non_empty(column), F.concat(F.lit("\x00"), F.col("ord").cast("string")))
-        new = keep_first(new, [*base, key], last=True)
-    columns = new.columns
-    reg, url = non_empty("registration_number"), non_empty("product_url")
-    with_first = new.withColumns({f"_{c}": text(c) for c in ("source", "product", "country")}).join(firsts, ["_source", "_product", "_country"])
-    joins = (reg.isNull() & url.isNull()) | F.coalesce(reg == F.col("_first.reg"), F.lit(False)) | F.coalesce(url == F.col("_first.url"), F.lit(False))
-    key = F.when(joins, F.lit("")).otherwise(F.col("ord").cast("string"))
-    return keep_first(with_first, [*base, key], last=True).select(*columns)
-
-
 def safe_filename(c: Column | str) -> Column:
     """K8: letters, digits, ``_``, ``.`` and ``-`` only; ``export`` when nothing is left."""
     value = F.trim(F.col(c) if isinstance(c, str) else c)

@@ -59,7 +59,8 @@ def query(name: str, sql: str | None = None, ctes: str | None = None):
         if sql is not None:
             body = sql.strip()
             if ctes:
-                body = f"WITH {ctes.strip()},\n{body[5:].lstrip()}" if body.startswith("WITH ") else f"WITH {ctes.strip()}\n{body}"
+                head, rest = ("WITH RECURSIVE", body[15:]) if body.startswith("WITH RECURSIVE ") else ("WITH", body[5:])
+                body = f"{head} {ctes.strip()},\n{rest.lstrip()}" if body.startswith("WITH ") else f"WITH {ctes.strip()}\n{body}"
             ORACLES[name] = body
         return fn
 

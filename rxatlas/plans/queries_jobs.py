@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.company import strip_holder_manufacturers
 from ..operators import jobs, store
+from ..store_paths import stage_path
 from ..streaming import streams
 from . import search as plans
 from .catalog import EVT, REG, query
@@ -37,25 +38,31 @@ def _k1(spark, d):
     return sparse.unionByName(store.seed_if_sparse(some, reg, minimum_rows=rows).select(F.lit("full").alias("store"), "ord"))
 
 
-@query("k2_upsert_products", """
-WITH st AS (SELECT ord AS id, source, product, country, registration_number, 'https://r.test/' || ord AS product_url FROM reg),
+#: rows saved one by one: per (source, product, country) the stored rows are a list that each incoming row updates or extends.
+#: Reads ``st`` (id, ...) and ``b`` (ord, ...); gives id, product, registration_number and status
+ONE_BY_ONE = """
+bn AS (SELECT ord, source, product, country, COALESCE(registration_number, '') AS rn, COALESCE(product_url, '') AS u,
+   row_number() OVER (PARTITION BY source, product, country ORDER BY ord) AS k FROM b),
+s0 AS (SELECT source, product, country, list({'id': id, 'rn': COALESCE(registration_number, ''), 'u': COALESCE(product_url, ''), 'ord': CAST(NULL AS BIGINT)} ORDER BY id) AS rows FROM st GROUP BY ALL),
+g AS (SELECT DISTINCT source, product, country FROM (SELECT source, product, country FROM st UNION ALL SELECT source, product, country FROM b)),
+x(source, product, country, k, rows) AS (
+  SELECT g.source, g.product, g.country, CAST(0 AS BIGINT), COALESCE(s0.rows, []) FROM g LEFT JOIN s0 USING (source, product, country)
+  UNION ALL
+  SELECT source, product, country, k, CASE WHEN hit IS NULL THEN list_append(rows, {'id': (SELECT max(id) FROM st) + 1 + ord, 'rn': rn, 'u': u, 'ord': ord})
+    ELSE list_transform(rows, lambda r: CASE WHEN r.id = hit THEN {'id': r.id, 'rn': rn, 'u': u, 'ord': ord} ELSE r END) END
+  FROM (SELECT x.source, x.product, x.country, bn.k, x.rows, bn.ord, bn.rn, bn.u,
+      list_min(list_transform(list_filter(x.rows, lambda r: (bn.rn <> '' AND r.rn = bn.rn) OR (bn.u <> '' AND r.u = bn.u) OR (bn.rn = '' AND bn.u = '')), lambda r: r.id)) AS hit
+    FROM x JOIN bn ON x.source = bn.source AND x.product = bn.product AND x.country = bn.country AND bn.k = x.k + 1)),
+fin AS (SELECT source, product, country, arg_max(rows, k) AS rows FROM x GROUP BY ALL),
+saved AS (SELECT product, unnest(rows) AS r FROM fin)
+SELECT r.id AS id, product, nullif(r.rn, '') AS registration_number, CASE WHEN r.ord IS NULL THEN 'stored' ELSE 'new' END AS status FROM saved"""
+
+
+@query("k2_upsert_products", f"""
+WITH RECURSIVE st AS (SELECT ord AS id, source, product, country, registration_number, 'https://r.test/' || ord AS product_url FROM reg),
 b AS (SELECT ord, source, product || CASE WHEN MOD(ord, 4) = 3 THEN ' new' ELSE '' END AS product, country,
    CASE WHEN MOD(ord, 3) = 0 THEN registration_number END AS registration_number,
-   CASE WHEN MOD(ord, 3) = 1 THEN 'https://r.test/' || ord END AS product_url FROM reg),
-b1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, product, country, COALESCE(registration_number, ''), COALESCE(product_url, '') ORDER BY ord DESC) AS rn FROM b) WHERE rn = 1),
-m AS (SELECT b1.ord, min(st.id) AS id FROM b1 JOIN st USING (source, product, country)
-   WHERE (b1.registration_number IS NOT NULL AND st.registration_number = b1.registration_number) OR (b1.product_url IS NOT NULL AND st.product_url = b1.product_url)
-      OR (b1.registration_number IS NULL AND b1.product_url IS NULL) GROUP BY b1.ord),
-u AS (SELECT id, max(ord) AS ord FROM m GROUP BY id),
-i AS (SELECT * FROM b1 WHERE ord NOT IN (SELECT ord FROM m)),
-i1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, product, country, COALESCE(registration_number, 'x' || ord) ORDER BY ord DESC) AS r2 FROM i) WHERE r2 = 1),
-i2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, product, country, COALESCE(product_url, 'x' || ord) ORDER BY ord DESC) AS r3 FROM i1) WHERE r3 = 1),
-f AS (SELECT source, product, country, arg_min({'r': registration_number, 'u': product_url}, ord) AS x FROM b GROUP BY ALL),
-i3 AS (SELECT * FROM (SELECT i2.*, row_number() OVER (PARTITION BY source, product, country, CASE WHEN (registration_number IS NULL AND product_url IS NULL)
-  OR registration_number = f.x.r OR product_url = f.x.u THEN '' ELSE CAST(ord AS VARCHAR) END ORDER BY ord DESC) AS r4 FROM i2 JOIN f USING (source, product, country)) WHERE r4 = 1)
-SELECT id, product, registration_number, 'stored' AS status FROM st WHERE id NOT IN (SELECT id FROM u)
-UNION ALL SELECT u.id, b.product, b.registration_number, 'new' FROM u JOIN b USING (ord)
-UNION ALL SELECT (SELECT max(id) FROM st) + 1 + ord, product, registration_number, 'new' FROM i3""", REG)
+   CASE WHEN MOD(ord, 3) = 1 THEN 'https://r.test/' || ord END AS product_url FROM reg), {ONE_BY_ONE}""", REG)
 def _k2(spark, d):
     reg = registrations(spark, d).select("ord", "source", "product", "country", "registration_number")
     o = F.col("ord")
@@ -69,6 +76,30 @@ def _k2(spark, d):
     return store.upsert_products(current, batch).select("id", "product", "registration_number", "status")
 
 
+@query("k2_upsert_chains", f"""
+WITH RECURSIVE st AS (SELECT ord AS id, source, product, country, registration_number, CAST(NULL AS VARCHAR) AS product_url FROM reg WHERE MOD(ord, 2) = 0),
+v AS (SELECT reg.*, unnest([0, 1, 2, 3]) AS v, ord // 100000 AS part FROM reg),
+b AS (SELECT ord * 4 + v AS ord, source, split_part(product, ' ', 1) AS product, country,
+   CASE v WHEN 0 THEN registration_number WHEN 1 THEN 'N' || MOD(ord, 7) WHEN 3 THEN 'N' || MOD(part, 5) END AS registration_number,
+   CASE v WHEN 0 THEN 'u' || MOD(part, 11) WHEN 1 THEN 'u' || MOD(ord, 13) WHEN 2 THEN CASE WHEN MOD(part, 3) > 0 THEN 'u' || MOD(ord, 5) END END AS product_url FROM v), {ONE_BY_ONE}""", REG)
+def _k2_chains(spark, d):
+    """A batch whose rows meet each other through numbers and URLs that earlier ones of them set."""
+    reg = registrations(spark, d).select("ord", "source", "product", "country", "registration_number")
+    o, v, part = F.col("ord"), F.col("v"), F.floor(F.col("ord") / 100000)
+    current = reg.filter(o % 2 == 0).withColumnRenamed("ord", "id").withColumns({"status": F.lit("stored"), "product_url": F.lit(None).cast("string")})
+
+    def name(prefix, number, by):
+        return F.concat(F.lit(prefix), (number % by).cast("string"))
+
+    rows = reg.withColumn("v", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+    batch = rows.select(
+        (o * 4 + v).alias("ord"), "source", F.split_part("product", F.lit(" "), F.lit(1)).alias("product"), "country", F.lit("new").alias("status"),
+        F.when(v == 0, F.col("registration_number")).when(v == 1, name("N", o, 7)).when(v == 3, name("N", part, 5)).alias("registration_number"),
+        F.when(v == 0, name("u", part, 11)).when(v == 1, name("u", o, 13)).when((v == 2) & (part % 3 > 0), name("u", o, 5)).alias("product_url"),
+    )
+    return store.upsert_products(current, batch).select("id", "product", "registration_number", "status")
+
+
 @query("k5_purge_lookup_rows", "SELECT ord FROM reg WHERE source NOT IN ('Brand#1', 'Brand#4')", REG)
 def _k5(spark, d):
     return store.purge_lookup_rows(placeholders(spark, d)).select("ord")
@@ -203,28 +234,32 @@ PROGRESS_SQL = """SELECT job_id, source, max_by(status, (ts, ord)) AS status, ma
   strftime(max(ts) FILTER (status IN ('done', 'failed', 'timeout', 'skipped')), '%Y-%m-%d %H:%M:%S') AS finished_at FROM evt GROUP BY job_id, source"""
 
 
+def landed_events(spark, d, parts: int = 4) -> str:
+    """The events table as files of ascending time, one for each micro-batch to come."""
+    events, folder = table(spark, d, "events"), stage_path(spark, "events")
+    span = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    if span["low"] is None:
+        events.write.parquet(folder)
+        return folder
+    step = max(((span["high"] - span["low"]) / parts).total_seconds() * 1e6, 1.0)
+    passed = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(span["low"]).cast("timestamp"))
+    part = F.least(F.floor(passed / step), F.lit(parts - 1))
+    for i in range(parts):
+        events.filter(part == i).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 def event_stream(spark, d) -> DataFrame:
-    return events_as_jobs(streams.read_events(spark, d, "events.parquet"))
+    return events_as_jobs(streams.read_events(spark, landed_events(spark, d), max_files=1))
 
 
 @query("t1_stream_results", """
 SELECT job_id, source, status AS product FROM evt GROUP BY ALL""", EVT)
 def _t1(spark, d):
     """Four micro-batches in order of time: repeats beyond the watermark are left to the sink."""
-    from ..store_paths import stage_path
-
-    events, parts = table(spark, d, "events"), 4
-    span = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
-    landed, stored = stage_path(spark, "events"), stage_path(spark, "results")
-    if span["low"] is None:
-        events.write.parquet(landed)
-    else:
-        step = (span["high"] - span["low"]) / parts
-        part = F.least(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(span["low"]).cast("timestamp"))) / max(step.total_seconds() * 1e6, 1.0)), F.lit(parts - 1))
-        for i in range(parts):
-            events.filter(part == i).coalesce(1).write.mode("append").parquet(landed)
+    stored = stage_path(spark, "results")
     blank = F.lit("")
-    rows = events_as_jobs(streams.read_events(spark, landed, max_files=1)).withColumn("product", F.col("status")).withColumns(
+    rows = event_stream(spark, d).withColumn("product", F.col("status")).withColumns(
         {"country": blank, "registration_number": blank, "url": blank}
     )
     streams.drain(streams.stream_results(rows, "1 hour"), "append", streams.append_new(stored), name="results")
@@ -234,7 +269,7 @@ def _t1(spark, d):
 @query("t2_stream_progress", PROGRESS_SQL, EVT)
 def _t2(spark, d):
     updates = streams.drain(streams.stream_progress(event_stream(spark, d)), "update", name="progress")
-    last = streams.latest_update(updates, ["job_id", "source"])
+    last = jobs.merged_progress(updates)
     stamps = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("started_at", "finished_at")}
     return last.withColumns(stamps)
 
@@ -245,14 +280,13 @@ SELECT job_id, CASE WHEN count(*) FILTER (status NOT IN ('done', 'failed', 'time
   COALESCE(sum(records) FILTER (status = 'done'), 0) AS record_count FROM p GROUP BY job_id""", EVT)
 def _t3(spark, d):
     updates = streams.drain(streams.stream_progress(event_stream(spark, d)), "update", name="status")
-    progress = streams.latest_update(updates, ["job_id", "source"])
-    return jobs.job_state(progress).select("job_id", "status", "record_count")
+    return jobs.job_state(jobs.merged_progress(updates)).select("job_id", "status", "record_count")
 
 
 @query("t4_stream_health", HEALTH_SQL, EVT)
 def _t4(spark, d):
     updates = streams.drain(streams.stream_health(event_stream(spark, d)), "update", name="health")
-    return streams.latest_update(updates, ["source"]).select("source", "last_status", "last_records", "last_elapsed_seconds")
+    return jobs.latest_health(updates).select("source", "last_status", "last_records", "last_elapsed_seconds")
 
 
 @query("t5_stream_upsert", """
@@ -260,8 +294,6 @@ SELECT source, product, max_by(status, ord) AS status, max_by(registration_numbe
   SELECT ord, source, 'job ' || job_id AS product, status, 'R' || records AS registration_number FROM evt)
 GROUP BY source, product, registration_number""", EVT)
 def _t5(spark, d):
-    from ..store_paths import stage_path
-
     rows = event_stream(spark, d).select(
         "ord", "source", F.concat(F.lit("job "), "job_id").alias("product"), "status",
         F.concat(F.lit("R"), F.col("records").cast("string")).alias("registration_number"),
@@ -271,3 +303,67 @@ def _t5(spark, d):
     return store.read_store(spark, path).select("source", "product", "status", "registration_number")
 
 
+
+
+JOB_REPORTS_SQL = """
+rep AS (SELECT ord, job_id, source, ts, status, CASE status WHEN 'timeout' THEN 'timeout' WHEN 'failed' THEN 'HTTP 500' ELSE '' END AS error, COALESCE(records, 0) AS records,
+  status = 'failed' AND MOD(ord, 61) = 0 AS crashed FROM evt WHERE source <> 'source7'),
+crash AS (SELECT job_id, min(ts) AS ts FROM rep WHERE crashed GROUP BY job_id),
+began AS (SELECT job_id, source, CASE WHEN source = 'source6' THEN 'skipped' ELSE 'queued' END AS first_status FROM (SELECT DISTINCT job_id FROM evt) CROSS JOIN (SELECT 'source' || unnest(range(8)) AS source)),
+last AS (SELECT job_id, source, max_by(status, (ts, ord)) AS status, max_by(records, (ts, ord)) AS records, min(ts) FILTER (status = 'running') AS started_at,
+  max(ts) FILTER (status IN ('done', 'timeout', 'failed')) AS finished_at FROM rep WHERE NOT crashed GROUP BY ALL),
+prog AS (SELECT b.job_id, b.source, c.ts AS crash_ts, started_at, COALESCE(l.status, first_status) AS said, COALESCE(records, 0) AS records, finished_at,
+  CASE WHEN c.ts IS NOT NULL AND COALESCE(l.status, first_status) IN ('queued', 'running') THEN 'failed' ELSE COALESCE(l.status, first_status) END AS status
+  FROM began b LEFT JOIN last l USING (job_id, source) LEFT JOIN crash c USING (job_id))"""
+
+
+def job_reports(spark, d) -> DataFrame:
+    """F-EVT as reports: a done source also hands in a row; some failures end the whole job; one source never reports."""
+    events = event_stream(spark, d).filter("source <> 'source7'")
+    error = F.when(F.col("status") == "timeout", "timeout").when(F.col("status") == "failed", "HTTP 500")
+    crashed = (F.col("status") == "failed") & (F.col("ord") % 61 == 0)
+    ended = F.col("status").isin("done", "timeout", "failed")
+    blank = F.lit(None).cast("string")
+    report = F.struct(F.when(crashed, blank).otherwise(F.col("source")).alias("source"), F.when(ended, "ended").otherwise(F.col("status")).alias("status"), error.alias("error"), blank.alias("product"))
+    found = F.struct("source", F.col("status").alias("status"), blank.alias("error"), F.concat(F.lit("record "), F.col("records").cast("string")).alias("product"))
+    rows = events.select("job_id", "ord", "ts", "records", "elapsed_seconds", F.explode(F.when(F.col("status") == "done", F.array(report, found)).otherwise(F.array(report))).alias("r"))
+    return rows.select("job_id", "ord", "ts", "records", "elapsed_seconds", "r.*").withColumns({"country": F.lit("x"), "registration_number": blank, "url": blank})
+
+
+def run_jobs(spark, d) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """(jobs and progress, results, health) of the events' jobs, over four micro-batches."""
+    path = stage_path(spark, "jobs")
+    streams.drain(job_reports(spark, d), "append", streams.job_sink(path), name="jobs")
+    asked = table(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id")).distinct()
+    sources = asked.withColumn("source", F.explode(F.array(*[F.lit(f"source{i}") for i in range(8)])))
+    started = sources.withColumns({"status": F.when(F.col("source") == "source6", "skipped").otherwise("queued"), "error": F.lit("")})
+    return plans.job_status(spark, path, started)
+
+
+@query("e6_job_run", """
+WITH """ + JOB_REPORTS_SQL.strip() + """,
+r AS (SELECT job_id, count(DISTINCT (source, records)) AS record_count FROM evt WHERE source <> 'source7' AND status = 'done' AND records IS NOT NULL GROUP BY job_id)
+SELECT job_id, CASE WHEN any_value(crash_ts) IS NOT NULL THEN 'failed' WHEN count(*) FILTER (status IN ('queued', 'running')) = 0 THEN 'done'
+  WHEN count(*) FILTER (status IN ('running', 'done', 'failed', 'timeout')) > 0 THEN 'running' ELSE 'queued' END AS status,
+  strftime(min(started_at), '%Y-%m-%d %H:%M:%S') AS started_at,
+  strftime(CASE WHEN any_value(crash_ts) IS NOT NULL THEN any_value(crash_ts) WHEN count(*) FILTER (status IN ('queued', 'running')) = 0 THEN max(finished_at) END, '%Y-%m-%d %H:%M:%S') AS finished_at,
+  COALESCE(any_value(r.record_count), 0) AS record_count FROM prog LEFT JOIN r USING (job_id) GROUP BY job_id""", EVT)
+def _e6_run(spark, d):
+    """Jobs of eight sources each: one is skipped, one never reports, others fail or time out, and some jobs crash."""
+    out, _, _ = run_jobs(spark, d)
+    stamps = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("started_at", "finished_at")}
+    return out["jobs"].withColumns(stamps).select("job_id", "status", "started_at", "finished_at", "record_count")
+
+
+@query("e6_job_progress", """
+WITH """ + JOB_REPORTS_SQL.strip() + """
+SELECT job_id, source, status, records, CASE WHEN status = 'timeout' THEN 'timeout' WHEN status = 'failed' THEN 'HTTP 500' ELSE '' END AS error FROM prog""", EVT)
+def _e6_progress(spark, d):
+    return run_jobs(spark, d)[0]["progress"].select("job_id", "source", "status", "records", "error")
+
+
+@query("e6_job_results", """
+SELECT job_id, min(ord) AS ord, source, 'record ' || records AS product FROM evt WHERE source <> 'source7' AND status = 'done' AND records IS NOT NULL GROUP BY job_id, source, records""", EVT)
+def _e6_results(spark, d):
+    results = run_jobs(spark, d)[1]
+    return jobs.job_results(results, "source string, product string").select("job_id", "ord", "source", "product")

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.base import text
 from ..functions.english import english_text
 from ..functions.rows import DISPLAY_FILTERS, display_row, export_row
-from ..operators import coverage, documents, identity, ordering, quality, scope, search
-from ..store_paths import checkpoint
+from ..operators import coverage, documents, identity, jobs, ordering, quality, scope, search
+from ..store_paths import checkpoint, stage
 
 QUERY_DEFAULTS = {
     "sources": ("array<string>", None), "country": ("string", ""), "region": ("string", ""), "source": ("string", ""),
@@ -43,7 +43,8 @@ def combined(queries: DataFrame, products: DataFrame, live: DataFrame | None = N
         merged = identity.dedupe_keep_first(hits)
     else:
         merged = identity.merge_cached_live(hits, live.filter(~search.is_lookup_fallback(live)))
-    return identity.propagate_by_molecule(merged)
+    # the attributes of a molecule are gathered from these rows and joined back to them: found once, kept in the shared folder
+    return identity.propagate_by_molecule(stage(merged, "hits"))
 
 
 def saved_search(queries: DataFrame, products: DataFrame, live: DataFrame | None = None) -> DataFrame:
@@ -153,6 +154,22 @@ def enrich_cached(rows: DataFrame, docs: DataFrame, eu_links: DataFrame | None =
     return prepare_cached(documents.enrich_rows(enriched, docs))
 
 
+def job_status(spark: SparkSession, path: str, started: DataFrame) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """(``jobs`` and ``progress``, stored results, health per source) of the jobs whose sources report into ``path``
+    (``streams.job_sink``)."""
+
+    def part(name: str) -> DataFrame:
+        return spark.read.parquet(f"{path}/{name}")
+
+    results = part("results")
+    run = jobs.job_run(started, jobs.merged_progress(part("progress")), results, _first_crash(part("crashes")))
+    return run, results, jobs.latest_health(part("health"))
+
+
+def _first_crash(crashes: DataFrame) -> DataFrame:
+    return crashes.groupBy("job_id").agg(F.min("crash").alias("crash"))
+
+
 def data_health(products: DataFrame, samples: tuple[str, ...] = (
     "metformin", "paracetamol", "dapagliflozin", "quetiapine", "mirabegron",
 )) -> DataFrame:

@@ -30,3 +30,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once to the shared folder and read back: computed once, and a lost executor does not undo them."""
+    path = stage_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -214,6 +214,89 @@ def test_readers_keep_file_order(spark, tmp_path):
     assert [r.a for r in rows] == ["1", "2", "3"] and len({r.ord for r in rows}) == 3
 
 
+def saved_one_by_one(stored, batch):
+    """{id: (source, product, country, number, url, status)}: the plain rule, one row after the other."""
+    rows = {r[0]: r[1:] for r in stored}
+    top = max(rows, default=0)
+    for o, *key, reg, url, status in sorted(batch, key=lambda r: r[0]):
+        same = [i for i, r in rows.items() if [x or "" for x in r[:3]] == [x or "" for x in key]]
+        hits = [i for i in same if (reg and rows[i][3] == reg) or (url and rows[i][4] == url) or (not reg and not url)]
+        rows[min(hits, default=top + 1 + o)] = (*key, reg, url, status)
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_upsert_is_saving_one_by_one(spark, seed):
+    """Rows of one batch chain through each other: each takes over the number and URL that later ones meet."""
+    import random
+
+    rnd = random.Random(seed)
+
+    def row():
+        return (rnd.choice(["A", "B", None]), rnd.choice(["p", "q", ""]), rnd.choice(["c", None]), rnd.choice([None, "", "1", "2", "3", "4"]), rnd.choice([None, "u", "v", "w", ""]))
+
+    stored = [(10 + 3 * i, *row(), "old") for i in range(25)]
+    batch = [(7 * i, *row(), f"s{i}") for i in range(140)]
+    ddl = "source string, product string, country string, registration_number string, product_url string, status string"
+    got = store.upsert_products(spark.createDataFrame(stored, f"id long, {ddl}"), spark.createDataFrame(batch, f"ord long, {ddl}"), F.lit("now"))
+    columns = ["source", "product", "country", "registration_number", "product_url", "status"]
+    found = {r[0]: tuple(x or "" for x in r[1:]) for r in got.select("id", *columns).collect()}
+    assert found == {i: tuple(x or "" for x in r) for i, r in saved_one_by_one(stored, batch).items()}
+
+
+def test_stored_table_writes_what_a_batch_touches(spark, tmp_path):
+    path = str(tmp_path / "s")
+    ddl = "ord long, source string, product string, country string, registration_number string, status string"
+    first = spark.createDataFrame([(i, "S", f"product {i}", "c", str(i), "old") for i in range(20000)], ddl)
+    assert store.upsert_store(spark, path, first) == 1
+    batch = spark.createDataFrame([(0, "S", "product 7", "c", "7", "new"), (1, "S", "added", "c", None, "new")], ddl)
+    assert store.upsert_store(spark, path, batch) == 2
+
+    def size(version):
+        return sum(f.stat().st_size for f in (tmp_path / "s" / f"v={version}").rglob("*.parquet"))
+
+    assert size(2) < size(1) / 8
+    rows = store.read_store(spark, path)
+    assert rows.count() == 20001 and rows.select("id").distinct().count() == 20001
+    assert sorted(r["product"] for r in rows.filter("status = 'new'").collect()) == ["added", "product 7"]
+    # the version before is still there, and a repeated job writes its own version again
+    assert store.read_store(spark, path, before=2).filter("status = 'new'").count() == 0
+    assert store.upsert_store(spark, path, batch, number=2) == 2
+    rows = store.read_store(spark, path)
+    assert rows.count() == 20001
+    # whole versions and buckets go together
+    assert store.write_version(rows.filter("status = 'new'"), path) == 3 and store.read_store(spark, path).count() == 2
+    assert store.upsert_store(spark, path, batch.filter("ord = 1")) == 4 and store.read_store(spark, path).count() == 2
+
+
+def test_contained_names_meet_through_their_rarest_run(spark):
+    """Names that share all but a number: each forms a handful of candidates, not one with every other name."""
+    from rxatlas.operators import contain
+
+    names = spark.range(300).select(F.lit("metformin").alias("scope"), F.concat(F.lit("metformin"), "id", F.lit("mg")).alias("o"))
+    asked = names.withColumnRenamed("o", "i")
+    anchors = contain.anchored(asked, "i", names, ["o"], ["scope"])
+    meetings = contain._offers(names, ["o"], contain.Asked(anchors, "_gram")).join(anchors, ["scope", "_gram"])
+    assert meetings.groupBy("i").count().agg(F.max("count")).first()[0] <= 5
+    got = {(r.o, r.i) for r in contain.containing(names, ["o"], anchors, "i", ["scope"]).collect()}
+    assert got == {(f"metformin{n}mg",) * 2 for n in range(300)}
+
+
+def test_containment_against_brute_force(spark):
+    import random
+
+    from rxatlas.operators import contain
+
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("abé😀\n") for _ in range(rnd.randrange(9))) for _ in range(150)]
+    rows = spark.createDataFrame([(rnd.choice("xy"), t) for t in texts] + [("x", None)], "g string, t string")
+    asked = rows.withColumnRenamed("t", "i")
+    met = contain.containing(rows.distinct(), ["t"], contain.anchored(asked, "i", rows.distinct(), ["t"], ["g"]), "i", ["g"]).collect()
+    pairs = [(r.g, r.t, r.i) for r in met]
+    data = {(r.g, r.t) for r in rows.collect() if r.t is not None}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(g, t, i) for g, t in data for h, i in data if g == h and i in t}
+
+
 def test_registry(spark):
     known = registry.Registry()
     assert known.by_name(" fda ").name == "FDA" and known.by_name("x") is None
