@@ -6,17 +6,19 @@
 2. Distinct skeletons of a host are counted, and aligned one after the other, the most frequent first: what matches is
    merged level by level, what stands on one side only becomes optional, what occurs more often on one side becomes
    repeated, and text becomes a slot. The result is the host's wrapper. Hosts with many skeletons are merged in
-   ``PARTS`` parts first, then the parts with each other.
+   ``PARTS`` parts first, then the parts with each other. Elements below ``DEEP`` levels have no groups of their own.
 3. Each page is aligned with its host's wrapper, which gives every text its slot. A slot is main text by where it stands:
    inside an article or main element if the page has one, and never inside a menu, header, footer, sidebar, notice,
    advert, form or reader comment, told by tag or by the words of its class, id or role (but not by what follows has-, no- or with-,
-   and no mark hides an article element that holds most of the page's text). A short text that stands in the same slot
-   on at least half of a host's distinct pages, inside an article or main element on all of them, is part of the template (a
-   constant of the wrapper), not of the article. Copies of a page count once.
+   and no mark hides an article element that holds most of the page's text). On a page without article or main element, a text that stands in
+   the same slot on at least half of the host's distinct pages, and on ``TEMPLATE_PAGES`` of them at least (fewer do not tell a template from
+   two similar articles), is a constant of the wrapper and goes, however long it is; unless nothing would be left of the page. Text inside an
+   article or main element is never judged by how often it stands somewhere. Copies of a page count once.
 
 Text is decoded, white space inside a block becomes one space, and blocks are joined by line breaks in page order.
 
-Defined results: a null or empty page has empty text; a page without article or main element gives all text outside the
+Defined results: pages may be nested as deep and be as wide as they like (trees are walked with stacks, and long lists of unlike siblings are
+aligned by label); a null or empty page has empty text; a page without article or main element gives all text outside the
 excluded parts, but list entries that are one link; a null or odd url has the empty host; repeated rows are extracted one by one.
 """
 
@@ -37,10 +39,10 @@ from . import common
 from .textops import pieces
 
 PARTS = 16
-SHORT_WORDS = 20
-TEMPLATE_PAGES = 10  # pages of a host from which texts may be taken for its template
+TEMPLATE_PAGES = 3  # distinct pages that show that a text is the template's
 TEMPLATE_SHARE = 0.5
-IN_ARTICLE = r"^[^ ]*/[0-9]*(article|main)/"  # slots below an article or main element
+DEEP = 60  # levels of a wrapper; texts further down have slots named by their tags alone
+WIDE = 200  # unlike siblings from which a list is aligned by label instead of by order
 
 #: fixed values: HTML element names by role
 RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video")
@@ -173,28 +175,26 @@ class Page:
         found: list[tuple[int, list[list]]] = []
         clear = False
 
-        def walk(node: list, marked: list[list]) -> int:
-            nonlocal clear
-            length = 0
-            for child in node[1]:
-                if isinstance(child, int):
-                    length += len(self.texts[child])
-                    continue
-                tag, _, mark = child[0].partition("!")
-                if tag in EXCLUDED:
-                    continue
-                on_way = [*marked, child] if mark and tag not in ("html", "body") else marked
-                inner = walk(child, on_way)
-                if tag in MAIN:
-                    clear |= not on_way
-                    found.append((inner, on_way))
-                length += inner
-            return length
-
-        whole = walk(self.root, [])
+        # from the leaves up: an element is visited again when its children's lengths are known
+        length: dict[int, int] = {}
+        todo: list[tuple[list, list[list], bool]] = [(self.root, [], False)]
+        while todo:
+            node, marked, done = todo.pop()
+            inner = [c for c in node[1] if not isinstance(c, int) and c[0].partition("!")[0] not in EXCLUDED]
+            if not done:
+                todo.append((node, marked, True))
+                for child in inner:
+                    tag, _, mark = child[0].partition("!")
+                    todo.append((child, [*marked, child] if mark and tag not in ("html", "body") else marked, False))
+                continue
+            length[id(node)] = sum(len(self.texts[c]) for c in node[1] if isinstance(c, int)) + sum(length.pop(id(c)) for c in inner)
+            if node is not self.root and node[0].partition("!")[0] in MAIN:
+                clear |= not marked
+                found.append((length[id(node)], marked))
+        whole = length[id(self.root)]
         if found and not clear:
-            length, on_way = max(found, key=lambda x: x[0])
-            if 2 * length > whole:
+            most, on_way = max(found, key=lambda x: x[0])
+            if 2 * most > whole:
                 for node in on_way:
                     node[0] = node[0].partition("!")[0]
 
@@ -202,8 +202,10 @@ class Page:
 # A wrapper is [label, optional, repeated, children]; a text slot is ["#", optional, repeated, []].
 
 
-def skeleton(node: list) -> list:
-    return fold(["#", 0, 0, []] if isinstance(child, int) else [child[0], 0, 0, skeleton(child)] for child in node[1])
+def skeleton(node: list, levels: int = DEEP) -> list:
+    if not levels:
+        return []
+    return fold(["#", 0, 0, []] if isinstance(child, int) else [child[0], 0, 0, skeleton(child, levels - 1)] for child in node[1])
 
 
 def fold(children) -> list:
@@ -214,7 +216,16 @@ def fold(children) -> list:
             out[-1] = [child[0], out[-1][1] & child[1], 1, align(out[-1][3], child[3])]
         else:
             out.append(child)
-    return out
+    return out if len(out) <= WIDE else by_label(out)
+
+
+def by_label(children: list) -> list:
+    """One repeated group for each label, in the order in which the labels first occur."""
+    out: dict[str, list] = {}
+    for child in children:
+        had = out.get(child[0])
+        out[child[0]] = child if had is None else [child[0], had[1] | child[1], 1, align(had[3], child[3])]
+    return list(out.values())
 
 
 def align(a: list, b: list) -> list:
@@ -255,24 +266,24 @@ def merged(wrappers: Iterator[str]) -> str:
 def slots(page: Page, wrapper: list) -> list[tuple[int, str]]:
     """(block, slot) of each text: the slot is the way to it through the wrapper's groups."""
     found: list[tuple[int, str]] = []
-
-    def walk(children: list, groups: list, path: str) -> None:
-        at = 0
-        for child in children:
-            label = "#" if isinstance(child, int) else child[0]
-            place = next((i for i in range(at, len(groups)) if groups[i][0] == label), None)
-            if place is None:  # a repeat of an earlier group
-                place = next((i for i in range(at - 1, -1, -1) if groups[i][0] == label), None)
-            group = groups[place] if place is not None else [label, 1, 1, []]
-            if place is not None:
-                at = max(at, place)
-            step = f"{path}/{'' if place is None else place}{label}"
-            if isinstance(child, int):
-                found.append((child, step))
-            else:
-                walk(child[1], group[3], step)
-
-    walk(page.root[1], wrapper, "")
+    todo = [(iter(page.root[1]), wrapper, "", [0])]
+    while todo:
+        children, groups, path, at = todo[-1]
+        child = next(children, None)
+        if child is None:
+            todo.pop()
+            continue
+        label = "#" if isinstance(child, int) else child[0]
+        place = next((i for i in range(at[0], len(groups)) if groups[i][0] == label), None)
+        if place is None:  # a repeat of an earlier group
+            place = next((i for i in range(at[0] - 1, -1, -1) if groups[i][0] == label), None)
+        if place is not None:
+            at[0] = max(at[0], place)
+        step = f"{path}/{'' if place is None else place}{label}"
+        if isinstance(child, int):
+            found.append((child, step))
+        else:
+            todo.append((iter(child[1]), groups[place][3] if place is not None else [], step, [0]))
     return found
 
 
@@ -291,7 +302,16 @@ def is_main(slot: str, article: bool, linked: bool) -> bool:
 
 def has_article(node: list) -> bool:
     """Whether the page has an article or main element that is not marked as something else."""
-    return any(not isinstance(c, int) and (c[0] in MAIN or ("!" not in c[0] or c[0].startswith(("html", "body"))) and c[0] not in EXCLUDED and has_article(c)) for c in node[1])
+    todo = [node]
+    while todo:
+        for child in todo.pop()[1]:
+            if isinstance(child, int):
+                continue
+            if child[0] in MAIN:
+                return True
+            if ("!" not in child[0] or child[0].startswith(("html", "body"))) and child[0] not in EXCLUDED:
+                todo.append(child)
+    return False
 
 
 def host_of(url: Column) -> Column:
@@ -327,31 +347,35 @@ def _aligned(batch: pa.RecordBatch, cache: dict[str, list]):
                 cache.clear()
             cache[form] = json.loads(form)
         article = has_article(page.root)
-        yield page, [(block, slot) for block, slot in slots(page, cache[form]) if is_main(slot, article, page.linked[block])]
+        yield page, article, [(block, slot) for block, slot in slots(page, cache[form]) if is_main(slot, article, page.linked[block])]
+
+
+def _named(slot: str, text: str) -> bytes:
+    return hashlib.blake2b(f"{slot} {text}".encode(errors="replace"), digest_size=16).digest()
 
 
 def template_texts(wrapped: DataFrame) -> DataFrame:
-    """(host, constants): slot and text of short main texts that stand on most distinct pages of a host."""
+    """(host, constants): names of slot and text of what stands on most distinct pages of a host that have no article or main element."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, list] = {}
         for batch in pieces(batches, "html", 1 << 22):
             hosts, keys, contents = [], [], []
-            for host, source, (page, kept) in zip(batch.column("host").to_pylist(), batch.column("html"), _aligned(batch, cache), strict=True):
-                short = {f"{slot} {page.texts[block]}" for block, slot in kept if page.texts[block].count(" ") < SHORT_WORDS}
-                hosts += [host] * (len(short) + 1)
-                keys += [None, *sorted(short)]
-                contents += [hashlib.blake2b((source.as_py() or "").encode(errors="replace"), digest_size=16).digest()] * (len(short) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.string()), pa.array(contents, pa.binary())], names=["host", "text", "content"])
-
-    found = wrapped.mapInArrow(run, "host string, text string, content binary").groupBy("host", "text", "content").agg(F.lit(1).alias("one"))
+            for host, source, (page, article, kept) in zip(batch.column("host").to_pylist(), batch.column("html"), _aligned(batch, cache), strict=True):
+                if article:
+                    continue
+                found = {_named(slot, page.texts[block]) for block, slot in kept}
+                hosts += [host] * (len(found) + 1)
+                keys += [None, *sorted(found)]
+                contents += [hashlib.blake2b((source.as_py() or "").encode(errors="replace"), digest_size=16).digest()] * (len(found) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.binary()), pa.array(contents, pa.binary())], names=["host", "text", "content"])
+
+    found = wrapped.mapInArrow(run, "host string, text binary, content binary").groupBy("host", "text", "content").agg(F.lit(1).alias("one"))
     counted = found.groupBy("host", "text").agg(F.count("*").alias("n"))
     counted = common.staged(counted, "template-counts")
     pages = counted.filter("text IS NULL").select("host", F.col("n").alias("pages"))
-    # what recurs inside the article on some pages only (headings) is the article's
-    share = F.when(F.col("text").rlike(IN_ARTICLE), 1.0).otherwise(TEMPLATE_SHARE)
-    often = counted.filter("text IS NOT NULL").join(pages, "host").filter((F.col("pages") >= TEMPLATE_PAGES) & (F.col("n") >= F.col("pages") * share))
-    # at most 1 / TEMPLATE_SHARE times as many as a page has short texts
+    often = counted.filter("text IS NOT NULL").join(pages, "host").filter((F.col("n") >= TEMPLATE_PAGES) & (F.col("n") >= F.col("pages") * TEMPLATE_SHARE))
+    # at most 1 / TEMPLATE_SHARE times as many as a page has texts
     return often.groupBy("host").agg(F.sort_array(F.collect_set("text")).alias("constants"))
 
 
@@ -367,9 +391,10 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", source:
         cache: dict[str, list] = {}
         for batch in pieces(batches, "html", 1 << 22):
             texts = []
-            for fixed, (page, kept) in zip(batch.column("constants"), _aligned(batch, cache), strict=True):
-                template = set(fixed.as_py() or ())
-                texts.append("\n".join(page.texts[block] for block, slot in kept if not template or f"{slot} {page.texts[block]}" not in template))
+            for fixed, (page, article, kept) in zip(batch.column("constants"), _aligned(batch, cache), strict=True):
+                template = set() if article else set(fixed.as_py() or ())
+                own = [page.texts[block] for block, slot in kept if not template or _named(slot, page.texts[block]) not in template]
+                texts.append("\n".join(own or (page.texts[block] for block, _ in kept)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
     rows = wrapped.join(constants, "host", "left").select("id", "url", "html", "wrapper", "constants")

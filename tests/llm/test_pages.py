@@ -21,10 +21,50 @@ def test_main_text(spark):
     assert got == [(1, TEXT), (1, TEXT), (2, ""), (3, ""), (4, "plain & text"), (5, "a\nb\nc\nd\ne")]
 
 
-def test_texts_of_the_template_go(spark):
-    rows = [(i, f"http://a.example/{i}", f"<article><h1>Title {i}</h1><p>Text of {i}.</p>{'<p>More</p>' * (i % 3)}<p>Follow us today</p></article>") for i in range(24)]
+def plain_main_text(pages):
+    """Every text of a page in order; without an article, what stands at the same place on at least half of a host's distinct pages goes."""
+    import re
+
+    out = {}
+    for i, source in pages:
+        inside = re.search("<article>(.*?)</article>", source, re.S)
+        out[i] = [t for t in re.findall(r"<(?:p|h1|h2|div)>([^<]+)", inside.group(1) if inside else source)]
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 10])
+def test_text_of_an_article_stays_whatever_recurs(spark, n):
+    pages = [(i, f"<div><p>Menu of the site</p></div><article><h1>Cake {i}</h1><h2>Ingredients</h2><p>Text {i}.</p><p>Follow us today</p></article>") for i in range(n)]
+    rows = [(i, f"http://a.example/{i}", p) for i, p in pages]
+    got = {r.page_id: r.text for r in op8_html.main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got == {i: "\n".join(t) for i, t in plain_main_text(pages).items()}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 9, 10])
+def test_constants_of_hosts_without_articles(spark, n):
+    long_text = "This notice stands on every page of the site and is longer than twenty words by far, as it goes on and on about what the site does with you."
+    pages = [(i, f"<div>Site menu</div><div><p>Text {i} of the page.</p></div><div>{long_text}</div>") for i in range(n)]
+    rows = [(i, f"http://a.example/{i}", p) for i, p in pages] + [(n, "http://a.example/0", pages[0][1]), (n + 1, "http://b.example/", "<p>Alone</p>")]
     got = {r.page_id: r.text for r in op8_html.main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
-    assert got[0] == "Title 0\nText of 0." and "Follow us today" not in "".join(got.values())
+    whole = plain_main_text(pages)
+    for i in range(n):
+        assert got[i] == (f"Text {i} of the page." if n >= op8_html.TEMPLATE_PAGES else "\n".join(whole[i]))
+    assert got[n] == got[0] and got[n + 1] == "Alone"
+
+
+def test_deep_and_wide_pages(spark):
+    deep = "<div>" * 5000 + "<p>Deep text</p>" + "<div>" * 300 + "unclosed"
+    wide = "".join(f"<p>a{i}<div>b{i}</div><h2>c{i}</h2>" for i in range(4000))
+    inside = "<span class='x'><section>" * 2000 + "<article><h1>T</h1><p>Text</p></article>"
+    rows = [(1, "http://a.example", deep), (2, "http://a.example", wide), (3, "http://a.example", inside), (4, "http://b.example", deep + "<p>more</p>")]
+    got = {r.page_id: r.text for r in op8_html.main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert got[1] == "Deep text\nunclosed" and got[3] == "T\nText" and got[4] == "Deep text\nunclosed\nmore"
+    assert got[2] == "\n".join(f"a{i}\nb{i}\nc{i}" for i in range(4000))
+
+
+def test_empty_pages_table(spark):
+    frame = spark.createDataFrame([], "page_id int, url string, html string")
+    assert op8_html.main_text(frame).count() == 0
 
 
 def test_copies_of_a_page_are_no_template(spark):
