@@ -163,18 +163,18 @@ def count_by(df: DataFrame, col: str, within: tuple[str, ...] = ()) -> DataFrame
     return df.select(*within, value).groupBy(*within, col).count().orderBy(*within, col)
 
 
-def default_category(df: DataFrame, substance: Column | str | None = None) -> DataFrame:
-    """A4: most common derived category of a result, else the category of the substance; one row."""
+def default_category(df: DataFrame, substance: Column | str | None = None, within: tuple[str, ...] = ()) -> DataFrame:
+    """A4: most common derived category of a result, else the category of the substance; one row (for each of ``within``)."""
     query = F.lit(substance) if isinstance(substance, str) else substance
     searched = F.coalesce(non_empty(opt(df, "searched_substance")), non_empty(opt(df, "substance")), *([query] if query is not None else []))
     value = F.coalesce(
         tx.short_category(opt(df, "therapeutic_category"), searched, opt(df, "atc_code")),
         tx.category_from_atc(opt(df, "atc_code")),
     )
-    best = most_common_first(df, value)
+    best = most_common_first(df, value, within=list(within))
     if query is None:
         return best
-    return best.select(F.coalesce("value", tx.category_from_substance(query)).alias("value"))
+    return best.select(*within, F.coalesce("value", tx.category_from_substance(query)).alias("value"))
 
 
 COVERAGE_FIELDS = [
@@ -184,11 +184,11 @@ COVERAGE_FIELDS = [
 ]
 
 
-def coverage_by_source(df: DataFrame) -> DataFrame:
-    """A2: per source the records and, per field, how many have a value (partly derived from the name).
+def coverage_by_source(df: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """A2: per source (of each of ``within``) the records and, per field, how many have a value (partly derived from the name).
 
     One aggregation of counters; the default category only matters as "is there any", so it is a
-    second one-row aggregate used as a scalar.
+    second aggregate of one row, or of one for each of ``within``.
     """
     rows = english_row(df)
     derived = {
@@ -205,18 +205,25 @@ def coverage_by_source(df: DataFrame) -> DataFrame:
         return own
 
     source = F.coalesce(non_empty(opt(df, "source")), F.lit("Unknown")).alias("Source")
-    counted = rows.select(source, *[value(f).isNotNull().alias(label) for label, f in COVERAGE_FIELDS])
-    sums = counted.groupBy("Source").agg(
+    counted = rows.select(*within, source, *[value(f).isNotNull().alias(label) for label, f in COVERAGE_FIELDS])
+    sums = counted.groupBy(*within, "Source").agg(
         F.count("*").alias("Records"), *[F.count_if(F.col(label)).alias(label) for label, _ in COVERAGE_FIELDS]
     )
-    has_default = default_category(df).select(F.col("value").isNotNull().alias("x")).scalar()
+    default = default_category(df, within=within).select(*within, F.col("value").isNotNull().alias("x"))
+    if within:
+        sums = sums.join(default, list(within), "left")
+        has_default = F.coalesce("x", F.lit(False))
+    else:
+        has_default = default.scalar()
     filled = sums.withColumn(
         "Therapeutic Category", F.when(has_default, F.col("Records")).otherwise(F.col("Therapeutic Category"))
     )
     shown = filled.select(
-        "Source", "Records",
+        *within, "Source", "Records",
         *[F.concat(F.col(label).cast("string"), F.lit("/"), F.col("Records").cast("string")).alias(label) for label, _ in COVERAGE_FIELDS],
     )
+    if within:
+        return shown.orderBy(*within, "Source")
     empty = sums.agg(F.count("*").alias("n")).filter("n = 0").select(
         F.lit("Not available").alias("Source"), F.lit(0).cast("bigint").alias("Records")
     )
@@ -261,16 +268,25 @@ def page_summary(df: DataFrame, page: int, size: int) -> DataFrame:
     )
 
 
+def _provenance(n: Column, sources: Column, query: Column, generated_at: Column | None) -> dict[str, Column]:
+    stamp = generated_at if generated_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+    return {
+        "Query": query, "Generated At": stamp, "Record Count": n,
+        "Sources": F.coalesce(F.nullif(sources, F.lit("")), F.lit("Not available")),
+        "Status": F.when(n > 0, "Records found").otherwise("No records found"),
+    }
+
+
 def provenance(df: DataFrame, query: str, generated_at: Column | None = None) -> DataFrame:
     """K4: one row that says where an export comes from. The set holds source names only: bounded."""
     sources = F.array_join(F.array_sort(F.collect_set(non_empty(opt(df, "source")))), ", ")
     one = df.agg(F.count("*").alias("n"), sources.alias("s"))
-    return one.select(
-        F.lit(query).alias("Query"),
-        (generated_at if generated_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")).alias("Generated At"),
-        F.col("n").alias("Record Count"),
-        F.coalesce(F.nullif(F.col("s"), F.lit("")), F.lit("Not available")).alias("Sources"),
-        F.when(F.col("n") > 0, "Records found").otherwise("No records found").alias("Status"),
-    )
+    return one.select(*[c.alias(n) for n, c in _provenance(F.col("n"), F.col("s"), F.lit(query), generated_at).items()])
 
 
+def provenance_of_queries(queries: DataFrame, df: DataFrame, generated_at: Column | None = None) -> DataFrame:
+    """K4 for every query of (query_id, substance), those without records too."""
+    sources = F.array_join(F.array_sort(F.collect_set(non_empty(opt(df, "source")))), ", ")
+    counted = df.groupBy("query_id").agg(F.count("*").alias("n"), sources.alias("s"))
+    rows = queries.select("query_id", "substance").join(counted, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return rows.select("query_id", *[c.alias(n) for n, c in _provenance(F.col("n"), F.col("s"), F.col("substance"), generated_at).items()])

@@ -118,6 +118,8 @@ def first_in_group(
 
 def fill_from_group(df: DataFrame, keys: dict[str, Column], fields: list[str], order: str = "ord") -> DataFrame:
     """G4/G5 core: empty ``fields`` filled with the group's first non-empty value."""
+    if not fields:
+        return df
     found = first_in_group(df, keys, fields, order)
     filled = found.withColumns({f: F.coalesce(non_empty(f), F.col(f"first_{f}")) for f in fields})
     return filled.select(*df.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.base import any_of, contains_ci, filter_computed, lower_trim, non_empty, nz, opt, text, tokens
 from ..functions.english import strip_accents
+from ..store_paths import stage
 from . import contain
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -247,3 +248,28 @@ def fuzzy_token_query(df: DataFrame, value: Column | str, query: str, max_edits:
     scored = df.withColumn("_words", words).withColumn("_best", F.array(*[score(t) for t in asked]))
     hits = filter_computed(scored, F.forall("_best", lambda s: s > 0))
     return hits.withColumn("fuzzy_score", F.aggregate("_best", F.lit(0), lambda a, s: a + s)).drop("_best", "_words")
+
+
+def _deletions(word: Column) -> Column:
+    """The word and what is left of it without one of its characters: two words one edit apart share one of these."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1)))
+    return F.array_distinct(F.concat(F.array(word), F.transform(places, lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))))
+
+
+def fuzzy_search_many(queries: DataFrame, products: DataFrame, value: Column | str) -> DataFrame:
+    """P15 for many queries: (query_id, ord, fuzzy_score) of the products that have every token of the query or a word one edit from it.
+
+    Distinct query tokens meet distinct words of the products through their deletion neighbourhoods, and the edit distance verifies; the
+    rows then meet the tokens through their words. ``queries``: (query_id, query_substance); ``products`` carry ``ord``.
+    """
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens("query_substance"))).alias("token"))
+    rows = products.select("ord", F.explode(F.array_distinct(tokens(F.col(value) if isinstance(value, str) else value))).alias("word"))
+    rows = stage(rows, "words-of-rows")
+    left = asked.select("token").distinct().withColumn("variant", F.explode(_deletions(F.col("token"))))
+    right = rows.select("word").distinct().withColumn("variant", F.explode(_deletions(F.col("word"))))
+    near = left.join(right, "variant").select("token", "word").distinct().filter(F.levenshtein("token", "word", 1) >= 0)
+    scored = near.select("token", "word", F.when(F.col("token") == F.col("word"), 4).otherwise(1).alias("score"))
+    by_token = rows.join(scored, "word").groupBy("ord", "token").agg(F.max("score").alias("score"))
+    sizes = asked.groupBy("query_id").agg(F.count("*").alias("tokens"))
+    hits = by_token.join(asked, "token").groupBy("query_id", "ord").agg(F.sum("score").cast("int").alias("fuzzy_score"), F.count("*").alias("found"))
+    return hits.join(sizes, "query_id").filter("found = tokens").select("query_id", "ord", "fuzzy_score")

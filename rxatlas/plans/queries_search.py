@@ -12,7 +12,7 @@ from . import search as plans
 from .catalog import REG, query
 from .fixtures import registrations, table
 from .queries_rows import (
-    ATC_CATEGORY_SQL, FORM_SQL, PACK_SQL, PICKED, REGION_SQL, RESULT_KEY_SQL, STRENGTH_OF_SQL,
+    ATC_CATEGORY_SQL, FORM_SQL, PACK_SQL, PICKED, REGION_SQL, RESULT_KEY_SQL, ROUTE_SQL, STRENGTH_OF_SQL,
     URLS_SQL, full_rows, medicinal, sql, with_real_country, with_urls,
 )
 
@@ -204,6 +204,24 @@ def _j1(spark, d):
     return search.expand_synonyms(table(spark, d, "supplier").withColumn("substance", name)).select("s_suppkey", "term")
 
 
+@query("p15_fuzzy_search_many", """
+WITH fq AS (SELECT DISTINCT 'x' || substance AS query_id, substr(substance, 1, 1) || substr(substance, 3) AS a, split_part(product, ' ', 1) || 'z' AS b FROM reg),
+t AS (SELECT query_id || ' ' || b AS query_id, unnest(list_distinct([a, b])) AS token FROM fq),
+n AS (SELECT query_id, count(*) AS n FROM t GROUP BY 1),
+w AS (SELECT DISTINCT ord, unnest(list_filter(string_split_regex(lower(product), '[^a-z0-9]+'), lambda x: x <> '')) AS word FROM reg),
+m AS (SELECT token, word, CASE WHEN token = word THEN 4 ELSE 1 END AS s FROM (SELECT DISTINCT token FROM t) JOIN (SELECT DISTINCT word FROM w) ON levenshtein(token, word) <= 1),
+b AS (SELECT t.query_id, w.ord, t.token, max(s) AS s FROM w JOIN m USING (word) JOIN t USING (token) GROUP BY ALL)
+SELECT query_id, ord, CAST(sum(s) AS INT) AS fuzzy_score FROM b JOIN n USING (query_id) GROUP BY query_id, ord, n.n HAVING count(*) = n.n""", REG)
+def _p15_many(spark, d):
+    """Every substance and first word of a product, each misspelt by one letter, against all products."""
+    reg = registrations(spark, d)
+    s = F.col("substance")
+    cut = F.concat(F.substring(s, 1, 1), F.substring(s, 3, 1000))
+    typed = F.concat(F.split_part("product", F.lit(" "), F.lit(1)), F.lit("z"))
+    queries = reg.select(F.concat(F.lit("x"), s, F.lit(" "), typed).alias("query_id"), F.concat(cut, F.lit(" "), typed).alias("query_substance")).distinct()
+    return search.fuzzy_search_many(queries, reg, "product")
+
+
 @query("j2_search_many", f"SELECT q.query_id, reg.ord FROM qry q JOIN reg ON {HIT}", REG + ", " + QRY)
 def _j2(spark, d):
     return search.search_many(asked(spark), registrations(spark, d)).select("query_id", "ord")
@@ -577,6 +595,46 @@ def _e5(spark, d):
     return plans.export(wanted(spark), rows, F.lit("2024-01-01T00:00:00"))
 
 
+EXPORTED_SQL = """
+ex AS (SELECT q.query_id, q.substance AS asked, reg.* FROM qry q JOIN reg ON reg.substance = q.substance)"""
+
+
+def exported(spark, d, whole: bool = True) -> dict:
+    from ..store_paths import stage_path
+
+    rows = registrations(spark, d).join(wanted(spark).select("query_id", "substance"), "substance")
+    return plans.export_all(wanted(spark), rows, stage_path(spark, "exports"), F.lit("2024-01-01T00:00:00"), whole)
+
+
+@query("e5_export_provenance", """
+SELECT q.query_id, q.substance AS "Query", '2024-01-01T00:00:00' AS "Generated At", count(ex.ord) AS "Record Count",
+  COALESCE(string_agg(DISTINCT source, ', ' ORDER BY source), 'Not available') AS "Sources", CASE WHEN count(ex.ord) > 0 THEN 'Records found' ELSE 'No records found' END AS "Status"
+FROM qry q LEFT JOIN ex USING (query_id) GROUP BY q.query_id, q.substance""", REG + ", " + QRY + "," + EXPORTED_SQL)
+def _e5_provenance(spark, d):
+    return exported(spark, d)["provenance"]
+
+
+@query("e5_export_coverage", f"""
+SELECT query_id, source AS "Source", count(*) AS "Records", count({sql(STRENGTH_OF_SQL)}) || '/' || count(*) AS "Strength",
+  count({sql(FORM_SQL)}) || '/' || count(*) AS "Dosage Form", count({sql(ROUTE_SQL)}) || '/' || count(*) AS "Route",
+  count({sql(PACK_SQL)}) || '/' || count(*) AS "Pack Size", count(atc_code) || '/' || count(*) AS "ATC Code",
+  (CASE WHEN query_id IN (SELECT query_id FROM ex WHERE atc_code IS NOT NULL) THEN count(*) ELSE 0 END) || '/' || count(*) AS "Therapeutic Category",
+  '0/' || count(*) AS "SMPC URL", '0/' || count(*) AS "PIL URL", '0/' || count(*) AS "Assessment Report", '0/' || count(*) AS "Expiry Date" FROM ex GROUP BY query_id, source""",
+       REG + ", " + QRY + "," + EXPORTED_SQL)
+def _e5_coverage(spark, d):
+    return exported(spark, d)["coverage"]
+
+
+@query("e5_export_sheet", f"""
+SELECT query_id, ord, country AS "Country", region AS "Region", substance AS "Molecule", COALESCE(registration_number, 'Not available') AS "Registration Number", registration_date AS "Registration Date",
+  COALESCE({sql(FORM_SQL)}, 'Not supplied by regulator') AS "Dosage Form", COALESCE(atc_code, 'Not supplied by regulator') AS "ATC Code", source AS "Source", '2024-01-01T00:00:00' AS "Last Checked" FROM ex""",
+       REG + ", " + QRY + "," + EXPORTED_SQL)
+def _e5_sheet(spark, d):
+    out = exported(spark, d)
+    return out["sheet"].select(
+        "query_id", "ord", "Country", "Region", "Molecule", "Registration Number", "Registration Date", "Dosage Form", "ATC Code", "Source", "Last Checked")
+
+
 @query("e7_data_health", """
 SELECT sample, (SELECT count(*) FROM m WHERE contains(lower(s), sample) OR contains(lower(product), sample)) AS records, (SELECT count(*) FROM m) AS total
 FROM (SELECT unnest(['metformin', 'paracetamol', 'dapagliflozin', 'quetiapine', 'mirabegron']) AS sample)""",

@@ -9,7 +9,7 @@ from .. import dims
 from ..functions.base import text
 from ..functions.english import english_text
 from ..functions.rows import DISPLAY_FILTERS, display_row, export_row
-from ..operators import coverage, documents, identity, jobs, ordering, quality, scope, search
+from ..operators import coverage, documents, identity, jobs, ordering, quality, scope, search, store
 from ..store_paths import checkpoint, stage
 
 QUERY_DEFAULTS = {
@@ -137,6 +137,28 @@ def export(queries: DataFrame, rows: DataFrame, generated_at: Column | None = No
     return export_row(kept, F.col("query_substance"), F.col("default_category"), stamp, keep=("query_id", "ord"))
 
 
+def export_all(queries: DataFrame, rows: DataFrame, path: str, generated_at: Column | None = None, whole: bool = True) -> dict[str, DataFrame | int]:
+    """E5: every query's export in one call: files, ``sheet``, ``coverage`` by source and ``provenance``, all from the same rows.
+
+    With ``whole`` all rows of a query are exported; otherwise the page it asks for (``page``, ``page_size``, sorted as asked), prepared for
+    display. Files stand in ``path`` in one folder for each query, named by its substance. ``written`` counts the rows of all files.
+    """
+    if not whole:
+        asked = prepared_queries(queries)
+        sortable = rows.join(asked.select("query_id", "sort_by", "sort_dir", "sources"), "query_id")
+        page = ordering.page_of_queries(sortable, asked, ordering.query_order(sortable))
+        rows = prepare_cached(page.drop("sort_by", "sort_dir", "sources", "rank"))
+    rows = stage(rows, "export-rows")
+    named = queries.select("query_id", F.concat_ws("_", store.safe_filename("substance"), store.safe_filename("query_id")).alias("file"))
+    sheet = stage(export(queries, rows, generated_at).join(named, "query_id"), "export-sheet")
+    return {
+        "written": store.write_exports(sheet, path),
+        "sheet": sheet.drop("file"),
+        "coverage": coverage.coverage_by_source(rows, ("query_id",)),
+        "provenance": coverage.provenance_of_queries(queries, rows, generated_at),
+    }
+
+
 def prepare_cached(rows: DataFrame) -> DataFrame:
     """Q4: stored rows made ready for display, without reading documents: G4, then Q3."""
     return quality.attach_quality(identity.propagate_by_molecule(rows))
