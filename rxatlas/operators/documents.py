@@ -97,7 +97,7 @@ def enrich_rows(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Empty fields filled from the row's documents, in URL order, until the row is complete.
 
     ``docs``: (doc_url, text). A row is complete once strength, form, pack and category are known;
-    documents after that one contribute nothing. Documents are landed files, so there is no cap on
+    the URLs after that one contribute nothing, whether or not the URLs before it have a document. Documents are landed files, so there is no cap on
     how many a run may read. A row has at most five documents, collected in order.
     """
     links = rows.select("ord", F.posexplode(document_urls(rows)).alias("pos", "doc_url"))
@@ -114,8 +114,8 @@ def _first_of(docs: Column, value) -> Column:
 
 
 def _first_at(docs: Column, value) -> Column:
-    """Place of the first document with a value, 1-based; NULL when there is none."""
-    return F.get(F.filter(F.transform(docs, lambda x, i: F.when(value(x).isNotNull(), i + 1)), lambda v: v.isNotNull()), F.lit(0))
+    """Place among the row's URLs of the first document with a value; NULL when there is none."""
+    return F.get(F.filter(F.transform(docs, lambda x: F.when(value(x).isNotNull(), x["pos"])), lambda v: v.isNotNull()), F.lit(0))
 
 
 def _apply(joined: DataFrame, rows: DataFrame) -> DataFrame:
@@ -139,10 +139,10 @@ def _apply(joined: DataFrame, rows: DataFrame) -> DataFrame:
     }
     own = {f: non_empty(opt(rows, f)) for f in (*values, *MAKER, "company")}
     needed = ["strength", "dosage_form", "pack_size", "therapeutic_category"]
-    places = F.array(*[F.when(own[f].isNotNull(), 1).otherwise(_first_at(F.col("_docs"), values[f])) for f in needed])
+    places = F.array(*[F.when(own[f].isNotNull(), 0).otherwise(_first_at(F.col("_docs"), values[f])) for f in needed])
     complete_at = F.when(~F.exists(places, lambda p: p.isNull()), F.array_max(places))
     read = staged.withColumn("_stop", complete_at).withColumn(
-        "_docs", F.when(F.col("_stop").isNull(), F.col("_docs")).otherwise(F.slice("_docs", F.lit(1), F.col("_stop")))
+        "_docs", F.filter("_docs", lambda x: F.col("_stop").isNull() | (x["pos"] <= F.col("_stop")))
     )
     filled = {f: F.coalesce(own[f], _first_of(F.col("_docs"), v)) for f, v in values.items()}
     company_key = F.lower(text(clean_block(opt(rows, "company"))))

@@ -13,6 +13,8 @@ from ..operators.identity import keep_first
 from ..schema import MEDICINE_COLUMNS, PRODUCT_DDL, STORED_COLUMNS, conform
 
 BLANKS = " \t\xa0"
+BLOCK_BITS = 28  # rows of a file block; numbers of up to a million blocks stay below 2**48
+PAGE_BITS = 24  # rows of a page
 
 
 def in_file_order(raw: DataFrame) -> DataFrame:
@@ -25,7 +27,7 @@ def in_file_order(raw: DataFrame) -> DataFrame:
     blocks = rows.groupBy("_file", "_start").agg(F.min("_row").alias("_first"))
     ranked = blocks.withColumn("_rank", F.row_number().over(Window.orderBy("_file", "_start")))
     placed = rows.join(ranked, ["_file", "_start"])
-    return placed.withColumn("ord", F.shiftleft(F.col("_rank").cast("bigint"), 36) + F.col("_row") - F.col("_first")).drop("_start", "_row", "_first", "_rank")
+    return placed.withColumn("ord", F.shiftleft(F.col("_rank").cast("bigint"), BLOCK_BITS) + F.col("_row") - F.col("_first")).drop("_start", "_row", "_first", "_rank")
 
 
 def read_seed(spark: SparkSession, path: str) -> DataFrame:
@@ -61,7 +63,7 @@ def read_json_array(spark: SparkSession, path: str, field: str, record_ddl: str)
     located = payload.select(F.col("_metadata.file_path").alias("_file"), F.posexplode(F.col(field)).alias("_pos", "_r"))
     # a payload is a page of a search: the number in its file name orders it, then the name
     files = located.select("_file").distinct().withColumn("_rank", F.row_number().over(Window.orderBy(page_number(F.col("_file")), "_file")))
-    return located.join(files, "_file").select((F.shiftleft(F.col("_rank").cast("bigint"), 32) + F.col("_pos")).alias("ord"), "_r.*")
+    return located.join(files, "_file").select((F.shiftleft(F.col("_rank").cast("bigint"), PAGE_BITS) + F.col("_pos")).alias("ord"), "_r.*")
 
 
 def page_number(file: Column) -> Column:

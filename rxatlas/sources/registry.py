@@ -85,12 +85,15 @@ class Registry:
         return spark.createDataFrame(rows, ddl)
 
 
+ORD_BITS = 48
+
+
 def source_search(queries: DataFrame, raw: dict[str, DataFrame | dict], registry: Registry) -> DataFrame:
     """Every enabled source's mapper over its raw frame for every search term, stamped and de-duplicated.
 
     ``queries``: (query_id, substance); ``raw``: source -> frame with ``query`` (the term it was landed
     for) and ``ord``, or the named frames of a mapper that takes several. Arrival order is (source, term, ord), packed
-    into one BIGINT: ``ord`` of a raw frame stays below 2**48.
+    into one BIGINT: ``ord`` of a raw frame stays below 2**48 (the readers' numbers do up to a million file blocks); larger ones are an error.
     """
     found = []
     for place, source in enumerate(registry.enabled()):
@@ -101,7 +104,8 @@ def source_search(queries: DataFrame, raw: dict[str, DataFrame | dict], registry
         rows = source.mapper(**frames) if isinstance(frames, dict) else source.mapper(frames)
         joined = rows.join(terms.select("query_id", F.col("substance").alias("_searched"), "term", "term_pos"), F.col("query") == F.col("term"))
         stamped = stamp_query(joined, "_searched").drop("_searched", "term", "query")
-        order = F.lit(place << 54).cast("bigint") + F.shiftleft(F.col("term_pos").cast("bigint"), 48) + F.col("ord")
+        own = F.when(F.col("ord") < 1 << ORD_BITS, F.col("ord")).otherwise(F.raise_error(F.lit(f"ord of a raw frame must stay below 2**{ORD_BITS}")))
+        order = F.lit(place << 54).cast("bigint") + F.shiftleft(F.col("term_pos").cast("bigint"), ORD_BITS) + own
         found.append(stamped.withColumn("ord", order).drop("term_pos", "place"))
     if not found:
         raise ValueError("no enabled source has a raw frame")

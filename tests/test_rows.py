@@ -297,6 +297,34 @@ def test_containment_against_brute_force(spark):
     assert len(pairs) == len(set(pairs)) and set(pairs) == {(g, t, i) for g, t in data for h, i in data if g == h and i in t}
 
 
+def test_documents_after_a_complete_url_are_not_read(spark):
+    """A row that is complete stops at its first URL, whether or not that one has a document."""
+    from rxatlas.operators import documents
+
+    rows = frame(spark, [
+        {"source": "X", "product": "p", "strength": "5 mg", "dosage_form": "Tablet", "pack_size": "10 tablets", "therapeutic_category": "C", "smpc_url": "https://e.test/absent.pdf", "pil_url": "https://e.test/there.pdf"},
+        {"source": "X", "product": "p", "strength": "5 mg", "dosage_form": "Tablet", "pack_size": "10 tablets", "therapeutic_category": "C", "smpc_url": "https://e.test/there.pdf", "pil_url": None},
+        {"source": "X", "product": "p", "strength": None, "dosage_form": "Tablet", "pack_size": "10 tablets", "therapeutic_category": "C", "smpc_url": "https://e.test/absent.pdf", "pil_url": "https://e.test/there.pdf"},
+    ], extra=["manufacturer_email", "atc_code"])
+    docs = spark.createDataFrame([("https://e.test/there.pdf", "Contact: maker@e.test\nEach tablet contains 20 mg of it\n")], "doc_url string, text string")
+    got = {r.ord: (r.manufacturer_email, r.strength) for r in documents.enrich_rows(rows, docs).collect()}
+    assert got == {0: (None, "5 mg"), 1: ("maker@e.test", "5 mg"), 2: ("maker@e.test", "20 mg")}
+
+
+def test_order_of_raw_rows_has_a_bound(spark):
+    source = registry.Source("S", "", (), False, True, mapper=lambda df: df)
+    known = registry.Registry([source])
+    queries = spark.createDataFrame([("q", "ring")], "query_id string, substance string")
+
+    def searched(number):
+        raw = spark.createDataFrame([(number, "ring", "ring", "p", "S")], "ord long, query string, substance string, product string, source string")
+        return registry.source_search(queries, {"S": raw}, known).select("ord").collect()
+
+    assert searched((1 << 48) - 1)[0].ord == (1 << 48) - 1
+    with pytest.raises(Exception, match="stay below"):
+        searched(1 << 48)
+
+
 def test_registry(spark):
     known = registry.Registry()
     assert known.by_name(" fda ").name == "FDA" and known.by_name("x") is None
