@@ -14,7 +14,7 @@ HEADLINE = [
     "x5_extract_strength", "x6_extract_dosage_form", "g1_dedupe_keep_first", "g3_merge_cached_live",
     "g4_propagate_by_molecule", "j2_search_many", "j5_star_join", "j7_attach_by_url", "a1_count_by", "a4_default_category",
     "l1_sort_default", "l3_top_n", "k2_upsert_products", "a7_latest_health", "t6_classify_outcome", "x39_display_row",
-    "e2_saved_search", "e1_search", "d13_enrich_rows", "t5_stream_upsert",
+    "e2_saved_search", "e1_search", "d13_enrich_rows", "t5_stream_upsert", "j6_best_match_join", "p15_fuzzy_search_many",
 ]
 
 

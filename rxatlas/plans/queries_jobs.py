@@ -25,14 +25,16 @@ def _s2(spark, d):
 
 
 @query("k1_seed_if_sparse", f"""
-WITH st AS (SELECT * FROM reg WHERE source = 'Brand#1' AND product LIKE 'small%'),
+WITH st AS (SELECT * FROM reg WHERE ord IN (SELECT min(ord) FROM reg GROUP BY source, product)),
 fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {SEED_KEY} ORDER BY ord) AS rn FROM reg) WHERE rn = 1)
 SELECT 'sparse' AS store, ord FROM st UNION ALL SELECT 'sparse', ord FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.source = f.source AND st.product = f.product
   AND st.country = f.country AND COALESCE(st.registration_number, '') = COALESCE(f.registration_number, ''))
 UNION ALL SELECT 'full', ord FROM st""", REG)
 def _k1(spark, d):
+    """The store has the first registration of every product; the seed has all of them."""
     reg = registrations(spark, d)
-    some = reg.filter((F.col("source") == "Brand#1") & F.col("product").startswith("small"))
+    firsts = reg.groupBy("source", "product").agg(F.min("ord").alias("ord")).select("ord")
+    some = reg.join(firsts, "ord", "left_semi")
     rows = some.count()
     sparse = store.seed_if_sparse(some, reg, minimum_rows=rows + 1).select(F.lit("sparse").alias("store"), "ord")
     return sparse.unionByName(store.seed_if_sparse(some, reg, minimum_rows=rows).select(F.lit("full").alias("store"), "ord"))
@@ -77,25 +79,26 @@ def _k2(spark, d):
 
 
 @query("k2_upsert_chains", f"""
-WITH RECURSIVE st AS (SELECT ord AS id, source, product, country, registration_number, CAST(NULL AS VARCHAR) AS product_url FROM reg WHERE MOD(ord, 2) = 0),
-v AS (SELECT reg.*, unnest([0, 1, 2, 3]) AS v, ord // 100000 AS part FROM reg),
-b AS (SELECT ord * 4 + v AS ord, source, split_part(product, ' ', 1) AS product, country,
-   CASE v WHEN 0 THEN registration_number WHEN 1 THEN 'N' || MOD(ord, 7) WHEN 3 THEN 'N' || MOD(part, 5) END AS registration_number,
-   CASE v WHEN 0 THEN 'u' || MOD(part, 11) WHEN 1 THEN 'u' || MOD(ord, 13) WHEN 2 THEN CASE WHEN MOD(part, 3) > 0 THEN 'u' || MOD(ord, 5) END END AS product_url FROM v), {ONE_BY_ONE}""", REG)
+WITH RECURSIVE named AS (SELECT ord, source, split_part(product, ' ', 1) || ' ' || substance AS product, country, registration_number, ord // 100000 AS part FROM reg),
+st AS (SELECT ord AS id, source, product, country, registration_number, CAST(NULL AS VARCHAR) AS product_url FROM named),
+v AS (SELECT *, unnest([0, 1]) AS v FROM named),
+b AS (SELECT ord * 2 + v AS ord, source, product, country, CASE WHEN v = 0 THEN registration_number WHEN MOD(ord, 4) IN (1, 3) THEN 'N' || MOD(ord, 7) END AS registration_number,
+   CASE WHEN v = 0 THEN 'u' || MOD(part, 11) WHEN MOD(ord, 4) > 1 THEN 'u' || MOD(ord, 13) END AS product_url FROM v), {ONE_BY_ONE}""", REG)
 def _k2_chains(spark, d):
-    """A batch whose rows meet each other through numbers and URLs that earlier ones of them set."""
-    reg = registrations(spark, d).select("ord", "source", "product", "country", "registration_number")
+    """Products named by two words only: rows of a batch meet each other and the store through numbers and URLs that earlier ones of them set."""
+    reg = registrations(spark, d)
     o, v, part = F.col("ord"), F.col("v"), F.floor(F.col("ord") / 100000)
-    current = reg.filter(o % 2 == 0).withColumnRenamed("ord", "id").withColumns({"status": F.lit("stored"), "product_url": F.lit(None).cast("string")})
+    named = reg.select("ord", "source", F.concat(F.split_part("product", F.lit(" "), F.lit(1)), F.lit(" "), "substance").alias("product"), "country", "registration_number")
+    current = named.withColumnRenamed("ord", "id").withColumns({"status": F.lit("stored"), "product_url": F.lit(None).cast("string")})
 
     def name(prefix, number, by):
         return F.concat(F.lit(prefix), (number % by).cast("string"))
 
-    rows = reg.withColumn("v", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+    rows = named.withColumn("v", F.explode(F.array(F.lit(0), F.lit(1))))
     batch = rows.select(
-        (o * 4 + v).alias("ord"), "source", F.split_part("product", F.lit(" "), F.lit(1)).alias("product"), "country", F.lit("new").alias("status"),
-        F.when(v == 0, F.col("registration_number")).when(v == 1, name("N", o, 7)).when(v == 3, name("N", part, 5)).alias("registration_number"),
-        F.when(v == 0, name("u", part, 11)).when(v == 1, name("u", o, 13)).when((v == 2) & (part % 3 > 0), name("u", o, 5)).alias("product_url"),
+        (o * 2 + v).alias("ord"), "source", "product", "country", F.lit("new").alias("status"),
+        F.when(v == 0, F.col("registration_number")).when((o % 4).isin(1, 3), name("N", o, 7)).alias("registration_number"),
+        F.when(v == 0, name("u", part, 11)).when(o % 4 > 1, name("u", o, 13)).alias("product_url"),
     )
     return store.upsert_products(current, batch).select("id", "product", "registration_number", "status")
 

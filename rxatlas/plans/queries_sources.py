@@ -497,12 +497,17 @@ def _x35(spark, d):
 
 
 @query("x37_absolute_url", r"""
-SELECT page_id, pos - 1 AS pos, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href ELSE regexp_extract(url, '^[a-z]+://[^/?#]*') || href END AS link
-FROM links WHERE starts_with(href, '/') AND NOT starts_with(href, '//')""", ANCHORS_SQL)
+WITH f AS (SELECT page_id, pos - 1 AS pos, url, href, ltrim(href, '/') AS h, unnest(range(6)) AS form, regexp_extract(url, '^[^?#]*') AS path, regexp_extract(url, '^[a-z]+://[^/?#]*') AS root FROM links)
+SELECT page_id, pos, form, CASE WHEN form = 1 AND h = '' THEN url ELSE CASE form
+  WHEN 0 THEN root || '/' || h WHEN 1 THEN (CASE WHEN path = root THEN root || '/' ELSE regexp_extract(path, '^.*/') END) || h WHEN 2 THEN path || '?' || h
+  WHEN 3 THEN regexp_extract(url, '^[^#]*') || '#' || h WHEN 4 THEN split_part(url, ':', 1) || '://' || h ELSE 'https://o.test/' || h END END AS link FROM f""", ANCHORS_SQL)
 def _x37(spark, d):
+    """Every link of every page, in six forms: from the root, relative, query, fragment, without scheme, absolute."""
     each = table(spark, d, "pages").select("page_id", "url", F.posexplode(lf.anchors("html")).alias("pos", "a"))
-    local = each.filter(F.col("a.href").startswith("/") & ~F.col("a.href").startswith("//"))
-    return local.select("page_id", F.col("pos").cast("long").alias("pos"), tx.absolute_url(F.col("url"), F.col("a.href")).alias("link"))
+    h = F.ltrim(F.col("a.href"), F.lit("/"))
+    forms = F.array(*[F.concat(F.lit(start), h) for start in ("/", "", "?", "#", "//", "https://o.test/")])
+    spread = each.select("page_id", "url", "pos", F.posexplode(forms).alias("form", "href"))
+    return spread.select("page_id", F.col("pos").cast("long").alias("pos"), F.col("form").cast("long").alias("form"), tx.absolute_url(F.col("url"), F.col("href")).alias("link"))
 
 
 # --- Enrichment ---------------------------------------------------------------------------------

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,8 +34,23 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def without_leftovers(spark: SparkSession) -> Iterator[None]:
+    """Inside, a finished write takes its shuffle files with it: what was written is read back, never computed again from them."""
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLES_GO, before) if before is not None else spark.conf.unset(SHUFFLES_GO)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """The rows written once to the shared folder and read back: computed once, and a lost executor does not undo them."""
     path = stage_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with without_leftovers(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
