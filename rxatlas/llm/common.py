@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..store_paths import stage_path
+from ..store_paths import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,20 +37,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """The rows written once to the shared folder and read back: lost executors do not undo it, later
     branches do not compute it again, and values that tasks made up (row keys) stay what they are."""
-    path = stage_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stage(df, name)
 
 
-def tidied(spark: SparkSession, *superseded: DataFrame | None) -> None:
-    """Frees disk between the steps of a long operator: staged tables that later ones replace, and the shuffle files of steps
-    whose results are staged (Spark removes them when the driver has forgotten their plans)."""
+def dropped(*superseded: DataFrame | None) -> None:
+    """Frees the disk of staged tables that later ones replace."""
     for df in superseded:
         for folder in {f.rsplit("/", 1)[0] for f in (df.inputFiles() if df is not None else [])}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_keys() -> Iterator[int]:

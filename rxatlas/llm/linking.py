@@ -221,7 +221,7 @@ def links(entries: DataFrame, texts: DataFrame, table, k: int, share: tuple[int,
         judged = compared(new, texts.select("id", "text"), table, k).select("a", "b", (1 - F.col("both") / union).alias("distance"), (den * F.col("both") >= num * union).alias("similar"))
         ruled_out = tried.filter("NOT open").select("a", "b", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("similar"))
         out = common.staged(judged.unionByName(ruled_out), f"{name}-answers")
-        common.tidied(spark, tried)
+        common.dropped(tried)
         return out
 
     last, dense, current = float("inf"), True, _labelled(entries, None)
@@ -229,7 +229,7 @@ def links(entries: DataFrame, texts: DataFrame, table, k: int, share: tuple[int,
         if labels is not None:
             replaced = current if nth > 1 else None
             current = common.staged(_labelled(entries, labels), "entries")
-            common.tidied(spark, replaced)
+            common.dropped(replaced)
         pairs_left, in_lists = _left(current)
         was, dense = dense, DENSE * in_lists < pairs_left <= 0.5 * last
         if not was or pairs_left <= SPARSE * in_lists or nth == MAX_ROUNDS or nth and not dense:

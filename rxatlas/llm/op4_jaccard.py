@@ -159,12 +159,10 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     listed = exploded.join(several, "token").withColumn("block", F.explode(F.array(block, block - 1)))
     entries = common.staged(listed.select(F.xxhash64("token", "block").alias("key"), "id", "n", "pos"), "shingle-lists")
 
-    common.tidied(docs.sparkSession)
 
     members = entries.select(F.col("id").alias("class_id")).distinct()
     wanted = common.staged(classes.join(members, "class_id"), "listed-classes")
     texts = common.staged(class_texts(own, wanted, k), "class-texts")
-    common.tidied(docs.sparkSession)
     edges = linking.links(entries, texts, SPACED_LOWER, k, share, possible(share), PARITY_WORDS)
     parts = linking.components(edges).withColumnRenamed("id", "class_id")
     joined = classes.join(parts, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
