@@ -113,12 +113,35 @@ def _m3(spark, d):
 SELECT p_partkey AS registration_number, p_name AS product, (SELECT max_by(s_name, l_orderkey * 100 + l_linenumber) FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_partkey = p_partkey) AS company
 FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')""")
 def _m4(spark, d):
+    mapped = mappers.map_canada(*canadian_sets(spark, d, "l_returnflag"), " r ")
+    return mapped.select(F.col("registration_number").cast("long").alias("registration_number"), "product", "company")
+
+
+def canadian_sets(spark, d, ingredient: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     line = table(spark, d, "lineitem").withColumn("ord", F.col("l_orderkey") * 100 + F.col("l_linenumber")).withColumnRenamed("l_partkey", "DRUG_CODE")
     supplied = line.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).withColumnRenamed("s_name", "companyName")
     products = table(spark, d, "part").select(F.col("p_partkey").alias("drugCode"), F.col("p_name").alias("Brand_Name"), F.col("p_partkey").alias("ord"))
-    ingredients = line.withColumnRenamed("l_returnflag", "ingredient_name")
-    mapped = mappers.map_canada(ingredients, products, supplied, line.withColumnRenamed("l_linestatus", "status"), " r ")
-    return mapped.select(F.col("registration_number").cast("long").alias("registration_number"), "product", "company")
+    ingredients = (line if ingredient in line.columns else supplied.withColumn("s_name", F.col("companyName"))).withColumnRenamed(ingredient, "ingredient_name")
+    return ingredients, products, supplied, line.withColumnRenamed("l_linestatus", "status")
+
+
+TERMS_SQL = "terms AS (SELECT DISTINCT 'R#' || right(s_name, 3) AS term FROM supplier UNION SELECT DISTINCT right(s_name, 2) FROM supplier)"
+
+
+def supplier_terms(spark, d) -> DataFrame:
+    """Terms to search registers for: the ends of the suppliers' names."""
+    name = table(spark, d, "supplier").select("s_name")
+    return name.select(F.explode(F.array(F.concat(F.lit("R#"), F.right("s_name", F.lit(3))), F.right("s_name", F.lit(2)))).alias("query")).distinct()
+
+
+@query("m4_map_canada_many", f"""
+WITH {TERMS_SQL}, sup AS (SELECT DISTINCT l_partkey, s_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+hit AS (SELECT DISTINCT term, l_partkey FROM terms JOIN sup ON contains(lower(s_name), lower(term))),
+last AS (SELECT l_partkey, max_by(s_name, l_orderkey * 100 + l_linenumber) AS company FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1)
+SELECT term AS query, p_partkey AS registration_number, p_name AS product, company FROM hit JOIN part ON p_partkey = l_partkey JOIN last USING (l_partkey)""")
+def _m4_many(spark, d):
+    mapped = mappers.map_canada(*canadian_sets(spark, d, "s_name"), supplier_terms(spark, d))
+    return mapped.select("query", F.col("registration_number").cast("long").alias("registration_number"), "product", "company")
 
 
 @query("m5_map_spain", """
@@ -145,6 +168,27 @@ SELECT 'c' || p_partkey AS registration_number, string_agg(DISTINCT s_name, ', '
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey
 GROUP BY p_partkey, p_name HAVING bool_or(contains(s_name, '3'))""")
 def _m6(spark, d):
+    return mappers.map_france(*french_sets(spark, d), "3").select("registration_number", "substance", "product", "strength")
+
+
+@query("m6_map_france_many", f"""
+WITH {TERMS_SQL}, comp AS (SELECT l_partkey, s_name, l_quantity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+hit AS (SELECT DISTINCT term, l_partkey FROM terms JOIN (SELECT DISTINCT l_partkey, s_name FROM comp) ON contains(lower(s_name), lower(term))),
+sets AS (SELECT l_partkey, string_agg(DISTINCT s_name, ', ' ORDER BY s_name) AS substance FROM comp GROUP BY 1)
+SELECT term AS query, 'c' || p_partkey AS registration_number, substance, p_name AS product FROM hit JOIN sets USING (l_partkey) JOIN part ON p_partkey = l_partkey""")
+def _m6_many(spark, d):
+    return mappers.map_france(*french_sets(spark, d), supplier_terms(spark, d)).select("query", "registration_number", "substance", "product")
+
+
+@query("a9_group_array", """
+SELECT l_partkey, string_agg(DISTINCT s_name, ', ' ORDER BY s_name) AS names, string_agg(DISTINCT l_linestatus, ', ' ORDER BY l_linestatus) FILTER (l_linestatus <> '') AS modes, min(l_orderkey) AS ord
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_partkey""")
+def _a9(spark, d):
+    line = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).withColumn("ord", F.col("l_orderkey"))
+    return mappers.grouped_sets(line, ["l_partkey"], {"names": "s_name", "modes": "l_linestatus"})
+
+
+def french_sets(spark, d) -> tuple[DataFrame, DataFrame]:
     line = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     compositions = line.select(
         F.concat(F.lit("c"), F.col("l_partkey").cast("string")).alias("cis"), F.col("s_name").alias("substance"),
@@ -155,7 +199,7 @@ def _m6(spark, d):
         F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("cis"), F.col("p_name").alias("product"), F.lit("co").alias("company"),
         none.alias("marketing_status"), none.alias("status"), none.alias("pharmaceutical_form"), none.alias("registration_date"), F.lit(0).alias("ord"),
     )
-    return mappers.map_france(products, compositions, "3").select("registration_number", "substance", "product", "strength")
+    return products, compositions
 
 
 @query("m7_map_belgium", """

@@ -14,10 +14,13 @@ from ..dims import literal_list
 from ..functions import leaflet as lf
 from ..functions import text as tx
 from ..functions.base import any_of, clean_block, collapse_ws, filter_computed, let, non_empty, nz, opt, text
+from ..functions.english import strip_accents
 from ..functions.rows import first_non_blank
+from ..operators import contain
 from ..operators.identity import keep_first
 from ..operators.joins import best_match_join, star_join
-from ..operators.search import accent_insensitive_contains, record_matches
+from ..operators.search import record_matches
+from ..store_paths import stage
 
 EU_BASE = "https://www.ema.europa.eu"
 UK_BASE = "https://products.mhra.gov.uk"
@@ -174,18 +177,34 @@ def map_uk_index(df: DataFrame) -> DataFrame:
     )
 
 
-def map_canada(ingredients: DataFrame, products: DataFrame, companies: DataFrame, statuses: DataFrame, query: str) -> DataFrame:
-    """M4: four data sets joined on the drug code; field names in any letter case."""
+def _asked(texts: DataFrame, query: str | DataFrame, key: str, value: str, folded) -> DataFrame:
+    """(query, key): which keys have a ``value`` that contains a query, both in the form that ``folded`` gives them.
+
+    One query is a filter. Many queries, a frame with a column ``query``, meet the distinct values through the gram index of ``contain``.
+    """
+    if isinstance(query, str):
+        hit = F.contains(folded(text(value)), folded(F.lit(query.strip())))
+        return texts.filter(hit).select(F.lit(query).alias("query"), key).distinct()
+    asked = query.select("query").distinct().withColumn("_needle", folded(F.trim("query")))
+    values = texts.select(key, folded(text(value)).alias("_hay")).distinct()
+    hays = stage(values.select("_hay").distinct(), "texts")
+    met = contain.containing(hays, ["_hay"], contain.anchored(asked, "_needle", hays, ["_hay"]), "_needle")
+    return values.join(met, "_hay").join(asked, "_needle").select("query", key).distinct()
+
+
+def map_canada(ingredients: DataFrame, products: DataFrame, companies: DataFrame, statuses: DataFrame, query: str | DataFrame) -> DataFrame:
+    """M4: four data sets joined on the drug code; field names in any letter case. ``query``: one term, or a frame of them."""
     code = ["drug_code", "drugCode"]
     ing = ingredients.select(first_non_blank(ingredients, code).alias("code"), first_non_blank(ingredients, ["ingredient_name", "ingredientName"]).alias("ingredient"))
     prod = products.select(first_non_blank(products, code).alias("code"), first_non_blank(products, ["brand_name", "brandName"]).alias("product"), "ord")
     comp = companies.select(first_non_blank(companies, code).alias("code"), first_non_blank(companies, ["company_name", "companyName"]).alias("company"), "ord")
     stat = statuses.select(first_non_blank(statuses, code).alias("code"), first_non_blank(statuses, ["status", "status_name", "statusName"]).alias("status"), "ord")
-    matches = F.contains(F.lower(text("ingredient")), F.lit(query.strip().lower()))
-    rows = star_join(prod.filter(F.col("product").isNotNull()), ing, comp, stat, "code", matches)
+    codes = _asked(ing, query, "code", "ingredient", F.lower)
+    kept = prod.filter(F.col("product").isNotNull()).join(codes, "code")
+    rows = star_join(kept, ing, comp, stat, "code", F.lit(True))
     page = "https://health-products.canada.ca/dpd-bdpp/index-eng.jsp"
     return _row(
-        rows.withColumn("query", F.lit(query)), "Health Canada", "Canada", "CA", substance=F.lit(query), product=F.col("product"),
+        rows, "Health Canada", "Canada", "CA", substance=F.col("query"), product=F.col("product"),
         company=F.col("company"), status=F.col("status"), registration_number=F.col("code"),
         source_url="https://health-products.canada.ca/api/drug/drugproduct/?lang=en&type=json", product_url=page, url=page,
     )
@@ -214,22 +233,25 @@ def map_spain(df: DataFrame) -> DataFrame:
     )
 
 
-def map_france(products: DataFrame, compositions: DataFrame, query: str) -> DataFrame:
-    """M6: products with a composition that contains the query, without regard to accents.
+def grouped_sets(df: DataFrame, keys: list[str], columns: dict[str, str], sep: str = ", ") -> DataFrame:
+    """Per key the distinct non-empty values of columns, sorted and joined (``columns``: new name -> column), and the first ``ord``.
 
-    Per code the names and strengths are small sets; the hit flag is part of the same aggregate.
+    Sets are built map-side first; a key holds the few values that a register gives one product.
     """
-    hit = accent_insensitive_contains("substance", query.strip())
-    per_code = compositions.groupBy("cis").agg(
-        F.bool_or(hit).alias("hit"), F.array_join(F.array_sort(F.collect_set(non_empty("substance"))), ", ").alias("_names"),
-        F.array_join(F.array_sort(F.collect_set(non_empty("strength"))), ", ").alias("_strengths"), F.min("ord").alias("_first"),
-    ).filter("hit")
-    rows = products.drop("ord").join(per_code, "cis").withColumnRenamed("_first", "ord").withColumn("query", F.lit(query))
+    joined = [F.nullif(F.array_join(F.array_sort(F.collect_set(non_empty(c))), sep), F.lit("")).alias(n) for n, c in columns.items()]
+    return df.groupBy(*keys).agg(*joined, F.min("ord").alias("ord"))
+
+
+def map_france(products: DataFrame, compositions: DataFrame, query: str | DataFrame) -> DataFrame:
+    """M6: products with a composition that contains the query, without regard to accents (A9, P13). ``query``: one term, or a frame of them."""
+    hits = _asked(compositions, query, "cis", "substance", lambda c: F.lower(strip_accents(c)))
+    per_code = grouped_sets(compositions.join(hits.select("cis").distinct(), "cis", "left_semi"), ["cis"], {"_names": "substance", "_strengths": "strength"})
+    rows = products.drop("ord").join(per_code, "cis").join(hits, "cis")
     page = F.concat(F.lit("https://base-donnees-publique.medicaments.gouv.fr/medicament/"), "cis", F.lit("/extrait"))
     return rows.select(
-        "query", "ord", F.coalesce(F.nullif("_names", F.lit("")), F.lit(query)).alias("substance"), "product", "company",
+        "query", "ord", F.coalesce("_names", "query").alias("substance"), "product", "company",
         F.lit("France").alias("country"), F.lit("EU").alias("region"),
-        F.coalesce(non_empty("marketing_status"), non_empty("status")).alias("status"), F.nullif("_strengths", F.lit("")).alias("strength"),
+        F.coalesce(non_empty("marketing_status"), non_empty("status")).alias("status"), F.col("_strengths").alias("strength"),
         F.col("pharmaceutical_form").alias("dosage_form"), F.col("cis").alias("registration_number"), "registration_date",
         F.lit("France BDPM").alias("source"),
         F.lit("https://www.data.gouv.fr/fr/datasets/base-de-donnees-publique-des-medicaments-base-officielle/").alias("source_url"),

@@ -86,6 +86,7 @@ class Registry:
 
 
 ORD_BITS = 48
+TAKE_TERMS = ("Health Canada", "France BDPM")  # their data sets are whole registers, searched for all terms at once
 
 
 def source_search(queries: DataFrame, raw: dict[str, DataFrame | dict], registry: Registry) -> DataFrame:
@@ -101,6 +102,8 @@ def source_search(queries: DataFrame, raw: dict[str, DataFrame | dict], registry
             continue
         terms = expand_synonyms(queries.withColumn("source", F.lit(source.name)), single_term_sources=True)
         frames = raw[source.name]
+        if isinstance(frames, dict) and "query" not in frames and source.name in TAKE_TERMS:
+            frames = {**frames, "query": terms.select(F.col("term").alias("query")).distinct()}
         rows = source.mapper(**frames) if isinstance(frames, dict) else source.mapper(frames)
         joined = rows.join(terms.select("query_id", F.col("substance").alias("_searched"), "term", "term_pos"), F.col("query") == F.col("term"))
         stamped = stamp_query(joined, "_searched").drop("_searched", "term", "query")
