@@ -252,8 +252,8 @@ def landed_events(spark, d, parts: int = 4) -> str:
     return folder
 
 
-def event_stream(spark, d) -> DataFrame:
-    return events_as_jobs(streams.read_events(spark, landed_events(spark, d), max_files=1))
+def event_stream(spark, d, parts: int = 4) -> DataFrame:
+    return events_as_jobs(streams.read_events(spark, landed_events(spark, d, parts), max_files=1))
 
 
 @query("t1_stream_results", """
@@ -297,7 +297,7 @@ SELECT source, product, max_by(status, ord) AS status, max_by(registration_numbe
   SELECT ord, source, 'job ' || job_id AS product, status, 'R' || records AS registration_number FROM evt)
 GROUP BY source, product, registration_number""", EVT)
 def _t5(spark, d):
-    rows = event_stream(spark, d).select(
+    rows = event_stream(spark, d, 2).select(
         "ord", "source", F.concat(F.lit("job "), "job_id").alias("product"), "status",
         F.concat(F.lit("R"), F.col("records").cast("string")).alias("registration_number"),
     )
