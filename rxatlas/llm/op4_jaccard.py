@@ -159,16 +159,19 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     listed = exploded.join(several, "token").withColumn("block", F.explode(F.array(block, block - 1)))
     entries = common.staged(listed.select(F.xxhash64("token", "block").alias("key"), "id", "n", "pos"), "shingle-lists")
 
-
+    # the shingles are in the lists now: what is left of the rows is small
+    wide, rows = rows, common.staged(rows.drop("prefix"), "rows")
+    common.dropped(wide)
     members = entries.select(F.col("id").alias("class_id")).distinct()
     wanted = common.staged(classes.join(members, "class_id"), "listed-classes")
     texts = common.staged(class_texts(own, wanted, k), "class-texts")
     edges = linking.links(entries, texts, SPACED_LOWER, k, share, possible(share), PARITY_WORDS)
     parts = linking.components(edges).withColumnRenamed("id", "class_id")
+    common.dropped(entries, wanted, texts)
     joined = classes.join(parts, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     labelled = joined.join(named, "component").select(*by, "class_id", "component_id")
-    out = rows.drop("prefix").join(labelled, by)
+    out = rows.join(labelled, by)
     # nothing links empty sets
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("row_key")).alias("class_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
