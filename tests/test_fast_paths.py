@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rxatlas.functions import base, company, english, text
+from rxatlas.functions import base, company, english, leaflet, text
 from rxatlas.operators import quality
 
 NAMES = [
@@ -42,3 +42,26 @@ def test_filled_fields_are_computed_once(spark):
     df = spark.createDataFrame([("ring 5 mg tablets", "Acme")], "product string, company string")
     plan = quality.with_values(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("PLGB|PLNI") == 1
+
+
+def test_leaflets_and_tables_are_read_once(spark):
+    df = spark.createDataFrame([("Manufacturer\nBolt GmbH, Germany",)], "t string")
+
+    def times(value, pattern):
+        return df.select(value.alias("v"))._jdf.queryExecution().optimizedPlan().toString().count(pattern)
+
+    assert times(leaflet.ma_holder("t"), "(?iU)^(?:marketing authorisation holder") == 1
+    assert times(leaflet.report_manufacturer("t")["country"], r"\bGermany\b") <= 6  # two ways for each of three places
+    assert times(leaflet.company_names(F.col("t")), "ltd|limited") == 1
+    assert times(leaflet.tables("t"), "(?is)<tr") == 1
+    assert times(text.absolute_url("https://r.test/", F.col("t")), "trim(t") == 1
+    assert times(text.extract_strength("t"), "regexp_extract_all") == 1
+
+
+def test_tables_of_odd_pages(spark):
+    pages = ["<TABLE><tr><td>out<table><tr><th>A</th></tr><tr><td>in</td></tr></table></td></tr><tr><td><a href='/x'>y</a> &amp; z</td></tr></TABLE>",
+             "<table><tr><td>" + "<b>x</b> " * 50000 + "</td></tr><tr><td>last</td></tr></table>", "<table><tr><td>open", "<tablex></table>"]
+    got = [r.t for r in spark.createDataFrame([(p,) for p in pages], "h string").select(leaflet.tables("h").alias("t")).collect()]
+    assert [[(t.header, [[tuple(c) for c in row] for row in t.rows]) for t in ts] for ts in (got[0], got[2], got[3])] == [
+        [(["A"], [[("in", None)]]), (["out"], [[("y & z", "/x")]])], [], []]
+    assert [[c.label for c in row] for row in got[1][0].rows] == [["last"]]
