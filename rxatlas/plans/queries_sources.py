@@ -15,6 +15,7 @@ from ..functions.base import text
 from ..operators import documents as docs
 from ..operators import store
 from ..sources import mappers, registry
+from ..store_paths import once_per_value
 from .catalog import LEAF, REG, query
 from .fixtures import leaflets, registrations, table
 from .queries_rows import FORM_SQL, MAKERS_SQL, PACK_SQL, STRENGTH_OF_SQL, URLS_SQL, sql, with_makers, with_real_country, with_urls
@@ -486,19 +487,23 @@ def _d4(spark, d):
 
 @query("d5_ma_holder", "SELECT ord, company || ' Ltd' AS holder FROM reg", REG)
 def _d5(spark, d):
-    return leaflets(spark, d).select("ord", lf.ma_holder("text").alias("holder"))
+    read = once_per_value(leaflets(spark, d), "text", lambda t: t.withColumn("holder", lf.ma_holder("text")))
+    return read.select("ord", "holder")
 
 
 @query("d6_manufacturers", "SELECT ord, 'Maker ' || substance || ' GmbH' AS makers, 'Maker ' || substance || ' GmbH' AS name, 'Germany' AS country FROM reg", REG)
 def _d6(spark, d):
-    found = leaflets(spark, d).select("ord", lf.manufacturers("text").alias("makers"), lf.report_manufacturer("text").alias("r"))
-    return found.select("ord", "makers", "r.name", "r.country")
+    read = once_per_value(
+        leaflets(spark, d), "text", lambda t: t.withColumns({"makers": lf.manufacturers("text"), "r": lf.report_manufacturer("text")})
+    )
+    return read.select("ord", "makers", "r.name", "r.country")
 
 
 @query("d7_company_names", "SELECT ord, [company || ' Ltd', 'Maker ' || substance || ' GmbH'] AS names FROM reg", REG)
 def _d7(spark, d):
     block = F.concat("company", F.lit(" Ltd, "), "country", F.lit("; 10 High Street; Maker "), "substance", F.lit(" GmbH ;; somewhere, far; "), "company", F.lit(" Ltd"))
-    return registrations(spark, d).select("ord", lf.company_names(block).alias("names"))
+    blocks = registrations(spark, d).select("ord", block.alias("block"))
+    return once_per_value(blocks, "block", lambda b: b.withColumn("names", lf.company_names(F.col("block")))).select("ord", "names")
 
 
 @query("d8_pack_info", "SELECT ord, '24 tablets' AS pack, 'in packs of 10, 30 and 60 tablets' AS sentence, '24 tablets' AS report FROM reg", REG)

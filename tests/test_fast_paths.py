@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rxatlas.functions import base, company, english, leaflet, text
 from rxatlas.operators import quality
+from rxatlas.store_paths import once_per_value
 
 NAMES = [
     None, "", " ", "large ring 5 mg tablets", "large ring 5 mg ", " ring", "a  b", "a\tb", "ring\x1c", "\x1dring", "Ring Ring 5 mg", "ring 5 mg ring 5 mg",
@@ -65,3 +66,17 @@ def test_tables_of_odd_pages(spark):
     assert [[(t.header, [[tuple(c) for c in row] for row in t.rows]) for t in ts] for ts in (got[0], got[2], got[3])] == [
         [(["A"], [[("in", None)]]), (["out"], [[("y & z", "/x")]])], [], []]
     assert [[c.label for c in row] for row in got[1][0].rows] == [["last"]]
+
+
+def test_values_are_derived_once_for_each_distinct_text(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a", None, "a", "b", None, ""])], "n int, t string")
+    reads = spark.sparkContext.accumulator(0)
+
+    def derive(texts):
+        assert [c for c in texts.columns] == ["t"]
+        reads.add(texts.count())
+        return texts.withColumn("x", F.concat(F.coalesce("t", F.lit("none")), F.lit("!")))
+
+    got = {r.n: (r.t, r.x) for r in once_per_value(df, "t", derive).collect()}
+    assert reads.value == 4
+    assert got == {0: ("a", "a!"), 1: (None, "none!"), 2: ("a", "a!"), 3: ("b", "b!"), 4: (None, "none!"), 5: ("", "!")}
