@@ -665,8 +665,16 @@ def map_text_windows(docs: DataFrame, source: str = "CDSCO India", radius: int =
         offsets,
         lambda o: collapse_ws(F.substring("text", F.greatest(o - radius, F.lit(0)) + 1, o + size + radius - F.greatest(o - radius, F.lit(0)))),
     )
-    each = hits.select("*", F.posexplode(window).alias("pos", "snippet")).filter("snippet IS NOT NULL")
-    first = keep_first(each, [F.col("query"), F.col("ord"), F.lower("snippet")], "pos")
+    # repeats go inside the row of their document, so that no window is shuffled: places in order of text, and then of the document
+    placed = F.transform(window, lambda s, i: F.struct(F.lower(s).alias("low"), i.alias("pos"), s.alias("snippet")))
+    in_order = F.array_sort(F.filter(placed, lambda x: x["snippet"].isNotNull()))
+    own = let(in_order, lambda w: F.filter(w, lambda x, i: (i == 0) | (x["low"] != F.get(w, i - 1)["low"])))
+    once = hits.select("*", F.explode(own).alias("_w")).select("*", "_w.pos", "_w.snippet").drop("_w")
+    # only documents that come in several rows can repeat each other's windows
+    several = stage(hits.groupBy("query", "ord").count().filter("count > 1").select(F.struct("query", "ord").alias("_several")), "several-rows")
+    repeated = F.struct("query", "ord") == F.col("_several")
+    shared = keep_first(once.join(several, repeated, "left_semi"), [F.col("query"), F.col("ord"), F.lower("snippet")], "pos")
+    first = once.join(several, repeated, "left_anti").unionByName(shared)
     return _row(
         first, source, register[1], register[2], name=F.col("snippet"), keep=("pos",), substance=F.col("query"), product=F.col("snippet"),
         status="Listed in CDSCO approval PDF", registration_date=opt(docs, "release_date"), document_type="CDSCO approval PDF",

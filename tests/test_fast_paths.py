@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rxatlas.functions import base, company, english, leaflet, text
 from rxatlas.operators import quality
+from rxatlas.sources import mappers
 from rxatlas.store_paths import once_per_value
 
 NAMES = [
@@ -80,3 +81,14 @@ def test_values_are_derived_once_for_each_distinct_text(spark):
     got = {r.n: (r.t, r.x) for r in once_per_value(df, "t", derive).collect()}
     assert reads.value == 4
     assert got == {0: ("a", "a!"), 1: (None, "none!"), 2: ("a", "a!"), 3: ("b", "b!"), 4: (None, "none!"), 5: ("", "!")}
+
+
+def test_windows_stay_in_their_row(spark):
+    rows = [("tion", 1, "Option one. " + "x" * 900 + " OPTION ONE."), ("tion", 2, "a tion"), ("tion", 2, "A TION"), ("tion", None, "ation"), ("tion", 3, "none"), ("", 4, "tion")]
+    docs = spark.createDataFrame(rows + [("tion", 5, ("tion " + "y" * 1000 + " ") * 3)], "query string, ord int, text string")
+    out = mappers.map_text_windows(docs)
+    got = sorted((r.ord or 0, r.pos) for r in out.collect())
+    assert got == [(0, 0), (1, 0), (1, 1), (2, 0), (5, 0), (5, 1)]
+    # a window is not shuffled unless its document comes in several rows
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("min_by(") and "left_anti" in plan.lower().replace("leftanti", "left_anti")
