@@ -108,3 +108,20 @@ def test_legacy_table_and_demo(spark, tmp_path):
     store.export_table(demo.select("substance", "product", "company", "country", "status", "source"), str(tmp_path / "t"))
     back = readers.read_legacy_medicines(spark, str(tmp_path / "t"))
     assert back.count() == 6 and {r.region for r in demo.select("region").collect()} == {None, "UK"}
+
+
+def test_export_files_are_compressed(spark, tmp_path):
+    """41 columns of text repeat from row to row: as plain text the files of an export took twenty times the disk."""
+    from rxatlas.plans import search as plans
+
+    queries = spark.createDataFrame([("a", "Ring"), ("b", "Bolt")], "query_id string, substance string")
+    rows = [(i, "ab"[i % 2], ["Ring", "Bolt"][i % 2], f"Ring {i}, 10 mg \"tablets\"", "Spain", "MHRA") for i in range(2000)]
+    frame = spark.createDataFrame(rows, "ord long, query_id string, substance string, product string, country string, source string").coalesce(1)
+    before = spark.conf.get(store.OPEN_FILES)
+    out = plans.export_all(queries, frame, str(tmp_path / "x"), F.lit("now"))
+    files = list((tmp_path / "x").rglob("part-*"))
+    assert len(files) == 2 and all(f.name.endswith(".csv.gz") for f in files)
+    plain = sum(len(",".join(r)) for r in out["sheet"].select(*EXPORT_COLUMNS).collect())
+    assert out["written"] == 2000 and sum(f.stat().st_size for f in files) < plain / 10
+    back = {r["Product Name"] for r in spark.read.option("header", True).option("escape", "\\").csv(str(tmp_path / "x" / "file=Bolt_b")).collect()}
+    assert back == {r[3] for r in rows if r[1] == "b"} and spark.conf.get(store.OPEN_FILES) == before
