@@ -98,6 +98,22 @@ def lines(c: Column | str, strip: str = " :;-") -> Column:
     return F.filter(cleaned, lambda x: x != "")
 
 
+def stripped_lines(c: Column, strip: str) -> Column:
+    """A text without the characters of ``strip`` (a dash last) around its line ends and without empty lines: by one pattern, not line by line."""
+    one = f"[{strip}]"  # a run of them is entered at its start only: long runs inside a line are not searched again and again
+    ends = rf"(?:\R|{one}(?<!{one}{one}){one}*+\R)(?:{one}*+\R)*+{one}*+"
+    return F.regexp_replace(F.trim(c, F.lit(strip + "\r\n\x0b\x0c\x85\u2028\u2029")), ends, "\n")
+
+
+def joined_lines(c: Column | str, strip: str = " :;-") -> Column:
+    """The lines of D1 with a line feed between them."""
+    def over(value: Column) -> Column:
+        tidy = is_ascii(value) & ~any_of([F.contains(value, F.lit(s)) for s in ("  ", "\t", "\x0b", "\x0c")])
+        return F.when(tidy, stripped_lines(value, strip)).otherwise(F.array_join(lines(value, strip), "\n"))
+
+    return let(text(c), over)
+
+
 def _plain_label(line: Column) -> Column:
     return F.rtrim(F.lower(line), F.lit(":"))
 
@@ -192,20 +208,35 @@ def value_after_label(c: Column | str, labels: list[str], max_lines: int | None
 
 def text_after_label(c: Column | str, labels: list[str], max_chars: int | None = None) -> Column:
     """Rest of a label line, else the next line unless that is a label too."""
+    return let(joined_lines(c, " :-"), lambda joined: text_after_label_line(joined, labels, max_chars))
+
+
+def text_after_label_line(joined: Column, labels: list[str], max_chars: int | None = None) -> Column:
+    """D4 on the ``joined_lines`` (with " :-" stripped) of a text, which several labels look at.
+
+    The first label line and the one behind it are found by one pattern; only where they give no value are all lines looked through.
+    """
     pattern = _label_pattern(labels)
     bare = [label.lower() for label in labels]
+    near = pattern.replace("^", r"\n").replace("(?=:|$)", r"(?=:|\n|$)([^\n]*)(?:\n([^\n]*))?")
 
-    def over(rows: Column) -> Column:
-        def value(i: Column) -> Column:
-            line = F.get(rows, i)
-            rest = clean_block(F.substring(line, F.length(F.regexp_extract(line, pattern, 0)) + 1, F.length(line)), " :-")
-            following = F.get(rows, i + 1)
-            return _left(F.coalesce(rest, F.when(~one_of(_plain_label(following), bare), following)), max_chars)
+    def told(rest: Column, following: Column) -> Column:
+        own = filled(F.trim(rest, F.lit(" :-")))
+        return _left(F.coalesce(own, F.when(~one_of(_plain_label(following), bare), following)), max_chars)
+
+    def value(rows: Column, i: Column) -> Column:
+        line = F.get(rows, i)
+        return told(F.substring(line, F.length(F.regexp_extract(line, pattern, 0)) + 1, F.length(line)), F.get(rows, i + 1))
 
+    def any_line(rows: Column) -> Column:
         positions = F.filter(F.transform(rows, lambda x, i: F.when(F.rlike(x, F.lit(pattern)), i)), lambda i: i.isNotNull())
-        return _first(F.transform(positions, value))
+        return _first(F.transform(positions, lambda i: value(rows, i)))
+
+    def over(found: Column) -> Column:
+        first = told(F.regexp_extract(found, near, 1), filled(F.regexp_extract(found, near, 2)))
+        return F.when(found != "", F.coalesce(first, let(F.split(joined, "\n"), any_line)))
 
-    return let(lines(c, " :-"), over)
+    return let(F.regexp_extract(F.concat(F.lit("\n"), joined), near, 0), over)
 
 
 def company_names(block: Column, allow_address_name: bool = False) -> Column:

@@ -629,18 +629,21 @@ def map_au_list(pages: DataFrame) -> DataFrame:
     )
 
 
-def page_text(html: Column | str) -> Column:
-    """Text of a page, one line per element."""
+def _without_tags(html: Column | str) -> Column:
     value = F.col(html) if isinstance(html, str) else html
     bare = F.regexp_replace(value, r"(?is)<(script|style)\b.*?</\1\s*>", "")
-    lines = F.split(lf.unescape(F.regexp_replace(bare, r"(?s)<[^>]+>", "\n")), r"\R")
-    return F.array_join(F.filter(F.transform(lines, lambda x: F.trim(x, F.lit(" \t"))), lambda x: x != ""), "\n")
+    return lf.unescape(F.regexp_replace(bare, r"(?s)(?:<[^>]+>)++", "\n"))
+
+
+def page_text(html: Column | str) -> Column:
+    """Text of a page, one line per element."""
+    return lf.stripped_lines(_without_tags(html), " \t")
 
 
 def map_au_detail(pages: DataFrame) -> DataFrame:
     """M16 (detail): eight labelled fields and two document links per page: (product_url, …)."""
-    staged = pages.withColumns({"_text": page_text("html"), "_links": lf.doc_links("html", AU_BASE, "au")})
-    fields = [lf.text_after_label("_text", labels).alias(name) for name, labels in AU_LABELS.items()]
+    staged = pages.withColumns({"_lines": lf.joined_lines(_without_tags("html"), " :-"), "_links": lf.doc_links("html", AU_BASE, "au")})
+    fields = [lf.text_after_label_line(F.col("_lines"), labels).alias(name) for name, labels in AU_LABELS.items()]
     return staged.select(F.col("page_url").alias("product_url"), *fields, "_links.smpc_url", "_links.pil_url")
 
 

@@ -111,3 +111,35 @@ def test_absent_columns_cost_nothing_and_names_are_read_once(spark):
     assert [got[i]["Strength"] for i in range(4)] == ["12 mg", "5 mg", "7 mcg", "5 ml"]
     assert got[1]["Dosage Form"] == "Film-coated tablet" and got[1]["Pack Size"] == "24 tablets" and got[2]["Registration Number"] == "PL 12345/0001"
     assert got[4]["Missing Fields"] == got[5]["Missing Fields"] and got[5]["Missing Fields"].startswith("Strength, Dosage Form, Pack Size")
+
+
+def test_labels_share_the_lines_of_a_page(spark):
+    """Every label of a page split and cleaned its lines again; now they are cleaned once and a label is found by one pattern."""
+    df = spark.createDataFrame([("<div>Sponsor</div>",)], "html string").withColumn("page_url", F.col("html"))
+    plan = mappers.map_au_detail(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(", \\R, -1") <= 1
+
+    texts = [
+        None, "", "Name", "Name\nName", "Name:\n - \nProduct name: \nName: x", "name: a : b \n", "- Name -\n- y - \r\n\r\n z", "NAME\n\n  \x0b two\tb  c", "Name café",
+        "x\nName\nproduct NAME\nlast", "Names\nName : q\nw", "Name\x85:-\x85 v ", "Name" + "-" * 3000 + "\n" + "- " * 3000 + "\nend", "a\nName:", "Name:b\\n$1 c",
+    ]
+    def by_lines(c):
+        def value(rows, i):
+            rest = base.clean_block(F.substring(F.get(rows, i), F.length(F.regexp_extract(F.get(rows, i), pattern, 0)) + 1, F.length(F.get(rows, i))), " :-")
+            after = F.get(rows, i + 1)
+            return leaflet._left(F.coalesce(rest, F.when(~leaflet._plain_label(after).isin("product name", "name"), after)), None)
+
+        def over(rows):
+            places = F.filter(F.transform(rows, lambda x, i: F.when(F.rlike(x, F.lit(pattern)), i)), lambda i: i.isNotNull())
+            return leaflet._first(F.transform(places, lambda i: value(rows, i)))
+
+        pattern = leaflet._label_pattern(["Product name", "Name"])
+        return base.let(leaflet.lines(c, " :-"), over)
+
+    told = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", leaflet.text_after_label("t", ["Product name", "Name"]).alias("a"), by_lines("t").alias("b"),
+        leaflet.joined_lines("t", " :-").alias("c"), F.array_join(leaflet.lines("t", " :-"), "\n").alias("d"),
+        leaflet.stripped_lines(F.col("t"), " \t").alias("e"),
+        F.array_join(F.filter(F.transform(F.split("t", r"\R"), lambda x: F.trim(x, F.lit(" \t"))), lambda x: x != ""), "\n").alias("f"),
+    ).collect()
+    assert [r for r in told if (r.a, r.c, r.e) != (r.b, r.d, r.f)] == [] and [r.a for r in told][3:6] == [None, "Name: x", "a : b"]
