@@ -143,3 +143,38 @@ def test_labels_share_the_lines_of_a_page(spark):
         F.array_join(F.filter(F.transform(F.split("t", r"\R"), lambda x: F.trim(x, F.lit(" \t"))), lambda x: x != ""), "\n").alias("f"),
     ).collect()
     assert [r for r in told if (r.a, r.c, r.e) != (r.b, r.d, r.f)] == [] and [r.a for r in told][3:6] == [None, "Name: x", "a : b"]
+
+
+def test_rows_that_share_a_key_with_none_are_not_shuffled(spark, monkeypatch):
+    """Wide rows went through a shuffle to be de-duplicated and through another to meet a handful of search terms."""
+    from rxatlas.operators import identity
+    from rxatlas.sources import registry
+
+    rows = [(i, f"q{i % 3}", "S", f"p{i // 2 if i < 12 else i}", None if i % 5 else "", "n", f"u{i % 2 if i < 6 else 0}") for i in range(300)]
+    df = spark.createDataFrame(rows, "ord long, query_id string, source string, product string, country string, registration_number string, url string").repartition(7)
+    same = df.unionByName(df.withColumn("ord", F.col("ord") + 1000))
+    live = df.filter("ord % 4 = 0").withColumn("company", F.lit("Acme"))
+
+    def told(frame):
+        return sorted(map(str, frame.select(*sorted(frame.columns)).collect()))
+
+    def split(bits, frame):
+        monkeypatch.setattr(identity, "BUCKETS", bits)
+        return identity.by_recurrence(frame.withColumn("_k", F.xxhash64("product")))
+
+    for frame in (df, same, df.limit(0)):  # few keys recur, all do, none is there
+        first = told(identity.dedupe_keep_first(frame))
+        for bits in (7, 25):  # keys share their bits with others, or not
+            monkeypatch.setattr(identity, "BUCKETS", bits)
+            assert told(identity.dedupe_keep_first(frame, kept=True)) == first
+    merged = [(monkeypatch.setattr(identity, "RECURRING", n), told(identity.merge_cached_live(df, live)))[1] for n in (1, 10**6)]
+    assert merged[0] == merged[1]
+    monkeypatch.setattr(identity, "RECURRING", 10)
+    several, alone = split(25, df)
+    assert (several.count(), alone.count()) == (12, 288) and split(25, same)[1] is None
+
+    queries = spark.createDataFrame([("a", "ring")], "query_id string, substance string")
+    raw = spark.range(50).select(F.col("id").alias("ord"), F.lit("ring").alias("query"), F.lit("ring").alias("substance"), F.concat(F.lit("ring "), "id").alias("product"))
+    known = registry.Registry([registry.Source("S", "EU", ("Spain",), False, True, mapper=lambda f: f.withColumn("source", F.lit("S")))])
+    plan = registry.source_search(queries, {"S": raw}, known)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
