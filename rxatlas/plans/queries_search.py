@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import dims
 
 from ..operators import coverage, joins, scope, search
+from ..store_paths import stage, stage_path
 from . import search as plans
 from .catalog import REG, query
 from .fixtures import registrations, table
@@ -28,6 +29,11 @@ def wanted(spark) -> DataFrame:
     return spark.createDataFrame(WANTED, "query_id string, substance string")
 
 
+def staged_wanted(spark) -> DataFrame:
+    """The queries as rows of known size: joined by shuffle, eight substances would bring all products into eight tasks."""
+    return stage(wanted(spark), "wanted")
+
+
 def asked(spark) -> DataFrame:
     return wanted(spark).withColumnRenamed("substance", "query_substance")
 
@@ -589,9 +595,7 @@ def _e4c(spark, d):
 
 @query("e5_export")
 def _e5(spark, d):
-    rows = full_rows(spark, d).join(
-        wanted(spark).select(F.col("query_id"), F.col("substance")), "substance"
-    )
+    rows = full_rows(spark, d).join(staged_wanted(spark), "substance")
     return plans.export(wanted(spark), rows, F.lit("2024-01-01T00:00:00"))
 
 
@@ -600,9 +604,7 @@ ex AS (SELECT q.query_id, q.substance AS asked, reg.* FROM qry q JOIN reg ON reg
 
 
 def exported(spark, d, whole: bool = True) -> dict:
-    from ..store_paths import stage_path
-
-    rows = registrations(spark, d).join(wanted(spark).select("query_id", "substance"), "substance")
+    rows = registrations(spark, d).join(staged_wanted(spark), "substance")
     return plans.export_all(wanted(spark), rows, stage_path(spark, "exports"), F.lit("2024-01-01T00:00:00"), whole)
 
 

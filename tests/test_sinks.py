@@ -125,3 +125,16 @@ def test_export_files_are_compressed(spark, tmp_path):
     assert out["written"] == 2000 and sum(f.stat().st_size for f in files) < plain / 10
     back = {r["Product Name"] for r in spark.read.option("header", True).option("escape", "\\").csv(str(tmp_path / "x" / "file=Bolt_b")).collect()}
     assert back == {r[3] for r in rows if r[1] == "b"} and spark.conf.get(store.OPEN_FILES) == before
+
+
+def test_rows_of_a_query_are_not_brought_into_one_task(spark):
+    """The exports' joins with the queries and their defaults had sides of unknown size, so all rows of a query met in one task."""
+    from rxatlas.plans import search as plans
+
+    queries = spark.createDataFrame([("a", "Ring")], "query_id string, substance string")
+    rows = [(i, "a", "Ring", f"Ring {i} 10 mg tablets", "Spain", "MHRA", "A10BA02") for i in range(5)]
+    frame = spark.createDataFrame(rows, "ord long, query_id string, substance string, product string, country string, source string, atc_code string")
+    sheet = plans.export(queries, frame, F.lit("now"))
+    plan = sheet._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert {r["Therapeutic Category"] for r in sheet.collect()} == {"Antidiabetic"}
