@@ -630,16 +630,12 @@ def map_au_list(pages: DataFrame) -> DataFrame:
 
 
 def _without_tags(html: Column | str) -> Column:
+    """Text of a page, a line end for each run of tags."""
     value = F.col(html) if isinstance(html, str) else html
     bare = F.regexp_replace(value, r"(?is)<(script|style)\b.*?</\1\s*>", "")
     return lf.unescape(F.regexp_replace(bare, r"(?s)(?:<[^>]+>)++", "\n"))
 
 
-def page_text(html: Column | str) -> Column:
-    """Text of a page, one line per element."""
-    return lf.stripped_lines(_without_tags(html), " \t")
-
-
 def map_au_detail(pages: DataFrame) -> DataFrame:
     """M16 (detail): eight labelled fields and two document links per page: (product_url, …)."""
     staged = pages.withColumns({"_lines": lf.joined_lines(_without_tags("html"), " :-"), "_links": lf.doc_links("html", AU_BASE, "au")})
